@@ -46,7 +46,10 @@ def dedup_removed(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 
 def append_merge(
-    existing: DataFrame, new: DataFrame, missing_equals_empty: bool = False
+    existing: DataFrame,
+    new: DataFrame,
+    missing_equals_empty: bool = False,
+    scope: Sequence[str] = (),
 ) -> DataFrame:
     """Rows already saved, then new rows whose (text, type, source) is not among them.
 
@@ -55,11 +58,11 @@ def append_merge(
     ``missing_equals_empty``.  Rows without order columns are ordered by value.
     """
     both = existing.withColumn("_new", F.lit(False)).unionByName(
-        dedup_content(new).withColumn("_new", F.lit(True)), allowMissingColumns=True
+        dedup_content(new, scope).withColumn("_new", F.lit(True)), allowMissingColumns=True
     )
     keys = [F.col(c) for c in ("text", "type", "source")]
     if missing_equals_empty:
         keys = [F.coalesce(k, F.lit("")) for k in keys]
     values = [f.name for f in both.schema if f.dataType.simpleString() == "string"]
     order = ["_new", *[c for c in ORDER if c in both.columns], *values]
-    return _keep_first(both, keys, order).drop("_new")
+    return _keep_first(both, [*scope, *keys], order).drop("_new")

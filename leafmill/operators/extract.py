@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from leafmill.functions.urls import netloc
 from leafmill.operators.families import EXTRACTORS, bad_links
 from leafmill.operators.shred import shred
-from leafmill.schema import ITEM
 from leafmill.session import prepare
 
-DOC = _DOC = "_doc"
+DOC = "_doc"
 _KEYS = ["page_id", "url", "page_ord", "source"]
 
 
@@ -25,7 +24,7 @@ _SMALL_SHARE = 16 * 1024 * 1024
 @lru_cache(maxsize=64)
 def _rows_of(family: str, application: str) -> Column:
     """The expression of one family; building it is slow, so it is kept."""
-    return EXTRACTORS[family](F.col(_DOC), F.col("source"))
+    return EXTRACTORS[family](F.col(DOC), F.col("source"))
 
 
 def _spread(pages: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def with_document(
     pages = pages.withColumn("source", default_source(F.col("url"), name))
     return (
         _spread(pages.select(*_KEYS, "html"))
-        .select(*_KEYS, shred("html", "url", keep_all).alias(_DOC))
+        .select(*_KEYS, shred("html", "url", keep_all).alias(DOC))
     )
 
 
@@ -85,8 +84,8 @@ def extract(pages: DataFrame, families: Iterable[str] | None = None) -> DataFram
     items = [_rows_of(name, application) for name in names]
     rows = F.flatten(F.array(*items)) if len(items) > 1 else items[0]
     keys = [k for k in _KEYS if k != "source"]
-    return documents.select(*keys, F.inline(rows)).select(
-        *keys, *[F.col(f.name) for f in ITEM]
+    return documents.select(*keys, F.posexplode(rows).alias("pos", "item")).select(
+        *keys, "pos", "item.*"
     )
 
 
@@ -106,6 +105,9 @@ def family_sizes(pages: DataFrame) -> DataFrame:
 def extract_errors(pages: DataFrame) -> DataFrame:
     """Links that could not be resolved, one row each, with the reason."""
     documents = with_document(pages)
-    return documents.select("page_id", "url", F.inline(bad_links(F.col(_DOC)))).withColumn(
-        "reason", F.lit("malformed link address")
+    return documents.select(
+        "page_id",
+        "url",
+        F.explode(bad_links(F.col(DOC))).alias("href"),
+        F.lit("malformed link address").alias("reason"),
     )

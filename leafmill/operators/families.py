@@ -31,9 +31,9 @@ def _absent(application: str) -> dict[str, Column]:
     return {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in ITEM}
 
 
-def _item(family: str, pos: Column, **values: Column) -> Column:
+def _item(family: str, **values: Column) -> Column:
     """One ITEM; fields that are not named stay NULL."""
-    values |= {"family_rank": F.lit(FAMILIES[family]), "pos": pos}
+    values["family_rank"] = F.lit(FAMILIES[family])
     fields = _absent(SparkSession.active().sparkContext.applicationId)
     return F.struct(*[values[k].alias(k) if k in values else fields[k] for k in fields])
 
@@ -48,7 +48,7 @@ def title(doc: Column, source: Column) -> Column:
     return F.transform(
         found,
         lambda n: _item(
-            "metadata", F.lit(0), source=source, type=F.lit("page_title"),
+            "metadata", source=source, type=F.lit("page_title"),
             text=dom.text(doc, n), href=F.lit(""),
         ),
     )
@@ -62,7 +62,7 @@ def meta(doc: Column, source: Column) -> Column:
     return F.transform(
         find_all(doc["nodes"], wanted),
         lambda n: _item(
-            "metadata", n["pre"] + 1, source=source,
+            "metadata", source=source,
             type=F.concat(F.lit("meta_"), F.lower(n["name"])),
             text=dom.clean_text(n["content"]), href=F.lit(""),
         ),
@@ -76,11 +76,11 @@ def metadata(doc: Column, source: Column) -> Column:
 def headings(doc: Column, source: Column) -> Column:
     """All h1, then all h2, ... up to h6."""
     levels = find_all(doc["nodes"], is_tag(*[f"h{level}" for level in range(1, 7)]))
-    ordered = F.array_sort(F.transform(levels, lambda n: F.struct(n["tag"], n["pre"], n.alias("n"))))
+    ordered = F.sort_array(F.transform(levels, lambda n: F.struct(n["tag"], n["pre"], n.alias("n"))))
     items = F.transform(
         ordered,
-        lambda x, i: _item(
-            "headings", i, source=source, type=F.concat(F.lit("heading_"), x["tag"]),
+        lambda x: _item(
+            "headings", source=source, type=F.concat(F.lit("heading_"), x["tag"]),
             text=dom.text(doc, x["n"]), href=F.lit(""),
         ),
     )
@@ -91,7 +91,7 @@ def paragraphs(doc: Column, source: Column) -> Column:
     items = F.transform(
         find_all(doc["nodes"], is_tag("p")),
         lambda n: _item(
-            "paragraphs", n["pre"], source=source, type=F.lit("paragraph"),
+            "paragraphs", source=source, type=F.lit("paragraph"),
             text=dom.text(doc, n), href=F.lit(""),
         ),
     )
@@ -108,24 +108,28 @@ def links(doc: Column, source: Column) -> Column:
     A map keeps one entry per key and the value put last, so the links are put
     in from the end of the page.
     """
-    items = F.transform(
+    found = F.transform(
         F.filter(_anchors(doc), lambda n: n["link"].isNotNull()),
-        lambda n: _item(
-            "links", n["pre"], source=source, type=F.lit("link"),
-            text=dom.text(doc, n), href=n["link"],
+        lambda n: F.struct(
+            n["pre"].alias("pre"), dom.text(doc, n).alias("text"), n["link"].alias("href")
         ),
-    )
+    )
     keyed = F.transform(
-        F.reverse(_longer(items, MIN_LINK_TEXT)),
-        lambda item: F.struct(F.concat(item["text"], F.lit("|"), item["href"]), item),
+        F.reverse(_longer(found, MIN_LINK_TEXT)),
+        lambda x: F.struct(F.concat(x["text"], F.lit("|"), x["href"]), x),
+    )
+    return F.transform(
+        F.sort_array(F.map_values(F.map_from_entries(keyed))),
+        lambda x: _item(
+            "links", source=source, type=F.lit("link"), text=x["text"], href=x["href"]
+        ),
     )
-    return F.map_values(F.map_from_entries(keyed))
 
 
 def bad_links(doc: Column) -> Column:
     """The hrefs of a page that cannot be resolved against its address."""
     broken = F.filter(_anchors(doc), lambda n: n["link"].isNull())
-    return F.transform(broken, lambda n: F.struct(n["pre"].alias("pos"), n["href"].alias("href")))
+    return F.transform(broken, lambda n: n["href"])
 
 
 def lists(doc: Column, source: Column) -> Column:
@@ -136,15 +140,15 @@ def lists(doc: Column, source: Column) -> Column:
         skip = has_skip_class(dom.parent(doc, holder)["classes"])
         return (node["tag"] == "li") & holder["tag"].isin("ul", "ol") & ~skip
 
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(
             find_all(doc["nodes"], wanted), lambda n: F.struct(n["parent"], n["pre"], n.alias("n"))
         )
     )
     items = F.transform(
         ordered,
-        lambda x, i: _item(
-            "lists", i, source=source, type=F.lit("list_item"), text=dom.text(doc, x["n"]),
+        lambda x: _item(
+            "lists", source=source, type=F.lit("list_item"), text=dom.text(doc, x["n"]),
             href=or_empty(first(subtree(doc, x["n"]), is_tag("a"))["href"]),
         ),
     )
@@ -158,8 +162,8 @@ def _cells(doc: Column, row: Column, headers: Column) -> Column:
         name = F.coalesce(F.get(headers, i), F.concat(F.lit("col_"), i.cast("string")))
         href = first(subtree(doc, cell), is_tag("a"))["href"]
         link = F.struct(F.concat(name, F.lit("_link")).alias("key"), href.alias("value"))
-        both = F.array(F.struct(name.alias("key"), dom.text(doc, cell).alias("value")), link)
-        return F.filter(both, lambda e: (e["value"] != "") | ~F.endswith(e["key"], F.lit("_link")))
+        content = F.struct(name.alias("key"), dom.text(doc, cell).alias("value"))
+        return F.concat(F.array(content), F.filter(F.array(link), lambda e: e["value"] != ""))
 
     return F.transform(find_all(subtree(doc, row), is_tag("td", "th")), entries)
 
@@ -183,12 +187,12 @@ def tables(doc: Column, source: Column) -> Column:
     def named(cells: Column, name: str, otherwise: Column) -> Column:
         return F.coalesce(F.try_element_at(cells, F.lit(name)), otherwise)
 
-    def item(row: Column, i: Column) -> Column:
+    def item(row: Column) -> Column:
         cells, absent = row["cells"], F.lit(None).cast("string")
         base = {"source": source, "type": F.lit("table_row")}
         overridable = [f.name for f in ITEM if f.dataType.simpleString() == "string"]
         fields = {name: named(cells, name, base.get(name, absent)) for name in overridable}
-        return _item("tables", i, table_index=row["index"], cells=cells, **fields)
+        return _item("tables", table_index=row["index"], cells=cells, **fields)
 
     found = F.slice(find_all(doc["nodes"], is_tag("table")), 1, MAX_TABLES)
     filled = F.filter(F.flatten(F.transform(found, rows)), lambda r: F.size(r["cells"]) > 0)
@@ -225,7 +229,7 @@ def quotes(doc: Column, source: Column) -> Column:
     return F.transform(
         F.filter(records, lambda r: r["body"].isNotNull()),
         lambda r: _item(
-            "quotes", r["node"]["pre"], source=source, type=F.lit("quote"),
+            "quotes", source=source, type=F.lit("quote"),
             text=dom.text(doc, r["body"]), author=dom.text(doc, r["author"]),
             tags=join_tags(F.transform(r["tags"], lambda n: dom.stripped_text(doc, n))),
             href=F.lit(""),
@@ -254,7 +258,7 @@ def books(doc: Column, source: Column) -> Column:
     return F.transform(
         F.filter(records, lambda r: r["title"].isNotNull()),
         lambda r: _item(
-            "books", r["node"]["pre"], source=source, type=F.lit("book"),
+            "books", source=source, type=F.lit("book"),
             text=dom.text(doc, r["title"]), price=dom.text(doc, r["price"]),
             rating=stars(r["rating"]), href=or_empty(r["link"]["href"]),
         ),
@@ -275,7 +279,7 @@ def jobs(doc: Column, source: Column) -> Column:
     return F.transform(
         F.filter(records, lambda r: r["title"].isNotNull()),
         lambda r: _item(
-            "jobs", r["node"]["pre"], source=source, type=F.lit("job"),
+            "jobs", source=source, type=F.lit("job"),
             text=dom.text(doc, r["title"]), company=dom.text(doc, r["company"]),
             location=dom.text(doc, r["location"]), posted=dom.text(doc, r["posted"]),
             href=F.lit(""),
@@ -304,7 +308,7 @@ def products(doc: Column, source: Column) -> Column:
     return F.transform(
         F.filter(records, lambda r: r["title"].isNotNull()),
         lambda r: _item(
-            "products", r["node"]["pre"], source=source, type=F.lit("product"),
+            "products", source=source, type=F.lit("product"),
             text=dom.text(doc, r["title"]), price=dom.text(doc, r["price"]),
             description=dom.text(doc, r["description"]), rating=stars(r["ratings"]),
             href=or_empty(r["title"]["href"]),
@@ -332,7 +336,7 @@ def news(doc: Column, source: Column) -> Column:
     return F.transform(
         titled,
         lambda r: _item(
-            "news", r["node"]["pre"], source=source, type=F.lit("news_story"),
+            "news", source=source, type=F.lit("news_story"),
             text=dom.text(doc, r["link"]), href=or_empty(r["link"]["href"]),
             score=dom.text(doc, r["score"]), age=dom.text(doc, r["age"]),
         ),

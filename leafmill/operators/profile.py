@@ -52,19 +52,14 @@ def row_shapes(rows: DataFrame) -> DataFrame:
     page = F.col("page_ord").cast("decimal(20,0)")
     place = page * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
     return rows.groupBy("family_rank", row_fields().alias("fields")).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min("page_ord").alias("first_page"),
-        F.min(place).alias("first_place"),
+        F.count(F.lit(1)).alias("n_rows"), F.min(place).alias("first_place")
     )
 
 
 def column_order(rows: DataFrame) -> DataFrame:
     """The columns a wide table of the rows has, with the place each is first met."""
-    named = row_shapes(rows).select(
-        "first_page", "family_rank", "first_place", F.posexplode("fields").alias("at", "name")
-    )
-    place = F.struct("first_page", "family_rank", "first_place", "at")
-    return named.groupBy("name").agg(F.min(place).alias("first_met"))
+    named = row_shapes(rows).select("first_place", F.posexplode("fields").alias("at", "name"))
+    return named.groupBy("name").agg(F.min(F.struct("first_place", "at")).alias("first_met"))
 
 
 def summary_totals(rows: DataFrame) -> DataFrame:

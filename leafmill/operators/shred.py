@@ -87,6 +87,7 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(\S++)))?""")
+_SIZE, _T0, _TN, _NEXT_ROW = (NODE.names.index(n) for n in ("size", "t0", "tn", "next_row"))
 _KEPT_ATTRIBUTES = ("class", "href", "name", "content")
 _REFERENCE = re.compile(r"&#?[0-9a-zA-Z]++(?:;|(?!=))")
 _TEXT_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TEXT}
@@ -127,7 +128,7 @@ class _Columns:
 
     def __init__(self, keep_all: bool):
         self.keep_all = keep_all
-        self.values: dict[str, list] = {field.name: [] for field in NODE}
+        self.nodes: list[list] = []  # one list of NODE's fields per element
         self.texts: list[str] = []
         self.node_offsets = [0]
         self.text_offsets = [0]
@@ -135,15 +136,13 @@ class _Columns:
     def add_page(self, html: str | None, base: str | None) -> None:
         if html:
             self._shred(html, base or "")
-        self.node_offsets.append(len(self.values["tag"]))
+        self.node_offsets.append(len(self.nodes))
         self.text_offsets.append(len(self.texts))
 
     def _shred(self, html: str, base: str) -> None:
-        v = self.values
-        sizes, text_counts, next_rows = v["size"], v["tn"], v["next_row"]
-        texts, keep_all = self.texts, self.keep_all
-        first_node, first_text = len(v["tag"]), len(texts)
-        # Open elements: (tag, position or -1 when not kept, its last row child).
+        nodes, texts, keep_all = self.nodes, self.texts, self.keep_all
+        first_node, first_text = len(nodes), len(texts)
+        # Open elements: (tag, position or -1 when not kept, last row among the children).
         stack: list[list] = []
         seen: set[str] = set()
         hidden = 0
@@ -153,9 +152,9 @@ class _Columns:
             tag, pre, _ = stack.pop()
             hidden -= tag in HIDDEN_TEXT
             if pre >= 0:
-                at = first_node + pre
-                sizes[at] = len(sizes) - at - 1
-                text_counts[at] = len(texts) - first_text - v["t0"][at]
+                node = nodes[first_node + pre]
+                node[_SIZE] = len(nodes) - first_node - pre - 1
+                node[_TN] = len(texts) - first_text - node[_T0]
 
         def put(tag: str, attributes: dict[str, str]) -> None:
             nonlocal hidden
@@ -163,24 +162,28 @@ class _Columns:
             pre = -1
             classes = attributes.get("class")
             if keep_all or tag in WANTED or classes:
-                pre = len(sizes) - first_node
+                pre = len(nodes) - first_node
                 parent = stack[-1] if stack else None
                 href = attributes.get("href")
-                v["pre"].append(pre)
-                v["parent"].append(parent[1] if parent else -1)
-                sizes.append(0)
-                v["t0"].append(len(texts) - first_text)
-                text_counts.append(0)
-                v["tag"].append(tag)
-                v["classes"].append(classes.split() if classes else None)
-                v["href"].append(href)
-                v["link"].append(_resolve(base, href) if tag == "a" and href is not None else None)
-                v["name"].append(attributes.get("name"))
-                v["content"].append(attributes.get("content"))
-                next_rows.append(None)
+                nodes.append(
+                    [
+                        pre,
+                        parent[1] if parent else -1,
+                        0,
+                        len(texts) - first_text,
+                        0,
+                        tag,
+                        classes.split() if classes else None,
+                        href,
+                        _resolve(base, href) if tag == "a" and href is not None else None,
+                        attributes.get("name"),
+                        attributes.get("content"),
+                        None,
+                    ]
+                )
                 if tag == "tr" and parent:
                     if parent[2] >= 0:
-                        next_rows[first_node + parent[2]] = pre
+                        nodes[first_node + parent[2]][_NEXT_ROW] = pre
                     parent[2] = pre
             if tag not in VOID:
                 stack.append([tag, pre, -1])
@@ -255,8 +258,9 @@ class _Columns:
             close()
 
     def to_arrow(self) -> pa.Array:
+        columns = zip(*self.nodes) if self.nodes else [[] for _ in NODE]
         nodes = pa.StructArray.from_arrays(
-            [pa.array(self.values[f.name], to_arrow_type(f.dataType)) for f in NODE],
+            [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, NODE)],
             fields=[pa.field(f.name, to_arrow_type(f.dataType)) for f in NODE],
         )
         return pa.StructArray.from_arrays(

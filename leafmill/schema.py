@@ -43,7 +43,6 @@ DOCUMENT = T.StructType(
 ITEM = T.StructType(
     [
         T.StructField("family_rank", T.IntegerType()),
-        T.StructField("pos", T.IntegerType()),
         T.StructField("source", T.StringType()),
         T.StructField("type", T.StringType()),
         T.StructField("text", T.StringType()),
@@ -64,10 +63,11 @@ ITEM = T.StructType(
 )
 
 # Columns that order rows the way one sequential run would have met them.
-ORDER = ["page_ord", "family_rank", "pos"]
+# `pos` numbers the rows of a page, family after family.
+ORDER = ["page_ord", "pos"]
 
 # The named value columns of a row, i.e. without order and cell columns.
-FIELDS = [f.name for f in ITEM if f.name not in ("family_rank", "pos", "cells")]
+FIELDS = [f.name for f in ITEM if f.name not in ("family_rank", "cells")]
 
 FAMILIES = {
     "quotes": 1,

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings (all may be changed on a live session).
 SETTINGS = {
@@ -63,3 +63,14 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else writes to."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def store(frame: DataFrame, name: str) -> DataFrame:
+    """Write a table once to the shared folder and go on from the copy.
+
+    Unlike an RDD checkpoint this computes the table once, and a lost executor
+    only costs reading a file again.
+    """
+    path = new_folder(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
