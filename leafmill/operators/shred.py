@@ -20,12 +20,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from leafmill.functions.urls import ABSOLUTE_PREFIXES
 from leafmill.schema import DOCUMENT, NODE
 
-# Fixed values of HTML: elements without content, and those whose content is text.
+# Fixed values of HTML: elements without content, those whose content is text, ...
 VOID = frozenset(
     "area base basefont br col embed frame hr img input link meta param source track wbr".split()
 )
 RAW_TEXT = frozenset("script style xmp iframe noembed noframes title textarea".split())
-HIDDEN_TEXT = frozenset(["script", "style", "template"])
+# Text of these counts only for the element itself, never for one around it.
+HIDDEN_TEXT = frozenset("script style template rt rp".split())
 HEAD_ONLY = frozenset("script style meta link title base".split())
 
 # Fixed values of the HTML 4 recovery rules: start tags that end an open element.

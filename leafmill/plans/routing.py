@@ -6,6 +6,8 @@ prompts is one projection: no join, no shuffle.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,47 +51,40 @@ def topic(prompt: Column) -> Column:
 
 
 def _fill(template: str, mark: str, value: Column) -> Column:
-    """A template with `mark` replaced; a literal when it holds none."""
-    if mark not in template:
-        return F.lit(template)
+    """A template with its `mark` replaced."""
     before, after = template.split(mark)
     return F.concat(F.lit(before), value, F.lit(after))
 
 
-def _target(url: Column, name: Column, description: Column, expected: list[str]) -> Column:
-    return F.struct(
-        url.alias("url"),
-        name.alias("source_name"),
-        description.alias("description"),
-        F.array(*[F.lit(e) for e in expected]).alias("expected_elements"),
-    )
-
-
 def paged_targets(rule: str) -> Column:
     """The one target of a paged rule, once for each page number."""
     ((url, name, description, expected),) = fixed.TARGETS[rule]
     return F.transform(
         F.sequence(F.lit(1), F.lit(fixed.PAGE_COUNT)),
-        lambda n: _target(
-            _fill(url, "{n}", n.cast("string")),
-            _fill(name, "{n}", n.cast("string")),
-            F.lit(description),
-            expected,
+        lambda n: F.struct(
+            _fill(url, "{n}", n.cast("string")).alias("url"),
+            _fill(name, "{n}", n.cast("string")).alias("source_name"),
+            F.lit(description).alias("description"),
+            F.array(*[F.lit(e) for e in expected]).alias("expected_elements"),
         ),
     )
 
 
 def listed_targets(rule: str, prompt: Column) -> Column:
-    return F.array(
-        *[
-            _target(
-                _fill(url, "{topic}", topic(prompt)),
-                F.lit(name),
-                _fill(description, "{prompt}", prompt),
-                expected,
-            )
-            for url, name, description, expected in fixed.TARGETS[rule]
-        ]
+    """The fixed targets of a rule; a literal that the optimizer folds to an array."""
+    names = TARGET.names
+    listed = [dict(zip(names, target)) for target in fixed.TARGETS[rule]]
+    array = F.from_json(F.lit(json.dumps(listed)), PLAN["urls"].dataType)
+    if rule != fixed.GENERAL:
+        return array
+    return F.transform(
+        array,
+        lambda t: F.struct(
+            F.replace(t["url"], F.lit("{topic}"), topic(prompt)).alias("url"),
+            t["source_name"].alias("source_name"),
+            F.replace(t["description"], F.lit("{prompt}"), prompt).alias("description"),
+            t["expected_elements"].alias("expected_elements"),
+        ),
     )
 
 

@@ -6,7 +6,6 @@ import os
 import shutil
 import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,12 +27,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings above, hand the package to the workers, return the session."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    _ship(spark.sparkContext.applicationId)
+    if spark.sparkContext.applicationId not in _shipped:
+        _ship(spark)
     return spark
 
 
-@lru_cache(maxsize=None)
-def _ship(application: str) -> None:
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application."""
     package = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(
@@ -42,7 +44,8 @@ def _ship(application: str) -> None:
         root_dir=os.path.dirname(package),
         base_dir=os.path.basename(package),
     )
-    SparkSession.active().sparkContext.addPyFile(archive)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(spark.sparkContext.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:
