@@ -62,13 +62,17 @@ def _parse(replies: pa.Array) -> pa.Array:
     return pa.array([_read(r.as_py()) for r in replies], to_arrow_type(PLAN))
 
 
+# Spark would infer a filter from the later explode and read every reply twice.
+_parse_once = _parse.asNondeterministic()
+
+
 def reply_plan(reply: Column) -> Column:
     """The plan of a reply; NULL when the reply is not strict JSON.
 
     Spark's own JSON readers accept text after the closing brace, so whether a
     reply counts is decided in the worker.
     """
-    return _parse(strip_fences(reply))
+    return _parse_once(strip_fences(reply))
 
 
 def plans(prompts: DataFrame) -> DataFrame:

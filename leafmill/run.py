@@ -65,11 +65,12 @@ def run(
 ) -> Run:
     """Plan the prompts, extract their pages, and save when a folder is given.
 
-    The rows feed two files and the summary, so they are written once to the
-    shared checkpoint folder instead of being extracted for each.
+    The plans are joined twice and reported; the rows feed two files and the
+    summary.  Both are written once to the shared checkpoint folder instead of
+    being made again for each use.
     """
     prepare(prompts.sparkSession)
-    planned = plans(prompts)
+    planned = store(plans(prompts), "plans")
     rows = extract_planned(plan_urls(planned), pages)
     if folder is None:
         return Run(planned, rows)
