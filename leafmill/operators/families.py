@@ -171,35 +171,53 @@ def _cells(doc: Column, row: Column, headers: Column) -> Column:
 def tables(doc: Column, source: Column) -> Column:
     """The rows of the first ten tables; a cell is named by its header.
 
-    A header that is called like a field of the row replaces that field.
+    A header that is called like a field of the row replaces that field.  Each
+    step binds what the next one asks for repeatedly, such as the headers.
     """
-
-    def rows(table: Column, index: Column) -> Column:
-        inside = subtree(doc, table)
-        headers = F.transform(find_all(inside, is_tag("th")), lambda n: dom.text(doc, n))
-        return F.transform(
-            find_all(inside, is_tag("tr")),
+    found = F.slice(find_all(doc["nodes"], is_tag("table")), 1, MAX_TABLES)
+    inside = F.transform(
+        found, lambda t, i: F.struct(i.alias("index"), subtree(doc, t).alias("inside"))
+    )
+    parts = F.transform(
+        inside,
+        lambda t: F.struct(
+            t["index"].alias("index"),
+            F.transform(find_all(t["inside"], is_tag("th")), lambda n: dom.text(doc, n)).alias(
+                "headers"
+            ),
+            find_all(t["inside"], is_tag("tr")).alias("rows"),
+        ),
+    )
+    rows = F.transform(
+        parts,
+        lambda t: F.transform(
+            t["rows"],
             lambda r: F.struct(
-                index.alias("index"), F.flatten(_cells(doc, r, headers)).alias("cells")
+                t["index"].alias("index"), F.flatten(_cells(doc, r, t["headers"])).alias("cells")
             ),
-        )
-
-    def named(cells: Column, name: str, otherwise: Column) -> Column:
-        return F.coalesce(F.try_element_at(cells, F.lit(name)), otherwise)
-
-    def item(row: Column) -> Column:
-        cells, absent = row["cells"], F.lit(None).cast("string")
-        base = {"source": source, "type": F.lit("table_row")}
-        overridable = [f.name for f in ITEM if f.dataType.simpleString() == "string"]
-        fields = {name: named(cells, name, base.get(name, absent)) for name in overridable}
-        return _item("tables", table_index=row["index"], cells=cells, **fields)
-
-    found = F.slice(find_all(doc["nodes"], is_tag("table")), 1, MAX_TABLES)
-    filled = F.filter(F.flatten(F.transform(found, rows)), lambda r: F.size(r["cells"]) > 0)
+        ),
+    )
+    filled = F.filter(F.flatten(rows), lambda r: F.size(r["cells"]) > 0)
     mapped = F.transform(
         filled,
         lambda r: F.struct(r["index"].alias("index"), F.map_from_entries(r["cells"]).alias("cells")),
     )
+    fields = [f.name for f in ITEM if f.dataType.simpleString() == "string"]
+    absent = F.lit(None).cast("string")
+
+    def item(row: Column) -> Column:
+        cells = row["cells"]
+        plain = {"source": source, "type": F.lit("table_row")}
+        replaced = {
+            name: F.coalesce(F.try_element_at(cells, F.lit(name)), plain.get(name, absent))
+            for name in fields
+        }
+        both = {"table_index": row["index"], "cells": cells}
+        any_replaced = F.arrays_overlap(F.map_keys(cells), F.array(*[F.lit(n) for n in fields]))
+        return F.when(any_replaced, _item("tables", **replaced, **both)).otherwise(
+            _item("tables", **plain, **both)
+        )
+
     return F.transform(mapped, item)
 
 

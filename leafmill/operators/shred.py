@@ -82,13 +82,20 @@ WANTED = frozenset(
     "title meta h1 h2 h3 h4 h5 h6 p a ul ol li table tr td th time".split()
 )
 
+# A text, then the markup it ends at: a tag, a comment or declaration, or the end.
+# A `<` that starts no markup is text.
 _MARKUP = re.compile(
-    r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)"
-    r"|!--(?:-?>|.*?(?:--!?>|\Z))|[!?/][^>]*+>?)",
+    r"((?:[^<]++|<(?![a-zA-Z!?/]))*+)"
+    r"(?:<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)"
+    r"|!--(?:-?>|.*?(?:--!?>|\Z))|[!?/][^>]*+>?)|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(\S++)))?""")
-_SIZE, _T0, _TN, _NEXT_ROW = (NODE.names.index(n) for n in ("size", "t0", "tn", "next_row"))
+_PRE, _SIZE, _T0, _TN, _CLASSES, _NEXT_ROW = (
+    NODE.names.index(n) for n in ("pre", "size", "t0", "tn", "classes", "next_row")
+)
+_NO_ATTRIBUTES: dict[str, str] = {}
+_NO_HOLDER = [None, (), None, None]
 _KEPT_ATTRIBUTES = ("class", "href", "name", "content")
 _REFERENCE = re.compile(r"&#?[0-9a-zA-Z]++(?:;|(?!=))")
 _TEXT_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TEXT}
@@ -143,71 +150,72 @@ class _Columns:
     def _shred(self, html: str, base: str) -> None:
         nodes, texts, keep_all = self.nodes, self.texts, self.keep_all
         first_node, first_text = len(nodes), len(texts)
-        # Open elements: (tag, position or -1 when not kept, last row among the children).
+        # Open elements: [tag, the tags that end it, its node if kept, its last row's node].
         stack: list[list] = []
-        seen: set[str] = set()
-        hidden = 0
+        head_seen = body_seen = False
+        hidden = 0  # open elements whose text does not count
 
         def close() -> None:
             nonlocal hidden
-            tag, pre, _ = stack.pop()
-            hidden -= tag in HIDDEN_TEXT
-            if pre >= 0:
-                node = nodes[first_node + pre]
-                node[_SIZE] = len(nodes) - first_node - pre - 1
+            tag, _, node, _ = stack.pop()
+            if node is not None:
+                node[_SIZE] = len(nodes) - first_node - node[_PRE] - 1
                 node[_TN] = len(texts) - first_text - node[_T0]
+            if tag in HIDDEN_TEXT:
+                hidden -= 1
 
         def put(tag: str, attributes: dict[str, str]) -> None:
             nonlocal hidden
-            seen.add(tag)
-            pre = -1
-            classes = attributes.get("class")
-            if keep_all or tag in WANTED or classes:
-                pre = len(nodes) - first_node
-                parent = stack[-1] if stack else None
-                href = attributes.get("href")
-                nodes.append(
-                    [
-                        pre,
-                        parent[1] if parent else -1,
-                        0,
-                        len(texts) - first_text,
-                        0,
-                        tag,
-                        classes.split() if classes else None,
-                        href,
-                        _resolve(base, href) if tag == "a" and href is not None else None,
-                        attributes.get("name"),
-                        attributes.get("content"),
-                        None,
-                    ]
-                )
-                if tag == "tr" and parent:
-                    if parent[2] >= 0:
-                        nodes[first_node + parent[2]][_NEXT_ROW] = pre
-                    parent[2] = pre
+            node = None
+            classes = attributes.get("class") if attributes else None
+            if classes or tag in WANTED or keep_all:
+                holder = stack[-1] if stack else _NO_HOLDER
+                node = [
+                    len(nodes) - first_node,
+                    -1 if holder[2] is None else holder[2][_PRE],
+                    0, len(texts) - first_text, 0, tag, None, None, None, None, None, None,
+                ]
+                if attributes:
+                    href = attributes.get("href")
+                    link = _resolve(base, href) if tag == "a" and href is not None else None
+                    name, content = attributes.get("name"), attributes.get("content")
+                    node[_CLASSES:] = classes.split() if classes else None, href, link, name, content, None
+                nodes.append(node)
+                if tag == "tr" and stack:
+                    if holder[3] is not None:
+                        holder[3][_NEXT_ROW] = node[_PRE]
+                    holder[3] = node
             if tag not in VOID:
-                stack.append([tag, pre, -1])
-                hidden += tag in HIDDEN_TEXT
+                stack.append([tag, ENDED_BY.get(tag, ()), node, None])
+                if tag in HIDDEN_TEXT:
+                    hidden += 1
 
         def start(tag: str, attributes: dict[str, str]) -> None:
-            while stack and tag in ENDED_BY.get(stack[-1][0], ()):
+            """Open an element, with the ends and the elements it implies."""
+            nonlocal head_seen, body_seen
+            while stack and tag in stack[-1][1]:
                 close()
             if tag == "html":
                 if stack:
                     return
-            elif not stack and "html" not in seen:
-                put("html", {})
-            if tag == "head" and ("head" in seen or "body" in seen):
-                return
-            if tag == "body" and "body" in seen:
-                return
-            if tag in HEAD_ONLY:
-                if len(stack) <= 1 and not seen & {"head", "body"}:
-                    put("head", {})
-            elif tag not in ("html", "head", "body", "frameset", "frame"):
-                if "body" not in seen and not any(e[0] == "head" for e in stack):
-                    put("body", {})
+            elif not stack:
+                put("html", _NO_ATTRIBUTES)
+            if tag == "head":
+                if head_seen or body_seen:
+                    return
+                head_seen = True
+            elif tag == "body":
+                if body_seen:
+                    return
+                body_seen = True
+            elif not body_seen and tag not in ("html", "frameset", "frame"):
+                if tag in HEAD_ONLY:
+                    if len(stack) == 1 and not head_seen:
+                        put("head", _NO_ATTRIBUTES)
+                        head_seen = True
+                elif not any(e[0] == "head" for e in stack):
+                    put("body", _NO_ATTRIBUTES)
+                    body_seen = True
             put(tag, attributes)
 
         def end(tag: str) -> None:
@@ -222,39 +230,44 @@ class _Columns:
                 if END_RANK.get(stack[depth][0], _PLAIN_RANK) > rank:
                     return
 
-        def text(chunk: str) -> None:
-            if (not stack or stack[-1][0] in ("html", "head")) and "body" not in seen:
-                if chunk.isspace():
-                    return
-                start("p", {})  # bare text opens a paragraph
-            if not hidden:
-                texts.append(unescape(chunk) if "&" in chunk else chunk)
-
-        at, limit = 0, len(html)
-        while at < limit:
-            token = _MARKUP.search(html, at)
-            if token is None:
-                text(html[at:])
-                break
-            if token.start() > at:
-                text(html[at : token.start()])
-            at = token.end()
-            closing, tag, attributes, complete = token.groups()
-            if not tag or not complete:
-                continue  # comment, declaration, or a tag the page breaks off in
-            tag = tag.lower()
-            if closing:
-                end(tag)
-                continue
-            start(tag, _attributes(attributes))
-            if tag in RAW_TEXT and stack and stack[-1][0] == tag:
-                stop = _TEXT_END[tag].search(html, at)
-                until = stop.start() if stop else limit
-                if until > at and not hidden:
-                    chunk = html[at:until]
-                    decode = tag in ("title", "textarea") and "&" in chunk
-                    texts.append(unescape(chunk) if decode else chunk)
-                at = until
+        at = 0
+        while at is not None:
+            resume = None
+            for token in _MARKUP.finditer(html, at):
+                text, closing, tag, attributes, complete = token.groups()
+                if text:
+                    if not body_seen and not text.isspace():
+                        if not stack or stack[-1][0] in ("html", "head"):
+                            start("p", _NO_ATTRIBUTES)  # bare text opens a paragraph
+                    elif not body_seen and stack and stack[-1][0] in ("html", "head"):
+                        text = ""
+                    if text and not hidden:
+                        texts.append(unescape(text) if "&" in text else text)
+                if not complete:
+                    continue  # a comment, a declaration, or a tag the page breaks off in
+                tag = tag.lower()
+                if closing:
+                    if stack[-1:] and stack[-1][0] == tag and tag != "body" and tag != "html":
+                        close()
+                    else:
+                        end(tag)
+                    continue
+                kept = _attributes(attributes) if attributes else _NO_ATTRIBUTES
+                if body_seen and stack and tag != "body" and tag != "head" and tag != "html":
+                    while stack and tag in stack[-1][1]:
+                        close()
+                    put(tag, kept)
+                else:
+                    start(tag, kept)
+                if tag in RAW_TEXT and stack and stack[-1][0] == tag:
+                    stop = _TEXT_END[tag].search(html, token.end())
+                    resume = stop.start() if stop else len(html)
+                    raw = html[token.end() : resume]
+                    if raw and not hidden:
+                        decode = tag in ("title", "textarea") and "&" in raw
+                        texts.append(unescape(raw) if decode else raw)
+                    break
+            at = resume
         while stack:
             close()
 

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from leafmill.functions.text import SPACE
 from leafmill.operators.extract import default_source
-from leafmill.plans.routing import PLAN, TARGET, prompt_plan
+from leafmill.plans.routing import PLAN, TARGET, prompt_plan, route
 from leafmill.session import prepare
 
 _FENCE = "```"
@@ -81,13 +81,14 @@ def plans(prompts: DataFrame) -> DataFrame:
     A prompt without a usable reply is planned by its own words.
     """
     prepare(prompts.sparkSession)
-    fallback = prompt_plan(F.col("prompt"))
+    prompts = route(prompts)
+    fallback = prompt_plan(F.col("prompt"), F.col("rule"))
     if "raw_response" not in prompts.columns:
         return prompts.select(
             "prompt_id", "prompt", fallback.alias("plan"), F.lit("rules").alias("planned_by")
         )
-    read = prompts.select("prompt_id", "prompt", reply_plan(F.col("raw_response")).alias("read"))
-    return read.select(
+    read = reply_plan(F.col("raw_response")).alias("read")
+    return prompts.select("prompt_id", "prompt", "rule", read).select(
         "prompt_id",
         "prompt",
         F.coalesce("read", fallback).alias("plan"),
@@ -117,8 +118,14 @@ def _url_count() -> Column:
 
 
 def plan_urls(planned: DataFrame) -> DataFrame:
-    """One row per planned URL, numbered from 1, with defaults filled in."""
-    exploded = planned.select("prompt_id", F.posexplode("plan.urls").alias("at", "target"))
+    """One row per planned URL, numbered from 1, with defaults filled in.
+
+    The outer form keeps Spark from testing the size of the array first, for
+    which it would build every plan a second time.
+    """
+    exploded = planned.select(
+        "prompt_id", F.posexplode_outer("plan.urls").alias("at", "target")
+    ).filter(F.col("at").isNotNull())
     url = F.coalesce(F.col("target.url"), F.lit(""))
     return exploded.select(
         "prompt_id",

@@ -34,9 +34,7 @@ PLAN = T.StructType(
 )
 
 
-def route(prompt: Column) -> Column:
-    """The first rule one of whose words occurs in the prompt, whatever its case."""
-    lowered = F.lower(prompt)
+def _first_rule(lowered: Column) -> Column:
     rule = None
     for name, words in fixed.RULES:
         hit = F.contains(lowered, F.lit(words[0]))
@@ -46,6 +44,16 @@ def route(prompt: Column) -> Column:
     return rule.otherwise(fixed.GENERAL)
 
 
+def route(prompts: DataFrame) -> DataFrame:
+    """Add `rule`: the first rule one of whose words occurs in the prompt, in any case.
+
+    The lowered prompt is a column of its own, so that a long prompt is lowered
+    once and not for each of the words.
+    """
+    lowered = prompts.withColumn("_lowered", F.lower("prompt"))
+    return lowered.withColumn("rule", _first_rule(F.col("_lowered"))).drop("_lowered")
+
+
 def topic(prompt: Column) -> Column:
     return F.substring(F.replace(prompt, F.lit(" "), F.lit("_")), 1, fixed.TOPIC_LENGTH)
 
@@ -88,29 +96,26 @@ def listed_targets(rule: str, prompt: Column) -> Column:
     )
 
 
-def targets(prompt: Column, rule: Column | None = None) -> Column:
+def targets(prompt: Column, rule: Column) -> Column:
     """All targets of a prompt, in plan order."""
-    rule = route(prompt) if rule is None else rule
     chosen = None
     for name in fixed.TARGETS:
         paged = name in fixed.PAGED_RULES
-        value = (paged_targets(name) if paged else listed_targets(name, prompt)).cast(
-            PLAN["urls"].dataType
-        )
+        value = paged_targets(name) if paged else listed_targets(name, prompt)
         chosen = F.when(rule == name, value) if chosen is None else chosen.when(rule == name, value)
     return chosen
 
 
-def prompt_plan(prompt: Column) -> Column:
+def prompt_plan(prompt: Column, rule: Column) -> Column:
     """The whole plan (`PLAN`) a prompt gets when no model has answered it."""
     return F.struct(
         F.concat(F.lit(fixed.PROJECT_PREFIX), prompt).alias("project_description"),
         F.lit(fixed.DATA_TYPE).alias("data_type"),
-        targets(prompt).alias("urls"),
+        targets(prompt, rule).alias("urls"),
         F.array(*[F.lit(c) for c in fixed.TARGET_COLUMNS]).alias("target_columns"),
         F.lit(fixed.STRATEGY).alias("scraping_strategy"),
         F.lit(fixed.ESTIMATED_ROWS).alias("estimated_rows"),
-    ).cast(PLAN)
+    )
 
 
 def catalog(spark: SparkSession) -> DataFrame:

@@ -37,8 +37,13 @@ def _cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("bigint").cast("string")
 
 
-def _lines(column: str, render) -> Column:
-    return F.array_join(F.transform(F.split(column, "\n"), render), "\n")
+def _with_lines(frame: DataFrame) -> DataFrame:
+    """Add the lines of `text` as a column, so that a text is split once."""
+    return frame.withColumn("lines", F.split("text", "\n"))
+
+
+def _lines(render) -> Column:
+    return F.array_join(F.transform("lines", render), "\n")
 
 
 def _page(page_id: Column, site: str, html: Column) -> list[Column]:
@@ -64,8 +69,8 @@ def quote_pages(spark: SparkSession, folder: str) -> DataFrame:
             F.when(i % 2 == 0, author).otherwise(""), tags, "</div>",
         )
 
-    html = _html('<html><body><div class="quote">no text here</div>', _lines("text", quote))
-    return table(spark, folder, "conversations").select(*_page(message_id(), "quotes", html))
+    html = _html('<html><body><div class="quote">no text here</div>', _lines(quote))
+    return _with_lines(table(spark, folder, "conversations")).select(*_page(message_id(), "quotes", html))
 
 
 def book_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,11 +127,11 @@ def news_pages(spark: SparkSession, folder: str) -> DataFrame:
         return _html(
             '<tr class="athing"><td><span class="titleline"><a href="s?id=', i.cast("string"), '">',
             _escape(line), "</a> (<b>site</b>)</span></td></tr>",
-            F.when(i < F.size(F.split("text", "\n")) - 1, details).otherwise(""),
+            F.when(i < F.size("lines") - 1, details).otherwise(""),
         )
 
-    html = _html("<table>", _lines("text", story), "</table>")
-    return table(spark, folder, "documents").select(*_page(F.col("doc_id"), "news", html))
+    html = _html("<table>", _lines(story), "</table>")
+    return _with_lines(table(spark, folder, "documents")).select(*_page(F.col("doc_id"), "news", html))
 
 
 def table_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,10 +174,10 @@ def outline_pages(spark: SparkSession, folder: str) -> DataFrame:
         )
 
     html = _html(
-        _lines("text", heading), "<ol>", _lines("text", entry), "</ol>",
+        _lines(heading), "<ol>", _lines(entry), "</ol>",
         '<div class="Main-NAV x"><ul><li>a navigation entry</li></ul></div>',
     )
-    return table(spark, folder, "conversations").select(*_page(message_id(), "outline", html))
+    return _with_lines(table(spark, folder, "conversations")).select(*_page(message_id(), "outline", html))
 
 
 def document_prompts(spark: SparkSession, folder: str) -> DataFrame:

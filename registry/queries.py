@@ -53,8 +53,7 @@ def _rows(rows: DataFrame, *more: str) -> DataFrame:
 
 @query
 def plan_route(spark, folder):
-    prompts = derived.document_prompts(spark, folder)
-    return prompts.select("prompt_id", routing.route(F.col("prompt")).alias("rule"))
+    return routing.route(derived.document_prompts(spark, folder)).select("prompt_id", "rule")
 
 
 def _targets(prompts: DataFrame, targets: Column) -> DataFrame:
@@ -75,7 +74,8 @@ def plan_pages(spark, folder):
 
 @query
 def plan_urls_by_rule(spark, folder):
-    return _targets(derived.document_prompts(spark, folder), routing.targets(F.col("prompt")))
+    routed = routing.route(derived.document_prompts(spark, folder))
+    return _targets(routed, routing.targets(F.col("prompt"), F.col("rule")))
 
 
 @query

@@ -31,7 +31,7 @@ def prompts(spark, texts):
 
 
 def test_route(spark):
-    got = prompts(spark, PROMPTS).select("prompt", route(F.col("prompt"))).collect()
+    got = route(prompts(spark, PROMPTS)).select("prompt", "rule").collect()
     assert dict(map(tuple, got)) == PROMPTS
 
 
