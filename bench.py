@@ -22,9 +22,9 @@ from registry.queries import QUERIES
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CORES = os.environ.get("BENCH_CPUS", "8")
 HEADLINES = [
-    "clean_text_of_documents",
+    "clean_text",
     "plan_route",
-    "plan_urls_by_rule",
+    "plan_urls",
     "plan_explode",
     "fetch_resolve",
     "extract_paragraphs",
@@ -33,15 +33,15 @@ HEADLINES = [
     "extract_quotes",
     "extract_books",
     "extract_news",
-    "extract_all_pages",
+    "extract_all",
     "extract_planned_pages",
     "dedup_content_of_documents",
-    "dedup_content_of_pages",
-    "append_merge_of_pages",
-    "page_counts_of_pages",
-    "summary_totals_of_pages",
-    "summary_by_type_of_pages",
-    "run_report_of_pages",
+    "dedup_content",
+    "append_merge",
+    "page_counts",
+    "summary_totals",
+    "summary_by_type",
+    "run_report",
     "sink_csv",
 ]
 
@@ -75,16 +75,16 @@ def main() -> None:
     times |= {name: seconds(spark, QUERIES[name]) for name in HEADLINES}
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     size = pages.agg(F.count(F.lit(1)), F.sum(F.length("html"))).first()
-    rows = QUERIES["extract_all_pages"](spark, FOLDER).count()
+    rows = QUERIES["extract_all"](spark, FOLDER).count()
     line = {
         "metric": "total_query_seconds",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
         "sf": FOLDER.rstrip("/").rsplit("sf", 1)[-1],
-        "pages_per_sec": round(size[0] / times["extract_all_pages"], 1),
-        "mchars_per_sec": round(size[1] / times["extract_all_pages"] / 1e6, 2),
-        "rows_per_sec": round(rows / times["extract_all_pages"], 1),
+        "pages_per_sec": round(size[0] / times["extract_all"], 1),
+        "mchars_per_sec": round(size[1] / times["extract_all"] / 1e6, 2),
+        "rows_per_sec": round(rows / times["extract_all"], 1),
     }
     print(json.dumps(line))
 

@@ -10,6 +10,9 @@ from leafmill.operators.extract import default_source, extract
 MAX_ATTEMPTS = 3
 NOT_FOUND = 404
 _HTTP_ERRORS_FROM = 400
+HOT_SHARE = 1000
+HOT_ROWS = 10_000
+SALTS = 128
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -45,19 +48,44 @@ def planned_pages(plan_urls: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(plan_urls.select("url").distinct(), "url", "left_semi")
 
 
+def _hot_urls(plan_urls: DataFrame) -> DataFrame:
+    """URLs with more than a thousandth of all planned rows: fewer than a thousand.
+
+    What one task can do at once, ``HOT_ROWS`` rows, is never hot.
+    """
+    counts = plan_urls.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    total = plan_urls.agg(F.count(F.lit(1))).scalar()
+    hot = (F.col("n") * HOT_SHARE > total) & (F.col("n") >= HOT_ROWS)
+    return counts.filter(hot).select("url", F.lit(True).alias("_hot"))
+
+
 def extract_planned(plan_urls: DataFrame, pages: DataFrame) -> DataFrame:
     """The rows of every plan: `prompt_id`, then the row with its plan's source.
 
-    A page is shredded once however many plans name it; only its rows are
-    joined to the plans.  A URL that many plans share is a skewed join key on
-    the plan side, which adaptive execution splits.  A header that replaced the
-    source of a table row stays.
+    A page is shredded once however many plans name it; only its rows are joined
+    to the plans.  Plans may well share a URL, so the plan rows of a hot URL are
+    spread over ``SALTS`` tasks and the rows of its page, which are few, are
+    given to each of them.  The list of hot URLs is broadcast: it has fewer than
+    ``HOT_SHARE`` entries by its definition.  ``plan_urls`` is read three times
+    and should be stored.
+
+    A header that replaced the source of a table row stays.
     """
-    rows = extract(planned_pages(plan_urls, pages)).drop("page_ord")
-    plan = plan_urls.select(
-        "prompt_id", "url", F.col("pos").alias("page_ord"), F.col("source_name").alias("_name")
+    hot = F.broadcast(_hot_urls(plan_urls))
+    rows = extract(planned_pages(plan_urls, pages)).drop("page_ord").join(hot, "url", "left")
+    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    rows = rows.withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))
+    ).drop("_hot")
+    salt = F.pmod(F.xxhash64("prompt_id", "pos"), F.lit(SALTS)).cast("int")
+    plan = plan_urls.join(hot, "url", "left").select(
+        "prompt_id",
+        "url",
+        F.col("pos").alias("page_ord"),
+        F.col("source_name").alias("_name"),
+        F.when(F.col("_hot"), salt).otherwise(0).alias("_salt"),
     )
     named = default_source(F.col("url"), F.col("_name"))
     replaced = F.map_contains_key("cells", F.lit("source"))
     source = F.when(replaced, F.col("source")).otherwise(named)
-    return plan.join(rows, "url").withColumn("source", source).drop("_name")
+    return plan.join(rows, ["url", "_salt"]).withColumn("source", source).drop("_name", "_salt")

@@ -23,7 +23,7 @@ from leafmill.plans.replies import empty_plans, plan_summary, plan_urls, plans
 from leafmill.run import run_report
 from leafmill.session import new_folder, prepare, store
 from leafmill.sources.csv import (
-    column_names, drop_type, file_profile, read_csv, save_csv, save_snapshot, widen,
+    column_names, drop_type, file_profile, output_path, read_csv, save_csv, save_snapshot, widen,
 )
 from leafmill.sources.pages import extract_planned, planned_pages, resolve_fetches
 from registry import derived
@@ -35,12 +35,12 @@ ROW = ["page_id", "pos", "source", "type", "text", "href"]
 
 
 def query(build: Query) -> Query:
-    """Register a function under its own name."""
+    """Register a function under its name; a closing underscore only avoids a clash."""
 
     def prepared(spark: SparkSession, folder: str) -> DataFrame:
         return build(prepare(spark), folder)
 
-    QUERIES[build.__name__] = prepared
+    QUERIES[build.__name__.rstrip("_")] = prepared
     return build
 
 
@@ -73,7 +73,7 @@ def plan_pages(spark, folder):
 
 
 @query
-def plan_urls_by_rule(spark, folder):
+def plan_urls_(spark, folder):
     routed = routing.route(derived.document_prompts(spark, folder))
     return _targets(routed, routing.targets(F.col("prompt"), F.col("rule")))
 
@@ -105,7 +105,7 @@ def plan_parse(spark, folder):
 
 
 @query
-def plan_summary_lines(spark, folder):
+def plan_summary_(spark, folder):
     return plan_summary(plans(derived.replies(spark, folder)))
 
 
@@ -160,18 +160,18 @@ def scan_csv(spark, folder):
 
 
 @query
-def clean_text_of_documents(spark, folder):
+def clean_text_(spark, folder):
     documents = derived.table(spark, folder, "documents")
     return documents.select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 @query
-def netloc_of_pages(spark, folder):
+def netloc_(spark, folder):
     return derived.pages(spark, folder).select("page_id", netloc(F.col("url")).alias("netloc"))
 
 
 @query
-def url_join_of_pages(spark, folder):
+def url_join_(spark, folder):
     """Every page address with absolute, rooted, relative and query references."""
     refs = ["", "/a/b", "x/../y", "?q=1", "#top", "//other.example/z", "mailto:a@b", "HTTP://h/"]
     pages = derived.pages(spark, folder).select(
@@ -181,13 +181,13 @@ def url_join_of_pages(spark, folder):
 
 
 @query
-def content_hash_of_documents(spark, folder):
+def content_hash_(spark, folder):
     key = content_hash(F.col("text"), F.nullif(F.col("lang"), F.lit("en")), F.col("source"))
     return derived.table(spark, folder, "documents").select("doc_id", key.alias("content_key"))
 
 
 @query
-def display_trunc_of_documents(spark, folder):
+def display_trunc_(spark, folder):
     return derived.table(spark, folder, "documents").select(
         "doc_id",
         display_trunc(F.col("text"), 80, "nan").alias("text_80"),
@@ -197,13 +197,13 @@ def display_trunc_of_documents(spark, folder):
 
 
 @query
-def join_tags_of_quotes(spark, folder):
+def join_tags_(spark, folder):
     rows = extract(derived.quote_pages(spark, folder), ["quotes"])
     return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), "tags")
 
 
 @query
-def has_skip_class_of_documents(spark, folder):
+def has_skip_class_(spark, folder):
     """Whether the words of a text, taken as a class list, mark navigation."""
     skip = has_skip_class(F.split("text", "\\s+"))
     return derived.table(spark, folder, "documents").select("doc_id", skip.alias("skip"))
@@ -297,13 +297,13 @@ def extract_page(spark, folder):
 
 
 @query
-def extract_all_pages(spark, folder):
+def extract_all_(spark, folder):
     return _rows(extract_all(derived.pages(spark, folder)))
 
 
 @query
 def extract_planned_pages(spark, folder):
-    planned = plan_urls(plans(derived.page_prompts(spark, folder)))
+    planned = store(plan_urls(plans(derived.page_prompts(spark, folder))), "plan-urls")
     rows = extract_planned(planned, derived.pages(spark, folder))
     return rows.select(
         "prompt_id", F.col("page_ord").cast("bigint").alias("page_ord"),
@@ -448,7 +448,7 @@ def dedup_content_of_documents(spark, folder):
 
 
 @query
-def dedup_content_of_pages(spark, folder):
+def dedup_content_(spark, folder):
     """Rows of all pages under one source name, so that copies meet."""
     named = derived.pages(spark, folder).withColumn("source_name", F.lit("all"))
     return _rows(dedup_content(extract_all(named)))
@@ -464,13 +464,13 @@ def dedup_content_of_tables(spark, folder):
 
 
 @query
-def dedup_removed_of_pages(spark, folder):
+def dedup_removed_(spark, folder):
     named = derived.pages(spark, folder).withColumn("source_name", F.lit("all"))
     return dedup_removed(extract_all(named))
 
 
 @query
-def append_merge_of_pages(spark, folder):
+def append_merge_(spark, folder):
     """Saved headings and paragraphs, then all rows."""
     pages = derived.pages(spark, folder)
     path = save_csv(extract(pages, ["headings", "paragraphs"]), new_folder(spark, "existing"))
@@ -490,7 +490,7 @@ def dedup_links(spark, folder):
 
 
 @query
-def summary_totals_of_pages(spark, folder):
+def summary_totals_(spark, folder):
     return summary_totals(extract_all(derived.pages(spark, folder)))
 
 
@@ -501,22 +501,22 @@ def summary_columns_of_tables(spark, folder):
 
 
 @query
-def summary_by_source_of_pages(spark, folder):
+def summary_by_source_(spark, folder):
     return summary_by_source(extract_all(derived.pages(spark, folder)))
 
 
 @query
-def summary_by_type_of_pages(spark, folder):
+def summary_by_type_(spark, folder):
     return summary_by_type(extract_all(derived.pages(spark, folder)))
 
 
 @query
-def page_counts_of_pages(spark, folder):
+def page_counts_(spark, folder):
     return page_counts(derived.pages(spark, folder))
 
 
 @query
-def summary_sample_of_pages(spark, folder):
+def summary_sample_(spark, folder):
     return summary_sample(extract_all(derived.pages(spark, folder)))
 
 
@@ -526,22 +526,22 @@ def summary_sample_of_tables(spark, folder):
 
 
 @query
-def cli_sample_of_pages(spark, folder):
+def cli_sample_(spark, folder):
     return cli_sample(extract_all(derived.pages(spark, folder)))
 
 
 @query
-def cli_more_of_pages(spark, folder):
+def cli_more_(spark, folder):
     return cli_more(extract_all(derived.pages(spark, folder)))
 
 
 @query
-def api_sample_of_pages(spark, folder):
+def api_sample_(spark, folder):
     return _rows(api_sample(extract_all(derived.pages(spark, folder))))
 
 
 @query
-def file_profile_of_pages(spark, folder):
+def file_profile_(spark, folder):
     path = save_csv(extract_all(derived.pages(spark, folder)), new_folder(spark, "profile"))
     return file_profile(spark, path).select(
         "n_rows", "n_columns", (F.col("n_bytes") > 0).alias("has_bytes")
@@ -549,8 +549,8 @@ def file_profile_of_pages(spark, folder):
 
 
 @query
-def run_report_of_pages(spark, folder):
-    planned = plans(derived.page_prompts(spark, folder))
+def run_report_(spark, folder):
+    planned = store(plans(derived.page_prompts(spark, folder)), "plans")
     rows = extract_planned(plan_urls(planned), derived.pages(spark, folder))
     return run_report(planned, rows, "output.csv")
 
@@ -564,6 +564,15 @@ def sink_csv(spark, folder):
     return read_csv(spark, path)
 
 
+@query
+def sink_path(spark, folder):
+    """Rows saved under a relative name, which lies in the output folder."""
+    output = new_folder(spark, "outputs")
+    rows = extract(derived.pages(spark, folder), ["headings"])
+    save_csv(rows, output_path(output, "headings.csv"))
+    return summary_by_source(read_csv(spark, f"{output}/headings.csv"))
+
+
 @query
 def sink_snapshot(spark, folder):
     rows = extract_all(derived.book_pages(spark, folder))
@@ -572,14 +581,14 @@ def sink_snapshot(spark, folder):
 
 
 @query
-def drop_type_of_saved(spark, folder):
+def drop_type_(spark, folder):
     rows = extract(derived.job_pages(spark, folder), ["jobs"])
     path = save_csv(rows, new_folder(spark, "saved"))
     return drop_type(read_csv(spark, path))
 
 
 @query
-def widen_tables(spark, folder):
+def widen_(spark, folder):
     rows = store(extract(derived.table_pages(spark, folder), ["tables"]), "table-rows")
     wide = widen(rows, column_names(rows))
     return wide.withColumn("page_ord", F.col("page_ord").cast("bigint")).withColumn(

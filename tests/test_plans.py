@@ -11,7 +11,7 @@ from leafmill.plans.replies import empty_plans, plan_summary, plan_urls, plans
 from leafmill.plans.routing import catalog, route, topic
 from leafmill.run import run, run_report
 from leafmill.sources.csv import read_csv
-from leafmill.sources.pages import extract_planned, planned_pages, resolve_fetches
+from leafmill.sources.pages import _hot_urls, extract_planned, planned_pages, resolve_fetches
 
 PROMPTS = {
     "a book shop": "books",
@@ -154,6 +154,17 @@ def test_planned_pages_are_joined_once(spark, pages):
     ]
 
 
+def test_a_url_all_plans_share(spark, pages, monkeypatch):
+    monkeypatch.setattr("leafmill.sources.pages.HOT_ROWS", 1)
+    planned = spark.range(3000).selectExpr(
+        "id prompt_id", "1L pos", "if(id % 3 = 0, 'https://a/1', concat('https://b/', id)) url", "'N' source_name"
+    )
+    assert [r["url"] for r in _hot_urls(planned).collect()] == ["https://a/1"]
+    assert _hot_urls(planned.filter("id < 3")).count() == 3
+    rows = extract_planned(planned, pages(("https://a/1", "<h1>one</h1><h1>two</h1>"), ("https://b/1", "<h1>bbb</h1>")))
+    assert rows.count() == 2001 and rows.select("prompt_id", "text").distinct().count() == 2001
+
+
 def test_planned_source_does_not_undo_a_header(spark, pages):
     html = "<table><tr><th>source<tr><td>mine</table>"
     planned = spark.createDataFrame(
