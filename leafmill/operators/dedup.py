@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import content_hash
-from leafmill.schema import ORDER
+from leafmill.schema import FIELDS, ORDER
 
-_KEY = "_content_key"
-_RANK = "_rank"
+# Names no table header is likely to have.
+_KEY = "_leafmill_key"
+_RANK = "_leafmill_rank"
+_NEW = "_leafmill_new"
 
 
 def content_key() -> Column:
@@ -55,14 +57,24 @@ def append_merge(
 
     New rows are first deduplicated among themselves.  Re-read files hold NULL
     where '' was written, and NULL differs from '' unless
-    ``missing_equals_empty``.  Rows without order columns are ordered by value.
+    ``missing_equals_empty``.  Rows without order columns are ordered by
+    their fields.
     """
-    both = existing.withColumn("_new", F.lit(False)).unionByName(
-        dedup_content(new, scope).withColumn("_new", F.lit(True)), allowMissingColumns=True
+    return merge_unique(existing, dedup_content(new, scope), missing_equals_empty, scope)
+
+
+def merge_unique(
+    existing: DataFrame,
+    unique: DataFrame,
+    missing_equals_empty: bool = False,
+    scope: Sequence[str] = (),
+) -> DataFrame:
+    """`append_merge` for new rows that hold no duplicates."""
+    both = existing.withColumn(_NEW, F.lit(False)).unionByName(
+        unique.withColumn(_NEW, F.lit(True)), allowMissingColumns=True
     )
     keys = [F.col(c) for c in ("text", "type", "source")]
     if missing_equals_empty:
         keys = [F.coalesce(k, F.lit("")) for k in keys]
-    values = [f.name for f in both.schema if f.dataType.simpleString() == "string"]
-    order = ["_new", *[c for c in ORDER if c in both.columns], *values]
-    return _keep_first(both, [*scope, *keys], order).drop("_new")
+    order = [_NEW, *[c for c in [*ORDER, *FIELDS] if c in both.columns]]
+    return _keep_first(both, [*scope, *keys], order).drop(_NEW)

@@ -8,11 +8,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafmill.operators.dedup import append_merge, dedup_content
+from leafmill.operators.dedup import dedup_content, merge_unique
 from leafmill.operators.profile import column_order
 from leafmill.schema import FAMILIES, FIELDS, ORDER
-from leafmill.session import store
+from leafmill.session import exact_names, store
 
 # Fixed value: the byte order mark a saved file starts with.
 BOM = "\N{ZERO WIDTH NO-BREAK SPACE}"
@@ -39,11 +40,11 @@ def column_names(rows: DataFrame, max_columns: int = MAX_COLUMNS) -> list[str]:
 
 
 def widen(
-    rows: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()
+    rows: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ORDER
 ) -> DataFrame:
     """The wide table: one column per field name met, absent values NULL.
 
-    The order columns, and those to ``keep``, stand in front of it.
+    The columns to ``keep``, by default those that order the rows, stand in front.
     """
     names = column_names(rows) if columns is None else list(columns)
 
@@ -52,7 +53,7 @@ def widen(
             return F.coalesce(F.try_element_at("cells", F.lit(name)), F.col(name).cast("string"))
         return F.col(name) if name in FIELDS else F.try_element_at("cells", F.lit(name))
 
-    return rows.select(*ORDER, *keep, *[value(name).alias(name) for name in names])
+    return rows.select(*keep, *[value(name).alias(name) for name in names])
 
 
 def _mixed_index(rows: DataFrame) -> bool:
@@ -83,18 +84,17 @@ def save_csv(
     unique = store(dedup_content(rows, scope), "unique-rows")
     if unique.isEmpty():
         return ""
-    wide = widen(unique, columns, keep=scope)
-    if "table_index" in wide.columns and _mixed_index(unique):
-        wide = wide.withColumn("table_index", F.col("table_index").cast("double").cast("string"))
-    if not (append and _exists(spark, path)):
-        _write(wide.drop(*ORDER), path)
-        return path
-    existing = read_csv(spark, path)
-    merged = append_merge(existing, _identified(wide), scope=scope)
-    next_path = f"{path}.next"
-    names = [*existing.columns, *[c for c in wide.columns if c not in existing.columns]]
-    _write(merged.select(*[c for c in names if c not in ORDER]), next_path)
-    _replace(spark, next_path, path)
+    with exact_names(spark):
+        wide = widen(unique, columns, keep=scope)
+        if "table_index" in wide.columns and _mixed_index(unique):
+            number = F.col("table_index").cast("double").cast("string")
+            wide = wide.withColumn("table_index", number)
+        if not (append and _exists(spark, path)):
+            _write(wide, path)
+            return path
+        merged = merge_unique(read_csv(spark, path), _identified(wide), scope=scope)
+        _write(merged, f"{path}.next")
+    _replace(spark, f"{path}.next", path)
     return path
 
 
@@ -108,14 +108,10 @@ def _identified(wide: DataFrame) -> DataFrame:
 
 def _write(wide: DataFrame, path: str) -> None:
     first, *rest = wide.columns
-    marked = wide.withColumnRenamed(first, BOM + first).select(f"`{BOM}{first}`", *_quoted(rest))
+    marked = wide.toDF(BOM + first, *rest)
     marked.write.mode("overwrite").options(**_CSV, emptyValue="").csv(path)
 
 
-def _quoted(names: Sequence[str]) -> list[str]:
-    return [f"`{name.replace('`', '``')}`" for name in names]
-
-
 def snapshot_path(folder: str, prefix: str = "crawl", now: datetime.datetime | None = None) -> str:
     """`{prefix}_{yyyymmdd_HHMMSS}` inside the folder."""
     now = now or datetime.datetime.now()
@@ -135,12 +131,14 @@ def output_path(folder: str, name: str) -> str:
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Saved rows, every column text; empty cells are NULL.
 
-    Without ``columns`` the names are read from the header of a file.
+    Without ``columns`` the names are read from the header of a file.  To query
+    a file with names that differ in case only, use `session.exact_names`.
     """
     reader = spark.read.options(**_CSV, multiLine=True)
     if columns is not None:
-        return reader.schema(", ".join(f"{c} string" for c in _quoted(columns))).csv(path)
-    return reader.csv(path)
+        return reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path)
+    with exact_names(spark):
+        return reader.csv(path)
 
 
 def drop_type(saved: DataFrame) -> DataFrame:

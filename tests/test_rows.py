@@ -12,6 +12,7 @@ from leafmill.operators.profile import (
     cli_more, cli_sample, column_order, page_counts, summary_by_source, summary_by_type,
     summary_sample, summary_totals,
 )
+from leafmill.session import exact_names
 from leafmill.sources.csv import (
     column_names, drop_type, file_profile, output_path, read_csv, save_csv, save_snapshot, snapshot_path, widen,
 )
@@ -140,6 +141,21 @@ def test_appending_to_a_file(spark, pages, tmp_path):
     assert bag(saved, "text") == ["('new',)", "('one',)", "('two',)", "(None,)"]
 
 
+def test_any_header_can_be_a_column(spark, pages, tmp_path):
+    names = ["Price", "price", "Text", "U.S. `size`", "", "a,b", "Table_Index", "page_ord", "_new"]
+    header = "".join(f"<th>{n}</th>" for n in names)
+    cells = "".join(f"<td>{i}</td>" for i in range(len(names)))
+    html = f"<table><tr>{header}</tr><tr>{cells}</tr></table><p>{'x' * 31}"
+    path = save_csv(extract(pages(html), ["tables", "paragraphs"]), str(tmp_path / "names"))
+    saved = read_csv(spark, path)
+    assert saved.columns[:3] == ["source", "type", "table_index"]
+    assert set(names) - {""} <= set(saved.columns) and len(saved.columns) == 14
+    save_csv(extract(pages(html.replace("<th>", "<th>A")), ["tables", "paragraphs"]), path, append=True)
+    with exact_names(spark):
+        assert read_csv(spark, path).count() == 2
+    assert "APrice" in read_csv(spark, path).columns
+
+
 def test_nothing_to_save(spark, pages, tmp_path):
     path = str(tmp_path / "none")
     assert save_csv(extract_all(pages("<p>short")), path) == ""
