@@ -51,10 +51,8 @@ def default_source(url: Column, source_name: Column | None = None) -> Column:
     return F.coalesce(F.when(source_name != "", source_name), host)
 
 
-def with_document(
-    pages: DataFrame, keep_all: bool = False, keep_empty: bool = False
-) -> DataFrame:
-    """Add the shredded document of each page that has any markup.
+def with_document(pages: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Add the shredded document of each page; without markup it has no elements.
 
     ``page_ord`` defaults to ``page_id`` and ``source`` to the host.  Columns
     other than the keys are dropped before pages cross into the worker.
@@ -63,8 +61,6 @@ def with_document(
     if "page_ord" not in pages.columns:
         pages = pages.withColumn("page_ord", F.col("page_id"))
     name = F.col("source_name") if "source_name" in pages.columns else None
-    if not keep_empty:
-        pages = pages.filter(F.col("html") != "")
     pages = pages.withColumn("source", default_source(F.col("url"), name))
     return (
         _spread(pages.select(*_KEYS, "html"))
@@ -96,7 +92,7 @@ def extract_all(pages: DataFrame) -> DataFrame:
 
 def family_sizes(pages: DataFrame) -> DataFrame:
     """How many rows of each family a page has, without making the rows."""
-    documents = with_document(pages, keep_empty=True)
+    documents = with_document(pages)
     application = pages.sparkSession.sparkContext.applicationId
     sizes = [F.size(_rows_of(name, application)).alias(name) for name in EXTRACTORS]
     return documents.select("page_id", "url", *sizes)

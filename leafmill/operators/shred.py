@@ -8,6 +8,7 @@ is asked of a document afterwards is a Spark expression over its two arrays.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 from html.entities import html5
 from urllib.parse import urljoin
@@ -82,10 +83,13 @@ WANTED = frozenset(
     "title meta h1 h2 h3 h4 h5 h6 p a ul ol li table tr td th time".split()
 )
 
+# Empty elements that neither end another one nor are asked for.
+_PASSED_OVER = frozenset("area br embed img input param source track wbr".split())
+
 # A text, then the markup it ends at: a tag, a comment or declaration, or the end.
 # A `<` that starts no markup is text.
 _MARKUP = re.compile(
-    r"((?:[^<]++|<(?![a-zA-Z!?/]))*+)"
+    r"([^<]*+(?:<(?![a-zA-Z!?/])[^<]*+)*+)"
     r"(?:<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)"
     r"|!--(?:-?>|.*?(?:--!?>|\Z))|[!?/][^>]*+>?)|\Z)",
     re.S,
@@ -121,6 +125,11 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+# The same short attributes stand on many elements.
+_short_attributes = lru_cache(maxsize=4096)(_attributes)
+_SHORT = 64
+
+
 def _resolve(base: str, href: str) -> str | None:
     """`href` against the page address; None when it cannot be resolved."""
     if not href or href.startswith(ABSOLUTE_PREFIXES):
@@ -252,7 +261,14 @@ class _Columns:
                     else:
                         end(tag)
                     continue
-                kept = _attributes(attributes) if attributes else _NO_ATTRIBUTES
+                if body_seen and tag in _PASSED_OVER and not keep_all:
+                    continue
+                if not attributes:
+                    kept = _NO_ATTRIBUTES
+                elif len(attributes) < _SHORT:
+                    kept = _short_attributes(attributes)
+                else:
+                    kept = _attributes(attributes)
                 if body_seen and stack and tag != "body" and tag != "head" and tag != "html":
                     while stack and tag in stack[-1][1]:
                         close()

@@ -54,6 +54,8 @@ _shipped: set[str] = set()
 def _ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application."""
     package = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(package):
+        return  # runs from an archive the workers already have
     archive = shutil.make_archive(
         os.path.join(tempfile.mkdtemp(prefix="leafmill-"), "leafmill"),
         "zip",

@@ -56,6 +56,14 @@ def widen(
     return rows.select(*keep, *[value(name).alias(name) for name in names])
 
 
+def with_json_cells(rows: DataFrame, keep: Sequence[str] = ORDER) -> DataFrame:
+    """The fields of each row, with all table cells as one JSON text.
+
+    For crawls whose tables have too many different headers for columns.
+    """
+    return rows.select(*keep, *FIELDS, F.to_json("cells").alias("cells"))
+
+
 def _mixed_index(rows: DataFrame) -> bool:
     """Whether table numbers share a numeric column with rows that have none.
 
@@ -73,20 +81,22 @@ def save_csv(
     append: bool = False,
     columns: Sequence[str] | None = None,
     scope: Sequence[str] = (),
+    json_cells: bool = False,
 ) -> str:
     """Deduplicate rows and save them as a folder of CSV parts; the path, or ''.
 
     Every part has a header and starts with a byte order mark.  No rows: nothing
     is written and '' is returned.  The rows are written once to the shared
-    folder first, as the column names need a pass of their own.
+    folder first, as the column names need a pass of their own.  With
+    ``json_cells`` table cells stay together in one column.
     """
     spark = rows.sparkSession
     unique = store(dedup_content(rows, scope), "unique-rows")
     if unique.isEmpty():
         return ""
     with exact_names(spark):
-        wide = widen(unique, columns, keep=scope)
-        if "table_index" in wide.columns and _mixed_index(unique):
+        wide = with_json_cells(unique, scope) if json_cells else widen(unique, columns, scope)
+        if not json_cells and "table_index" in wide.columns and _mixed_index(unique):
             number = F.col("table_index").cast("double").cast("string")
             wide = wide.withColumn("table_index", number)
         if not (append and _exists(spark, path)):

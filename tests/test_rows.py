@@ -156,6 +156,11 @@ def test_any_header_can_be_a_column(spark, pages, tmp_path):
     assert "APrice" in read_csv(spark, path).columns
 
 
+def test_cells_as_json(spark, rows, tmp_path):
+    saved = read_csv(spark, save_csv(rows, str(tmp_path / "json"), json_cells=True))
+    assert saved.filter("type = 'table_row'").first()["cells"] == '{"K":"K","price":"price"}'
+
+
 def test_nothing_to_save(spark, pages, tmp_path):
     path = str(tmp_path / "none")
     assert save_csv(extract_all(pages("<p>short")), path) == ""
