@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import content_hash
-from leafmill.schema import FIELDS, ORDER
+from leafmill.schema import FIELDS, order_of
 
 # Names no table header is likely to have.
 _KEY = "_leafmill_key"
@@ -36,7 +36,7 @@ def dedup_content(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     ``scope`` names columns that separate independent runs, e.g. a prompt.
     """
     keyed = rows.withColumn(_KEY, content_key())
-    return _keep_first(keyed, [*scope, _KEY], ORDER).drop(_KEY)
+    return _keep_first(keyed, [*scope, _KEY], order_of(rows.columns)).drop(_KEY)
 
 
 def dedup_removed(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -76,5 +76,5 @@ def merge_unique(
     keys = [F.col(c) for c in ("text", "type", "source")]
     if missing_equals_empty:
         keys = [F.coalesce(k, F.lit("")) for k in keys]
-    order = [_NEW, *[c for c in [*ORDER, *FIELDS] if c in both.columns]]
+    order = [_NEW, *order_of(both.columns), *[c for c in FIELDS if c in both.columns]]
     return _keep_first(both, [*scope, *keys], order).drop(_NEW)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import display_trunc
 from leafmill.operators.extract import family_sizes
-from leafmill.schema import FAMILIES, ORDER
+from leafmill.schema import FAMILIES, order_of
 
 SUMMARY_SAMPLE = 5
 API_SAMPLE = 10
@@ -101,8 +101,9 @@ def page_counts(pages: DataFrame) -> DataFrame:
     )
 
 
-def first_rows(rows: DataFrame, n: int, order: Sequence[str] = ORDER) -> DataFrame:
-    return rows.orderBy(*order).limit(n)
+def first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The first rows in run order: a top-n, not a sort of the table."""
+    return rows.orderBy(*order_of(rows.columns)).limit(n)
 
 
 def summary_sample(rows: DataFrame) -> DataFrame:

@@ -66,6 +66,13 @@ ITEM = T.StructType(
 # `pos` numbers the rows of a page, family after family.
 ORDER = ["page_ord", "pos"]
 
+
+
+def order_of(columns: list[str]) -> list[str]:
+    """The columns that order a table's rows: `ORDER`, prompts first, pages told apart."""
+    return [c for c in ("prompt_id", "page_ord", "page_id", "pos") if c in columns]
+
+
 # The named value columns of a row, i.e. without order and cell columns.
 FIELDS = [f.name for f in ITEM if f.name not in ("family_rank", "cells")]
 

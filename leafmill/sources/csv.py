@@ -92,6 +92,7 @@ def save_csv(
     """
     spark = rows.sparkSession
     unique = store(dedup_content(rows, scope), "unique-rows")
+    unique = unique.withColumns({name: F.col(name).cast("string") for name in scope})
     if unique.isEmpty():
         return ""
     with exact_names(spark):

@@ -57,6 +57,13 @@ def test_dedup_scope(spark):
     assert dedup_content(rows).count() == 2
 
 
+def test_pages_of_one_place_are_told_apart(pages):
+    html = "<h1>same</h1><a href={}>same link</a>"
+    twice = pages(("https://a/", html.format("x")), ("https://a/", html.format("y")))
+    kept = dedup_content(extract_all(twice.withColumn("page_ord", F.lit(1)).repartition(8)))
+    assert bag(kept, "page_id", "href") == ["(0, '')", "(0, 'https://a/x')"]
+
+
 def test_a_hot_key_is_cut_before_the_shuffle(spark):
     rows = spark.range(0, 1000, 1, 4).selectExpr(
         "id page_ord", "0 pos", "string(id div 5000) text", "'x' type", "'s' source"
@@ -156,6 +163,14 @@ def test_any_header_can_be_a_column(spark, pages, tmp_path):
     assert "APrice" in read_csv(spark, path).columns
 
 
+def test_appending_per_prompt(spark, pages, tmp_path):
+    path, rows = str(tmp_path / "prompts"), extract(pages("<h1>one</h1>"), ["headings"])
+    for prompt in (1, 2, 2):
+        asked = rows.withColumn("prompt_id", F.lit(prompt))
+        save_csv(asked, path, append=True, scope=["prompt_id"])
+    assert bag(read_csv(spark, path), "prompt_id", "text") == ["('1', 'one')", "('2', 'one')"]
+
+
 def test_cells_as_json(spark, rows, tmp_path):
     saved = read_csv(spark, save_csv(rows, str(tmp_path / "json"), json_cells=True))
     assert saved.filter("type = 'table_row'").first()["cells"] == '{"K":"K","price":"price"}'
