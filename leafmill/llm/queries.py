@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import langid
+from leafmill.llm import ans, langid, mixing, ngram_join, packing, recompression, tokens
 from leafmill.llm.common import documents
 from leafmill.session import prepare
 
@@ -30,6 +31,39 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op2_mix_sources(spark, folder):
+    mixed = mixing.mix(documents(spark, folder))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op3_token_files(spark, folder):
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = ans.round_trip(docs, vocabulary(tokens.VOCABULARY), end_id=0)
+    return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op4_substring_dedup(spark, folder):
+    left = recompression.remove_repeats(documents(spark, folder).select("doc_id", "text"))
+    return left.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+@query
+def op7_ngram_jaccard(spark, folder):
+    return ngram_join.ngram_components(documents(spark, folder), n=4, percent=85)
+
+
+@query
+def op8_packing(spark, folder):
+    docs = documents(spark, folder).select("doc_id", "text")
+    packed = packing.pack(docs, vocabulary(tokens.VOCABULARY), capacity=2048, end_id=1)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query
 def op10_language_id(spark, folder):
     found = langid.language_ids(documents(spark, folder), vocabulary(langid.VOCABULARY))
