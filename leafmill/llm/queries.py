@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import ans, langid, mixing, ngram_join, packing, recompression, tokens
+from leafmill.llm import (
+    ans, langid, mixing, ngram_join, packing, recompression, shards, spotsigs, tokens,
+)
 from leafmill.llm.common import documents
 from leafmill.session import prepare
 
@@ -31,6 +33,15 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op1_kd_shards(spark, folder):
+    placed = shards.kd_shards(documents(spark, folder), shards=16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op2_mix_sources(spark, folder):
     mixed = mixing.mix(documents(spark, folder))
@@ -64,6 +75,11 @@ def op8_packing(spark, folder):
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query
+def op9_spotsigs(spark, folder):
+    return spotsigs.with_next(documents(spark, folder))
+
+
 @query
 def op10_language_id(spark, folder):
     found = langid.language_ids(documents(spark, folder), vocabulary(langid.VOCABULARY))
