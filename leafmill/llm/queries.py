@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import (
-    ans, langid, mixing, ngram_join, packing, rabitq, recompression, shards, spotsigs, tokens,
+    ans, fm, langid, mixing, ngram_join, packing, rabitq, recompression, shards, spotsigs, tokens,
 )
 from leafmill.llm.common import documents
 from leafmill.session import prepare
@@ -63,6 +63,12 @@ def op4_substring_dedup(spark, folder):
     )
 
 
+@query
+def op5_quality(spark, folder):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return fm.quality_scores(documents(spark, folder), labels)
+
+
 @query
 def op6_one_bit_search(spark, folder):
     return rabitq.nearest(spark.read.parquet(f"{folder}/embeddings.parquet"), k=20, every=20)
