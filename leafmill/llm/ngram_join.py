@@ -16,8 +16,10 @@ at fixed places; differences of the counts between cuts bound the overlap from
 above).  What is left is compared on the texts, once per pair.
 
 Only classes of linked documents are asked for, so no group is paired with
-itself: first every set is compared with one partner, then only pairs whose
-classes still differ are.  Equal sets are one entity from the start.
+itself: first every set is compared with one partner, the likeliest original of
+a group it is in, then only pairs whose classes still differ are.  Sets that
+still meet others on a crowded token are joined once more on all their tokens.
+Equal sets are one entity from the start.
 
 Cases: null, empty and blank texts have no tokens and link with nothing, texts
 shorter than n words have one token; rows with equal keys are separate rows; of
@@ -43,6 +45,8 @@ from leafmill.session import store
 MARGIN = 1.34
 # Cuts of the hash space for the suffix filter.
 CELLS = 64
+# Tokens of more sets than this are crowded.
+FEW = 32
 LOWEST = -(1 << 63)
 
 
@@ -134,28 +138,73 @@ def _passes(percent: int) -> Column:
     )
 
 
-def prefixes(entities: DataFrame, percent: int) -> DataFrame:
-    """Rows (token, entity, n, pos): the tokens of each prefix that more than one set has."""
+def prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, entity, n, pos, copies): the tokens of each prefix that more than one set has.
+
+    ``tokens``: (token, entity, n, region, copies); what is in the region comes first.
+    """
     inside = F.col("token") < F.lit(region_end(percent))
-    tokens = entities.select("entity", "n", "region", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    found = tokens.join(shared, "token").withColumn("inside", inside)
+    found = tokens.join(shared, "token").withColumn("inside", inside & (F.col("region") < F.col("n")))
     own = W.partitionBy("entity")
     ranked = found.select(
-        "token", "entity", "n", "region", "inside",
+        "token", "entity", "n", "region", "copies", "inside",
         F.row_number().over(own.orderBy(F.desc("inside"), "sets", "token")).alias("rank"),
         F.sum(F.col("inside").cast("long")).over(own).alias("shared_inside"),
         F.count(F.lit(1)).over(own).alias("shared_all"),
     )
     # Tokens of a single set are the rarest: they stand before those of their part.
-    single = F.expr(
-        "case when inside then region - shared_inside else n - shared_all end"
-    )
+    single = F.expr("case when inside then region - shared_inside else n - shared_all end")
     return (
         ranked.withColumn("pos", F.col("rank") - 1 + single)
         .filter(F.expr(f"pos < n - ({percent} * n + 99) div 100 + 1"))
-        .select("token", "entity", "n", "pos")
+        .select("token", "entity", "n", "pos", "copies")
+    )
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Rows of tokens that several sets have, with the pivot of each token.
+
+    The set with the fewest rarer tokens is the likeliest original of a group.
+    """
+    pivots = rows.groupBy("token").agg(
+        F.min(F.struct("pos", -F.col("copies"), "entity"))["entity"].alias("pivot"), F.count(F.lit(1)).alias("k")
+    )
+    return rows.join(pivots.filter("k > 1"), "token")
+
+
+def _stars(grouped: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each set with one of its pivots, the likeliest."""
+    centre = grouped.filter("entity = pivot").select(
+        "token", F.col("entity").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at")
     )
+    met = grouped.filter("entity <> pivot").join(centre, "token").filter(_passes(percent))
+    return met.groupBy("entity").agg(F.min(F.struct("at", "other"))["other"].alias("other")).select(*_pair()).distinct()
+
+
+def _classed(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their class and their pivot's."""
+    own = labels.select(F.col("id").alias("entity"), F.col("label").alias("own"))
+    main = labels.select(F.col("id").alias("pivot"), F.col("label").alias("main"))
+    return (
+        grouped.join(own, "entity", "left").join(main, "pivot", "left")
+        .withColumn("own", F.coalesce("own", "entity")).withColumn("main", F.coalesce("main", "pivot"))
+        .select("token", "entity", "n", "pos", "k", "own", "main")
+    )
+
+
+def _crossing(classed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different classes on one token: those outside the pivot's class with all others."""
+    outside = classed.filter("own <> main").select(
+        "token", F.col("entity").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"),
+        F.col("own").alias("class"),
+    )
+    met = classed.join(outside, "token").filter(F.expr("own <> class")).filter(_passes(percent))
+    return met.select(*_pair()).distinct()
+
+
+def _pair():
+    return F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b")
 
 
 def _suffix(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -221,45 +270,38 @@ def ngram_components(
     marked = store(signatures(docs, key, text, n, percent), "ngram-sets")
     sets = marked.filter("n > 0")
     entities = sets.groupBy("entity").agg(
-        *[F.first(c).alias(c) for c in ("n", "region", "tokens")]
+        F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "region", "tokens")]
     )
-    rows = store(prefixes(entities, percent), "ngram-prefixes")
+    tokens = entities.select("entity", "n", "region", "copies", F.explode("tokens").alias("token"))
+    rows = _grouped(store(prefixes(tokens, percent), "ngram-prefixes"))
 
-    pivots = rows.groupBy("token").agg(F.min("entity").alias("pivot"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    grouped = rows.join(pivots.drop("k"), "token")
-    centre = grouped.filter("entity = pivot").select(
-        "token", F.col("entity").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at")
-    )
-    pair = (F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b"))
-    stars = (
-        grouped.filter("entity <> pivot").join(centre, "token").filter(_passes(percent))
-        .groupBy("entity").agg(F.min("other").alias("other")).select(*pair)
-    )
-    first = _checked(stars, marked, docs, key, text, n, percent, "first")
+    stars = _plausible(_stars(rows, percent), marked, percent, "stars")
+    texts = store(_texts(_ends(stars), marked, docs, key, text, n), "ngram-texts")
+    first = store(_verified(stars, texts, n, percent), "ngram-links")
     labels = connected_components(first.filter("linked").select("a", "b"))
 
-    # Rows of tokens where sets of several classes meet: everyone outside the
-    # pivot's class against everyone of another class.
-    own = labels.select(F.col("id").alias("entity"), F.col("label").alias("own"))
-    theirs = labels.select(F.col("id").alias("pivot"), F.col("label").alias("main"))
-    classed = (
-        grouped.join(own, "entity", "left").join(theirs, "pivot", "left")
-        .withColumn("own", F.coalesce("own", "entity")).withColumn("main", F.coalesce("main", "pivot"))
-    )
-    classed = store(classed.select("token", "entity", "n", "pos", "own", "main"), "ngram-classes")
-    outside = classed.filter("own <> main").select(
-        "token", F.col("entity").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"),
-        F.col("own").alias("class"),
-    )
-    mixed = outside.groupBy("token").agg(F.count(F.lit(1)).alias("outsiders")).drop("outsiders")
-    crossing = (
-        classed.join(mixed, "token", "left_semi").join(outside, "token")
-        .filter(F.expr("own <> class")).filter(_passes(percent)).select(*pair).distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    second = _checked(crossing, marked, docs, key, text, n, percent, "second")
-    links = first.filter("linked").select("a", "b").union(second.filter("linked").select("a", "b"))
-    labels = connected_components(links)
+    # Where sets of several classes still meet.
+    classed = store(_classed(rows, labels), "ngram-classes")
+    mixed = classed.filter("own <> main").select("token", "k").distinct()
+    few = classed.join(mixed.filter(F.col("k") <= FEW).select("token"), "token", "left_semi")
+    many = classed.join(mixed.filter(F.col("k") > FEW).select("token"), "token", "left_semi")
+    many = store(many.select("entity").distinct(), "ngram-many")
+    known = first.select("a", "b")
+    crossing = _plausible(_crossing(few, percent).join(known, ["a", "b"], "left_anti"), marked, percent, "few")
+    texts = store(_texts(_ends(crossing).union(many).distinct(), marked, docs, key, text, n), "ngram-texts")
+    # Sets of crowded tokens meet again on all their tokens, where each set's
+    # own edits come first and the positional filter sees all of them.
+    whole = map_batches(texts.join(many, "entity", "left_semi"), _all_tokens(n), "token long, entity long, n long")
+    whole = whole.withColumn("region", F.col("n")).withColumn("copies", F.lit(1).cast("long"))
+    whole = _grouped(store(prefixes(whole, percent), "ngram-whole"))
+    stars = _plausible(_stars(whole, percent).join(known, ["a", "b"], "left_anti"), marked, percent, "deep-stars")
+    again = first.union(store(_verified(stars, texts, n, percent), "ngram-links"))
+    labels = connected_components(again.filter("linked").select("a", "b"))
+    known = again.select("a", "b")
+    deep = _crossing(_classed(whole, labels), percent).join(known, ["a", "b"], "left_anti")
+    pairs = crossing.join(known, ["a", "b"], "left_anti").union(_plausible(deep, marked, percent, "many")).distinct()
+    second = again.union(_verified(pairs, texts, n, percent))
+    labels = connected_components(second.filter("linked").select("a", "b"))
 
     named = sets.select("key", "entity", "n").join(
         labels.withColumnRenamed("id", "entity"), "entity", "left"
@@ -274,14 +316,25 @@ def ngram_components(
     return linked.union(alone)
 
 
-def _checked(pairs, marked, docs, key, text, n, percent, name) -> DataFrame:
-    """Each pair (a, b) with whether it is linked; most are settled by the suffix filter."""
-    pairs = store(pairs, f"ngram-pairs-{name}")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
-    sizes = marked.join(ids, "entity", "left_semi").groupBy("entity").agg(
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
+
+
+def _plausible(pairs: DataFrame, marked: DataFrame, percent: int, name: str) -> DataFrame:
+    """Pairs that the suffix filter leaves."""
+    pairs = store(pairs, f"ngram-{name}")
+    sizes = marked.join(_ends(pairs), "entity", "left_semi").groupBy("entity").agg(
         F.first("n").alias("n"), F.first("cells").alias("cells")
     )
-    left = store(_suffix(pairs, sizes, percent), f"ngram-left-{name}")
-    ids = left.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
-    texts = store(_texts(ids, marked, docs, key, text, n), f"ngram-texts-{name}")
-    return store(_verified(left, texts, n, percent), f"ngram-links-{name}")
+    return store(_suffix(pairs, sizes, percent), f"ngram-{name}-left")
+
+
+def _all_tokens(n: int):
+    def run(batch):
+        grams, counts = shingle_sets(batch.column(1), n)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        entity = np.asarray(batch.column(0))
+        arrays = [pa.array(a) for a in (grams, entity[owner], counts[owner].astype(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, names=["token", "entity", "n"])
+
+    return run
