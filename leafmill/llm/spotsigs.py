@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.llm.components import connected_components
 from leafmill.session import store
 
 CHAIN = 2
@@ -141,3 +142,63 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
+
+
+def similar(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key and class_id, the smallest key that its fingerprint is linked to.
+
+    Sets whose likeness reaches the threshold link; empty ones with nothing.
+    Equal sets are one.  Sets are partitioned by length: with ratio 1/threshold
+    from one partition to the next, only neighbours can be alike enough.  In a
+    partition, sets meet on the signatures of their rare-first prefixes: first
+    each with the smallest set there, then those whose classes still differ.
+    """
+    named = with_signatures(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "sigs")
+    named = store(named.select("key", "sigs", F.xxhash64("sigs").alias("set")), "spots")
+    sets = named.filter("size(sigs) > 0").groupBy("set").agg(F.first("sigs").alias("sigs"))
+    sets = store(sets.withColumn("n", F.size("sigs")), "spot-sets")
+    spread = sets.select("set", "n", F.explode("sigs").alias("sig"))
+    known = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"))
+    rank = F.row_number().over(W.partitionBy("set").orderBy("sets", "sig"))
+    part = F.floor(F.log("n") / F.log(F.lit(1 / threshold)))
+    index = (
+        spread.join(known, "sig").withColumn("rank", rank)
+        .filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+        .filter("sets > 1")
+        .withColumn("part", F.explode(F.array(part, part + 1)))
+        .select("sig", "part", "set", "n")
+    )
+    index = store(index, "spot-index")
+    centre = index.groupBy("sig", "part").agg(F.min("set").alias("centre"))
+    met = index.join(centre, ["sig", "part"])
+    first = _linked(met.filter("set <> centre").select(F.col("centre").alias("a"), F.col("set").alias("b")), sets, threshold)
+    labels = connected_components(first)
+    own = labels.select(F.col("id").alias("set"), F.col("label").alias("own"))
+    main = labels.select(F.col("id").alias("centre"), F.col("label").alias("main"))
+    classed = (
+        met.join(own, "set", "left").join(main, "centre", "left")
+        .select("sig", "part", "set", F.coalesce("own", "set").alias("own"), F.coalesce("main", "centre").alias("main"))
+    )
+    outside = classed.filter("own <> main").select("sig", "part", F.col("set").alias("b"), F.col("own").alias("theirs"))
+    crossing = classed.join(outside, ["sig", "part"]).filter("own <> theirs").select(
+        F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")
+    )
+    labels = connected_components(first.union(_linked(crossing, sets, threshold)))
+    joined = named.join(labels.withColumnRenamed("id", "set"), "set", "left")
+    label = F.when(F.size("sigs") > 0, F.coalesce("label", "set"))
+    joined = joined.select("key", label.alias("label"))
+    smallest = joined.filter("label is not null").groupBy("label").agg(F.min("key").alias("class_id"))
+    return joined.join(smallest, "label", "left").select(
+        F.col("key").alias(key), F.when(F.col("label").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id")
+    )
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) that are alike enough; lengths are tested before sets are compared."""
+    one = sets.select(F.col("set").alias("a"), F.col("sigs").alias("sigs_a"), F.col("n").alias("n_a"))
+    two = sets.select(F.col("set").alias("b"), F.col("sigs").alias("sigs_b"), F.col("n").alias("n_b"))
+    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
+    joined = pairs.distinct().join(one, "a").join(two, "b").filter(near)
+    return store(
+        joined.filter(likeness(F.col("sigs_a"), F.col("sigs_b")) >= threshold - 1e-12).select("a", "b"), "spot-links"
+    )
