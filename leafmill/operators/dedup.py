@@ -39,6 +39,17 @@ def dedup_content(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     return _keep_first(keyed, [*scope, _KEY], order_of(rows.columns)).drop(_KEY)
 
 
+def dedup_full(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """The first row of those that agree in every field and table cell.
+
+    Unlike `dedup_content` this keeps different table rows of one source.
+    """
+    cells = F.array_sort(F.map_entries("cells"))
+    fields = F.to_json(F.struct(*[c for c in FIELDS if c in rows.columns], cells.alias("cells")))
+    keyed = rows.withColumn(_KEY, F.md5(fields.cast("binary")))
+    return _keep_first(keyed, [*scope, _KEY], order_of(rows.columns)).drop(_KEY)
+
+
 def dedup_removed(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """How many rows `dedup_content` drops: one row, or one per scope value."""
     counts = rows.groupBy(*scope).agg(

@@ -17,32 +17,12 @@ DOC = "_doc"
 _KEYS = ["page_id", "url", "page_ord", "source"]
 
 
-# Below this many bytes per core a scan leaves cores idle: spread it.
-_SMALL_SHARE = 16 * 1024 * 1024
-
-
 @lru_cache(maxsize=64)
 def _rows_of(family: str, application: str) -> Column:
     """The expression of one family; building it is slow, so it is kept."""
     return EXTRACTORS[family](F.col(DOC), F.col("source"))
 
 
-def _spread(pages: DataFrame) -> DataFrame:
-    """Hand a small input to all cores.
-
-    Shredding is bound by the processor, and a file of a few megabytes is one
-    task.  Only inputs whose planned size is small are moved; a large scan has
-    tasks enough and is left where it is read.
-    """
-    if pages.isStreaming:
-        return pages
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    size = pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > cores * _SMALL_SHARE:
-        return pages
-    return pages.repartition(cores, "page_id")
-
-
 def default_source(url: Column, source_name: Column | None = None) -> Column:
     """The given name of a source; its host when there is none or it is empty."""
     host = netloc(url)
@@ -51,31 +31,38 @@ def default_source(url: Column, source_name: Column | None = None) -> Column:
     return F.coalesce(F.when(source_name != "", source_name), host)
 
 
-def with_document(pages: DataFrame, keep_all: bool = False) -> DataFrame:
+def with_document(
+    pages: DataFrame, keep_all: bool = False, partitions: int | None = None
+) -> DataFrame:
     """Add the shredded document of each page; without markup it has no elements.
 
     ``page_ord`` defaults to ``page_id`` and ``source`` to the host.  Columns
-    other than the keys are dropped before pages cross into the worker.
+    other than the keys are dropped before pages cross into the worker.  Pages
+    are shredded where they are read; ``partitions`` deals them out anew first,
+    for files that Spark cannot split into enough tasks.
     """
     prepare(pages.sparkSession)
     if "page_ord" not in pages.columns:
         pages = pages.withColumn("page_ord", F.col("page_id"))
     name = F.col("source_name") if "source_name" in pages.columns else None
     pages = pages.withColumn("source", default_source(F.col("url"), name))
-    return (
-        _spread(pages.select(*_KEYS, "html"))
-        .select(*_KEYS, shred("html", "url", keep_all).alias(DOC))
-    )
+    pages = pages.select(*_KEYS, "html")
+    if partitions is not None:
+        pages = pages.repartition(partitions)
+    return pages.select(*_KEYS, shred("html", "url", keep_all).alias(DOC))
 
 
-def extract(pages: DataFrame, families: Iterable[str] | None = None) -> DataFrame:
+def extract(
+    pages: DataFrame, families: Iterable[str] | None = None, partitions: int | None = None
+) -> DataFrame:
     """The rows of the named families (default: all) of every page.
 
     One scan and one pass over the markup serve all families, and no shuffle:
-    each page yields its rows where it was read.
+    each page yields its rows where it was read, unless ``partitions`` says
+    otherwise (see `with_document`).
     """
     names = list(EXTRACTORS if families is None else families)
-    documents = with_document(pages)
+    documents = with_document(pages, partitions=partitions)
     application = pages.sparkSession.sparkContext.applicationId
     items = [_rows_of(name, application) for name in names]
     rows = F.flatten(F.array(*items)) if len(items) > 1 else items[0]
@@ -85,9 +72,9 @@ def extract(pages: DataFrame, families: Iterable[str] | None = None) -> DataFram
     )
 
 
-def extract_all(pages: DataFrame) -> DataFrame:
+def extract_all(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """All families of all pages, ordered by ``schema.ORDER``."""
-    return extract(pages)
+    return extract(pages, partitions=partitions)
 
 
 def family_sizes(pages: DataFrame) -> DataFrame:

@@ -321,7 +321,8 @@ def products(doc: Column, source: Column) -> Column:
 
     def stars(node: Column) -> Column:
         found = find_all(subtree(doc, node), is_tag("span", cls="ws-icon-star"))
-        return F.coalesce(F.size(found), F.lit(0)).cast("string")
+        # Without a box of ratings the size is NULL or -1, as the session's mode has it.
+        return F.greatest(F.coalesce(F.size(found), F.lit(0)), F.lit(0)).cast("string")
 
     return F.transform(
         F.filter(records, lambda r: r["title"].isNotNull()),

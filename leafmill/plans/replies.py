@@ -34,8 +34,13 @@ def _strip(value: Column) -> Column:
     return F.regexp_replace(value, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
+def _text(value: object) -> str:
+    """A value as text that Arrow can hold: half a surrogate pair becomes a question mark."""
+    return str(value).encode("utf-8", "replace").decode("utf-8")
+
+
 def _texts(values: object) -> list[str] | None:
-    return [str(v) for v in values] if isinstance(values, list) else None
+    return [_text(v) for v in values] if isinstance(values, list) else None
 
 
 def _read(reply: str | None) -> dict | None:
@@ -45,11 +50,11 @@ def _read(reply: str | None) -> dict | None:
         len(found.get("urls", []))
     except (ValueError, TypeError, AttributeError, RecursionError):
         return None
-    plan: dict = {name: str(found[name]) for name in _SCALARS if name in found}
+    plan: dict = {name: _text(found[name]) for name in _SCALARS if name in found}
     plan["target_columns"] = _texts(found.get("target_columns"))
     urls = found.get("urls", [])
     plan["urls"] = [
-        {k: str(u[k]) for k in _TARGET_SCALARS if u.get(k) is not None}
+        {k: _text(u[k]) for k in _TARGET_SCALARS if u.get(k) is not None}
         | {"expected_elements": _texts(u.get("expected_elements"))}
         for u in (urls if isinstance(urls, list) else [])
         if isinstance(u, dict)
@@ -114,7 +119,8 @@ def plan_summary(planned: DataFrame) -> DataFrame:
 
 
 def _url_count() -> Column:
-    return F.coalesce(F.size("plan.urls"), F.lit(0)).cast("bigint")
+    # The size of NULL depends on the session's ANSI mode.
+    return F.when(F.col("plan.urls").isNull(), 0).otherwise(F.size("plan.urls")).cast("bigint")
 
 
 def plan_urls(planned: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.operators.profile import api_sample, summary_by_source, summary_by_type
 from leafmill.operators.profile import summary_sample, summary_totals
 from leafmill.plans.replies import plan_urls, plans
-from leafmill.session import prepare, store
+from leafmill.session import drop_stored, prepare, store
 from leafmill.sources.csv import output_path, save_csv, save_snapshot
 from leafmill.sources.pages import extract_planned
 
@@ -24,6 +24,10 @@ class Run:
     csv_path: str = ""
     snapshot_path: str = ""
 
+    def close(self) -> None:
+        """Delete the intermediate tables; the saved files stay."""
+        drop_stored(self.planned.sparkSession)
+
     def report(self) -> DataFrame:
         return run_report(self.planned, self.rows, self.csv_path)
 
@@ -46,7 +50,7 @@ def run_report(planned: DataFrame, rows: DataFrame, csv_path: str = "") -> DataF
     """
     counted = rows.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n"))
     total = F.coalesce("n", F.lit(0))
-    sources = F.coalesce(F.size("plan.urls"), F.lit(0)).cast("bigint")
+    sources = F.when(F.col("plan.urls").isNull(), 0).otherwise(F.size("plan.urls")).cast("bigint")
     return planned.join(counted, "prompt_id", "left").select(
         "prompt_id",
         F.when(sources > 0, "success").otherwise("error").alias("status"),
@@ -62,19 +66,22 @@ def run(
     folder: str | None = None,
     filename: str = "output.csv",
     snapshot: bool = True,
+    full: bool = False,
 ) -> Run:
     """Plan the prompts, extract their pages, and save when a folder is given.
 
+    ``full`` keeps rows that differ in any field, e.g. all rows of a table.
+
     The plans are joined twice and reported; the rows feed two files and the
     summary.  Both are written once to the shared checkpoint folder instead of
-    being made again for each use.
+    being made again for each use; `Run.close` deletes them.
     """
     prepare(prompts.sparkSession)
     planned = store(plans(prompts), "plans")
     rows = extract_planned(plan_urls(planned), pages)
+    rows = store(rows, "rows")
     if folder is None:
         return Run(planned, rows)
-    rows = store(rows, "rows")
-    path = save_csv(rows, output_path(folder, filename), scope=["prompt_id"])
-    copy = save_snapshot(rows, folder, scope=["prompt_id"]) if snapshot else ""
+    path = save_csv(rows, output_path(folder, filename), scope=["prompt_id"], full=full)
+    copy = save_snapshot(rows, folder, scope=["prompt_id"], full=full) if snapshot else ""
     return Run(planned, rows, path, copy)

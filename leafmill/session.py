@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -69,12 +70,16 @@ def _ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    ``spark.checkpoint.dir`` wins.  Only when a session has none (tests, a
-    laptop) is a temporary folder made and set as the checkpoint directory.
+    ``spark.checkpoint.dir`` or the checkpoint directory of the context.  A
+    session on one machine that names none (tests, a laptop) gets a temporary
+    one; on a cluster that is an error, as each executor would write to a disk
+    of its own.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="leafmill-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -87,11 +92,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def store(frame: DataFrame, name: str) -> DataFrame:
-    """Write a table once to the shared folder and go on from the copy.
+    """Write a table once to the shared folder and go on from the copy; `drop_stored` deletes it.
 
     Unlike an RDD checkpoint this computes the table once, and a lost executor
     only costs reading a file again.
     """
     path = new_folder(frame.sparkSession, name)
     frame.write.parquet(path)
+    _stored.setdefault(frame.sparkSession.sparkContext.applicationId, []).append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+_stored: dict[str, list[str]] = {}
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the copies that `store` made in this application; how many there were.
+
+    Tables that still read from them can no longer be used.
+    """
+    paths = _stored.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return len(paths)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.operators.dedup import dedup_content, merge_unique
+from leafmill.operators.dedup import dedup_content, dedup_full, merge_unique
 from leafmill.operators.profile import column_order
 from leafmill.schema import FAMILIES, FIELDS, ORDER
 from leafmill.session import exact_names, store
@@ -82,16 +82,18 @@ def save_csv(
     columns: Sequence[str] | None = None,
     scope: Sequence[str] = (),
     json_cells: bool = False,
+    full: bool = False,
 ) -> str:
     """Deduplicate rows and save them as a folder of CSV parts; the path, or ''.
 
     Every part has a header and starts with a byte order mark.  No rows: nothing
     is written and '' is returned.  The rows are written once to the shared
     folder first, as the column names need a pass of their own.  With
-    ``json_cells`` table cells stay together in one column.
+    ``json_cells`` table cells stay together in one column.  With ``full`` rows
+    are equal only if all fields are, so that every table row is kept.
     """
     spark = rows.sparkSession
-    unique = store(dedup_content(rows, scope), "unique-rows")
+    unique = store((dedup_full if full else dedup_content)(rows, scope), "unique-rows")
     unique = unique.withColumns({name: F.col(name).cast("string") for name in scope})
     if unique.isEmpty():
         return ""
@@ -160,13 +162,13 @@ def file_profile(spark: SparkSession, path: str) -> DataFrame:
     """Rows, columns and bytes of a saved table: one row."""
     saved = read_csv(spark, path)
     n_columns = len(saved.columns)
-    files = saved.groupBy("_metadata.file_path", "_metadata.file_size").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return files.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+    # Lengths come from the listing; parts that hold only a header count too.
+    files = spark.read.format("binaryFile").load(path).select("length")
+    n_bytes = files.agg(F.sum("length")).scalar()
+    return saved.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows",
         F.lit(n_columns).cast("bigint").alias("n_columns"),
-        F.coalesce(F.sum("file_size"), F.lit(0)).alias("n_bytes"),
+        F.coalesce(n_bytes, F.lit(0)).alias("n_bytes"),
     )
 
 
@@ -181,7 +183,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _replace(spark: SparkSession, new: str, old: str) -> None:
-    """Put a finished folder in the place of an older one."""
+    """Put a finished folder in the place of an older one, which is deleted last."""
     system, target = _file_system(spark, old)
-    system.delete(target, True)
-    system.rename(spark._jvm.org.apache.hadoop.fs.Path(new), target)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    aside = path(f"{old}.previous")
+    system.delete(aside, True)
+    if not system.rename(target, aside):
+        raise OSError(f"{old} cannot be moved aside")
+    if not system.rename(path(new), target):
+        system.rename(aside, target)
+        raise OSError(f"{new} cannot take the place of {old}")
+    system.delete(aside, True)

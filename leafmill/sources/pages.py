@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.extract import default_source, extract
+from leafmill.session import store
 
 MAX_ATTEMPTS = 3
 NOT_FOUND = 404
 _HTTP_ERRORS_FROM = 400
 HOT_SHARE = 1000
 HOT_ROWS = 10_000
-SALTS = 128
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -43,47 +43,58 @@ def resolve_fetches(attempts: DataFrame) -> DataFrame:
     )
 
 
-def planned_pages(plan_urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """The pages that any plan asks for, each once."""
-    return pages.join(plan_urls.select("url").distinct(), "url", "left_semi")
+def planned_pages(plan_urls: DataFrame, pages: DataFrame, version: str = "page_id") -> DataFrame:
+    """The pages that any plan asks for: of each URL the latest, by the ``version`` column.
+
+    Without another column the largest ``page_id`` counts as the latest.
+    """
+    asked = pages.join(plan_urls.select("url").distinct(), "url", "left_semi")
+    latest = Window.partitionBy("url").orderBy(F.desc_nulls_last(version), F.desc("page_id"))
+    ranked = asked.withColumn("_rank", F.row_number().over(latest))
+    return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 
-def _hot_urls(plan_urls: DataFrame) -> DataFrame:
-    """URLs with more than a thousandth of all planned rows: fewer than a thousand.
+def _hot_urls(plan_urls: DataFrame, rows_per_task: int) -> DataFrame:
+    """URLs with more than a thousandth of all planned rows, fewer than a thousand, and their salts.
 
-    What one task can do at once, ``HOT_ROWS`` rows, is never hot.
+    What one task does at once, ``rows_per_task``, is never hot; a hot URL gets
+    as many salts as it has times that number of rows.
     """
     counts = plan_urls.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
     total = plan_urls.agg(F.count(F.lit(1))).scalar()
-    hot = (F.col("n") * HOT_SHARE > total) & (F.col("n") >= HOT_ROWS)
-    return counts.filter(hot).select("url", F.lit(True).alias("_hot"))
+    hot = (F.col("n") * HOT_SHARE > total) & (F.col("n") >= rows_per_task)
+    return counts.filter(hot).select("url", F.ceil(F.col("n") / rows_per_task).cast("int").alias("_salts"))
 
 
-def extract_planned(plan_urls: DataFrame, pages: DataFrame) -> DataFrame:
+def extract_planned(
+    plan_urls: DataFrame,
+    pages: DataFrame,
+    version: str = "page_id",
+    rows_per_task: int | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
     """The rows of every plan: `prompt_id`, then the row with its plan's source.
 
     A page is shredded once however many plans name it; only its rows are joined
     to the plans.  Plans may well share a URL, so the plan rows of a hot URL are
-    spread over ``SALTS`` tasks and the rows of its page, which are few, are
-    given to each of them.  The list of hot URLs is broadcast: it has fewer than
-    ``HOT_SHARE`` entries by its definition.  ``plan_urls`` is read three times
-    and should be stored.
+    spread over salts, as many as its rows ask for (``rows_per_task``), and the
+    rows of its page, which are few, are given to each of them.  The list of hot
+    URLs is written once and broadcast: it has fewer than ``HOT_SHARE`` entries
+    by its definition.  ``plan_urls`` is read three times and should be stored.
 
     A header that replaced the source of a table row stays.
     """
-    hot = F.broadcast(_hot_urls(plan_urls))
-    rows = extract(planned_pages(plan_urls, pages)).drop("page_ord").join(hot, "url", "left")
-    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    rows = rows.withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    salt = F.pmod(F.xxhash64("prompt_id", "pos"), F.lit(SALTS)).cast("int")
+    hot = F.broadcast(store(_hot_urls(plan_urls, rows_per_task or HOT_ROWS), "hot-urls"))
+    found = extract(planned_pages(plan_urls, pages, version), partitions=partitions)
+    rows = found.drop("page_ord").join(hot, "url", "left")
+    salts = F.coalesce("_salts", F.lit(1))
+    rows = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     plan = plan_urls.join(hot, "url", "left").select(
         "prompt_id",
         "url",
         F.col("pos").alias("page_ord"),
         F.col("source_name").alias("_name"),
-        F.when(F.col("_hot"), salt).otherwise(0).alias("_salt"),
+        F.pmod(F.xxhash64("prompt_id", "pos"), salts).cast("int").alias("_salt"),
     )
     named = default_source(F.col("url"), F.col("_name"))
     replaced = F.map_contains_key("cells", F.lit("source"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table, dealt to all cores: its file is one row group, so Spark reads it in one task."""
+    return spark.read.parquet(f"{folder}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism)
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ from leafmill.functions.text import (
 )
 from leafmill.functions.urls import netloc, url_join
 from leafmill.operators import dom
-from leafmill.operators.dedup import append_merge, dedup_content, dedup_removed
+from leafmill.operators.dedup import append_merge, dedup_content, dedup_full, dedup_removed
 from leafmill.operators.extract import DOC, extract, extract_all, extract_errors, with_document
 from leafmill.operators.profile import (
     api_sample, cli_more, cli_sample, column_order, page_counts, summary_by_source,
@@ -91,7 +91,7 @@ def plan_header(spark, folder):
         "prompt_id", "plan.project_description", "plan.data_type", "plan.scraping_strategy",
         F.col("plan.estimated_rows").try_cast("bigint").alias("estimated_rows"),
         F.array_join("plan.target_columns", ",").alias("target_columns"),
-        F.size("plan.urls").cast("bigint").alias("url_count"),
+        F.when(F.col("plan.urls").isNotNull(), F.size("plan.urls")).cast("bigint").alias("url_count"),
     )
 
 
@@ -100,7 +100,7 @@ def plan_parse(spark, folder):
     planned = plans(derived.replies(spark, folder))
     return planned.select(
         "prompt_id", "planned_by", "plan.project_description", "plan.data_type",
-        F.size("plan.urls").cast("bigint").alias("url_count"),
+        F.when(F.col("plan.urls").isNotNull(), F.size("plan.urls")).cast("bigint").alias("url_count"),
     )
 
 
@@ -311,6 +311,21 @@ def extract_planned_pages(spark, folder):
     )
 
 
+@query
+def extract_planned_recrawled(spark, folder):
+    """Every page is stored twice; the earlier version says nothing of what the plans get."""
+    planned = store(plan_urls(plans(derived.page_prompts(spark, folder))), "plan-urls")
+    pages = derived.pages(spark, folder)
+    earlier = pages.select(
+        (-1 - F.col("page_id")).alias("page_id"), "url", F.lit("<h1>old title</h1>").alias("html")
+    )
+    rows = extract_planned(planned, pages.union(earlier))
+    return rows.select(
+        "prompt_id", F.col("page_ord").cast("bigint").alias("page_ord"),
+        F.col("pos").cast("bigint").alias("pos"), "source", "type", "text", "href",
+    )
+
+
 @query
 def extract_link_errors(spark, folder):
     """Addresses that cannot be resolved: every page gets one beside its own links."""
@@ -463,6 +478,15 @@ def dedup_content_of_tables(spark, folder):
     )
 
 
+@query
+def dedup_full_(spark, folder):
+    """Table rows that agree in all fields and cells become one."""
+    rows = dedup_full(extract(derived.table_pages(spark, folder), ["tables"]))
+    return rows.select(
+        "page_id", F.col("pos").cast("bigint").alias("pos"), "source", "type", "text", "price"
+    )
+
+
 @query
 def dedup_removed_(spark, folder):
     named = derived.pages(spark, folder).withColumn("source_name", F.lit("all"))
@@ -570,7 +594,7 @@ def sink_path(spark, folder):
     output = new_folder(spark, "outputs")
     rows = extract(derived.pages(spark, folder), ["headings"])
     save_csv(rows, output_path(output, "headings.csv"))
-    return summary_by_source(read_csv(spark, f"{output}/headings.csv"))
+    return read_csv(spark, f"{output}/headings.csv").select("source", "type", "text", "href")
 
 
 @query

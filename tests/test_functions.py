@@ -16,23 +16,41 @@ SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2003\u2028\u2029\u202f\u205
 ODD = "\u200b\u200e\xad\ufeff\x00\x07\x7f\ue000\uffff\U0001f600é漢a-"
 
 
-def cleaned(text):
-    if not text:
-        return ""
-    flat = re.sub(r"\s+", " ", text).strip()
-    return "".join(c for c in flat if c.isprintable())[:2000]
+# What white space and invisible characters become, by example.
+CLEANED = {
+    None: "", "": "", " \t\n ": "", "a": "a", "  a \t\n b\u3000c ": "a b c", "a\xa0\x85\u2028b": "a b",
+    "a\u200bb": "ab", " a \u200b b ": "a  b", "\u200b a": " a", "a\x1fb": "a b", "a\x00b\x7fc": "abc",
+    "soft\xadhyphen": "softhyphen", "\ue000x\uffff": "x", "é漢\U0001f600": "é漢\U0001f600",
+    "x" * 2001: "x" * 2000, "\U0001f600" * 2001: "\U0001f600" * 2000,
+}
+
+
+def visible(text):
+    return [c for c in text or "" if c.isprintable() and not c.isspace()]
 
 
 def column(spark, values):
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
 
 
+def test_clean_text_by_example(spark):
+    texts = list(CLEANED)
+    got = column(spark, texts).select("i", clean_text(F.col("t")).alias("o")).collect()
+    assert {texts[r["i"]]: r["o"] for r in got} == CLEANED
+
+
 def test_clean_text_on_random_texts(spark):
+    """Visible characters stay in order; what separates them is blanks, and only where white space was."""
     rng = random.Random(7)
     texts = ["".join(rng.choices(SPACES + ODD, k=rng.randint(1, 40))) for _ in range(3000)]
-    texts += ["", None, "x" * 2001, "\U0001f600" * 2001, " a \u200b b ", "\u200b a", "a b"]
     got = column(spark, texts).select("i", clean_text(F.col("t")).alias("o")).collect()
-    assert [r["o"] for r in got] == [cleaned(texts[r["i"]]) for r in got]
+    for r in got:
+        text, out = texts[r["i"]], r["o"]
+        assert visible(out) == visible(text)
+        assert all(c == " " or c.isprintable() for c in out)
+        assert out.count(" ") <= len(re.findall(r"\s+", text))
+        words = ["".join(visible(w)) for w in re.split(r"\s+", text)]
+        assert out.split() == [w for w in words if w]
 
 
 def test_clean_text_on_every_assigned_code_point(spark):
@@ -41,7 +59,11 @@ def test_clean_text_on_every_assigned_code_point(spark):
     text = F.expr("concat('a', decode(unhex(lpad(hex(id), 8, '0')), 'utf-32'), 'b')")
     got = dict(frame.select("id", clean_text(text)).collect())
     newer_than_the_jvm = {0x890, 0x891, *range(0x13439, 0x13440)}
-    wrong = {c for c in codes if got[c] != cleaned(f"a{chr(c)}b")}
+
+    def between(c):
+        return " " if c.isspace() else c if c.isprintable() else ""
+
+    wrong = {c for c in codes if got[c] != f"a{between(chr(c))}b"}
     assert wrong <= newer_than_the_jvm
 
 

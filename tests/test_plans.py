@@ -154,14 +154,14 @@ def test_planned_pages_are_joined_once(spark, pages):
     ]
 
 
-def test_a_url_all_plans_share(spark, pages, monkeypatch):
-    monkeypatch.setattr("leafmill.sources.pages.HOT_ROWS", 1)
+def test_a_url_all_plans_share(spark, pages):
     planned = spark.range(3000).selectExpr(
         "id prompt_id", "1L pos", "if(id % 3 = 0, 'https://a/1', concat('https://b/', id)) url", "'N' source_name"
     )
-    assert [r["url"] for r in _hot_urls(planned).collect()] == ["https://a/1"]
-    assert _hot_urls(planned.filter("id < 3")).count() == 3
-    rows = extract_planned(planned, pages(("https://a/1", "<h1>one</h1><h1>two</h1>"), ("https://b/1", "<h1>bbb</h1>")))
+    assert [tuple(r) for r in _hot_urls(planned, 30).collect()] == [("https://a/1", 34)]
+    assert _hot_urls(planned.filter("prompt_id < 3"), 1).count() == 3
+    stored = pages(("https://a/1", "<h1>one</h1><h1>two</h1>"), ("https://b/1", "<h1>bbb</h1>"))
+    rows = extract_planned(planned, stored, rows_per_task=30)
     assert rows.count() == 2001 and rows.select("prompt_id", "text").distinct().count() == 2001
 
 
@@ -200,3 +200,21 @@ def test_report_of_an_empty_plan(spark):
     asked = spark.createDataFrame([(1, "x", "{}")], "prompt_id bigint, prompt string, raw_response string")
     rows = spark.createDataFrame([], "prompt_id bigint")
     assert tuple(run_report(plans(asked), rows, "f").first()) == (1, "error", 0, 0, "")
+
+
+def test_the_latest_version_of_a_page_counts(spark, pages):
+    planned = spark.createDataFrame(
+        [(1, 1, "https://a/1", "A")], "prompt_id bigint, pos bigint, url string, source_name string"
+    )
+    stored = pages(("https://a/1", "<h1>new title</h1>"), ("https://a/1", "<h1>old title</h1>"))
+    assert [r["text"] for r in extract_planned(planned, stored).collect()] == ["old title"]
+    dated = stored.withColumn("fetched", -F.col("page_id"))
+    assert [r["text"] for r in extract_planned(planned, dated, version="fetched").collect()] == ["new title"]
+
+
+def test_half_a_surrogate_pair_in_a_reply(spark):
+    reply = '{"data_type": "cut \\ud83d", "urls": [{"url": "https://a/", "source_name": "\\udc00"}]}'
+    frame = spark.createDataFrame([(1, "p", reply), (2, "p", "[1]")], "prompt_id bigint, prompt string, raw_response string")
+    found = {r["prompt_id"]: r for r in plans(frame).collect()}
+    assert found[1]["planned_by"] == "reply" and found[1]["plan"]["data_type"] == "cut ?"
+    assert found[2]["planned_by"] == "rules"

@@ -2,17 +2,18 @@
 
 import datetime
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators.dedup import append_merge, dedup_content, dedup_removed
+from leafmill.operators.dedup import append_merge, dedup_content, dedup_full, dedup_removed
 from leafmill.operators.extract import extract, extract_all
 from leafmill.operators.profile import (
     cli_more, cli_sample, column_order, page_counts, summary_by_source, summary_by_type,
     summary_sample, summary_totals,
 )
-from leafmill.session import exact_names
+from leafmill.session import drop_stored, exact_names, shared_folder, store
 from leafmill.sources.csv import (
     column_names, drop_type, file_profile, output_path, read_csv, save_csv, save_snapshot, snapshot_path, widen,
 )
@@ -209,3 +210,54 @@ def test_streams(spark, pages, tmp_path):
     assert bag(spark.read.parquet(f"{tmp_path}/unique"), "text", "batch") == [
         "('new', 1)", "('one', 0)", "('two', 0)",
     ]
+
+
+def test_full_dedup_keeps_table_rows(spark, pages):
+    html = "<table><tr><td>one<tr><td>two<tr><td>one</table>"
+    rows = extract(pages(html, html), ["tables"])
+    assert dedup_content(rows).count() == 1
+    assert sorted(r["cells"]["col_0"] for r in dedup_full(rows).collect()) == ["one", "two"]
+
+
+def test_profile_counts_the_bytes_of_all_parts(spark, pages, tmp_path):
+    path = save_csv(extract(pages("<h1>one</h1>", "<h1>two</h1>", "<h1>three</h1>"), ["headings"]), str(tmp_path / "rows.csv"))
+    parts = [f for f in os.listdir(path) if f.endswith(".csv")]
+    profile = file_profile(spark, path).first()
+    assert profile["n_rows"] == 3 and profile["n_bytes"] == sum(os.path.getsize(f"{path}/{f}") for f in parts)
+
+
+def test_without_ansi_mode(spark, pages):
+    html = '<div class="thumbnail"><h4 class="price">$1</h4><a class="title">item</a></div>'
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert extract(pages(html), ["products"]).first()["rating"] == "0"
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_extraction_moves_nothing(spark, pages):
+    plan = extract(pages("<h1>one</h1>"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    dealt = extract(pages("<h1>one</h1>"), partitions=3)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(3)" in dealt
+
+
+def test_shared_folder_of_a_cluster_must_be_named():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
+def test_stored_copies_can_be_dropped(spark):
+    copy = store(spark.range(3), "copy")
+    (file, *_) = copy.inputFiles()
+    assert drop_stored(spark) >= 1 and not os.path.exists(file.removeprefix("file:"))
