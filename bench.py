@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators.extract import with_document
 from leafmill.session import prepare
+from registry import derived
 from registry.queries import QUERIES
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -47,7 +48,7 @@ HEADLINES = [
 
 
 def shred_only(spark: SparkSession, folder: str) -> DataFrame:
-    return with_document(spark.read.parquet(f"{folder}/pages.parquet"))
+    return with_document(derived.pages(spark, folder))
 
 
 def seconds(spark: SparkSession, build) -> float:

@@ -21,11 +21,12 @@ _NEVER_ASSIGNED = r"\x{fdd0}-\x{fdef}" + "".join(
 UNPRINTABLE = rf"[\p{{C}}\p{{Zl}}\p{{Zp}}&&[[^\p{{Cn}}]{_NEVER_ASSIGNED}]]"
 
 
-def clean_text(text: Column) -> Column:
-    """White space runs to one space, trim, drop non-printables, cut at 2000."""
+def clean_text(text: Column, max_text: int | None = MAX_TEXT) -> Column:
+    """White space runs to one space, trim, drop non-printables, cut at ``max_text`` (None: nowhere)."""
     flat = F.trim(F.regexp_replace(text, _UNEVEN, " "))
     printable = F.regexp_replace(flat, UNPRINTABLE, "")
-    return F.coalesce(F.substring(printable, 1, MAX_TEXT), F.lit(""))
+    cut = printable if max_text is None else F.substring(printable, 1, max_text)
+    return F.coalesce(cut, F.lit(""))
 
 
 def content_hash(text: Column, type_: Column, source: Column) -> Column:

@@ -168,13 +168,15 @@ def _cells(doc: Column, row: Column, headers: Column) -> Column:
     return F.transform(find_all(subtree(doc, row), is_tag("td", "th")), entries)
 
 
-def tables(doc: Column, source: Column) -> Column:
-    """The rows of the first ten tables; a cell is named by its header.
+def tables(doc: Column, source: Column, max_tables: int | None = MAX_TABLES) -> Column:
+    """The rows of the first ``max_tables`` tables (None: all); a cell is named by its header.
 
     A header that is called like a field of the row replaces that field.  Each
     step binds what the next one asks for repeatedly, such as the headers.
     """
-    found = F.slice(find_all(doc["nodes"], is_tag("table")), 1, MAX_TABLES)
+    found = find_all(doc["nodes"], is_tag("table"))
+    if max_tables is not None:
+        found = F.slice(found, 1, max_tables)
     inside = F.transform(
         found, lambda t, i: F.struct(i.alias("index"), subtree(doc, t).alias("inside"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.functions.urls import netloc
 from leafmill.plans import fixed
 
 TARGET = T.StructType(
@@ -54,8 +55,9 @@ def route(prompts: DataFrame) -> DataFrame:
     return lowered.withColumn("rule", _first_rule(F.col("_lowered"))).drop("_lowered")
 
 
-def topic(prompt: Column) -> Column:
-    return F.substring(F.replace(prompt, F.lit(" "), F.lit("_")), 1, fixed.TOPIC_LENGTH)
+def topic(prompt: Column, length: int | None = fixed.TOPIC_LENGTH) -> Column:
+    flat = F.replace(prompt, F.lit(" "), F.lit("_"))
+    return flat if length is None else F.substring(flat, 1, length)
 
 
 def _fill(template: str, mark: str, value: Column) -> Column:
@@ -123,3 +125,18 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         fixed.CATALOG, "category string, url_template string, description string"
     )
+
+
+def page_categories(pages: DataFrame) -> DataFrame:
+    """`(url, ...)` with the catalogue's ``category`` of its host, NULL for other hosts.
+
+    A host with entries in several categories has the first of them by name.
+    """
+    hosts = (
+        catalog(pages.sparkSession)
+        .groupBy(netloc(F.col("url_template")).alias("_host"))
+        .agg(F.min("category").alias("category"))
+    )
+    # At most one row per entry of the catalogue.
+    known = F.broadcast(hosts)
+    return pages.withColumn("_host", netloc(F.col("url"))).join(known, "_host", "left").drop("_host")

@@ -45,15 +45,29 @@ def widen(
     """The wide table: one column per field name met, absent values NULL.
 
     The columns to ``keep``, by default those that order the rows, stand in front.
+    A table header that is named like one of them, in any case of letters, gets
+    the ending ``_cell``.
     """
     names = column_names(rows) if columns is None else list(columns)
+    shown = _apart(names, keep)
 
     def value(name: str) -> Column:
         if name == "table_index":
             return F.coalesce(F.try_element_at("cells", F.lit(name)), F.col(name).cast("string"))
         return F.col(name) if name in FIELDS else F.try_element_at("cells", F.lit(name))
 
-    return rows.select(*keep, *[value(name).alias(name) for name in names])
+    return rows.select(*keep, *[value(name).alias(shown[name]) for name in names])
+
+
+def _apart(names: Sequence[str], keep: Sequence[str]) -> dict[str, str]:
+    """How columns are called so that none is taken for a kept one."""
+    shown, taken = {}, {k.lower() for k in keep}
+    for name in names:
+        new = name
+        while new.lower() in taken or (new != name and new in names):
+            new += "_cell"
+        shown[name] = new
+    return shown
 
 
 def with_json_cells(rows: DataFrame, keep: Sequence[str] = ORDER) -> DataFrame:
@@ -90,7 +104,8 @@ def save_csv(
     is written and '' is returned.  The rows are written once to the shared
     folder first, as the column names need a pass of their own.  With
     ``json_cells`` table cells stay together in one column.  With ``full`` rows
-    are equal only if all fields are, so that every table row is kept.
+    are equal only if all fields are, so that every table row is kept; appending
+    still compares text, type and source.
     """
     spark = rows.sparkSession
     unique = store((dedup_full if full else dedup_content)(rows, scope), "unique-rows")

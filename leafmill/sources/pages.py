@@ -21,18 +21,19 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.filter(F.col("html") != "")
 
 
-def resolve_fetches(attempts: DataFrame) -> DataFrame:
+def resolve_fetches(attempts: DataFrame, max_attempts: int | None = MAX_ATTEMPTS) -> DataFrame:
     """One page per URL from a log `(url, attempt, status, error, body)`.
 
-    Of the first three attempts the first that ends the URL counts: a success
+    Of the first ``max_attempts`` (None: all) the first that ends the URL counts: a success
     gives the page, a 404 gives none.  Other errors only lead to the next
     attempt.  Failed attempts are dropped before anything is shuffled.
     """
     status = F.col("status")
     succeeded = status < _HTTP_ERRORS_FROM
+    if max_attempts is not None:
+        attempts = attempts.filter(F.col("attempt") <= max_attempts)
     ending = attempts.filter(
-        (F.col("attempt") <= MAX_ATTEMPTS)
-        & F.col("error").isNull()
+        F.col("error").isNull()
         & (succeeded | (status == NOT_FOUND))
     ).select("url", "attempt", "status", F.when(succeeded, F.col("body")).alias("html"))
     first = Window.partitionBy("url").orderBy("attempt", "status", "html")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.operators.extract import extract
 from leafmill.plans import fixed
 from leafmill.plans.replies import empty_plans, plan_summary, plan_urls, plans
-from leafmill.plans.routing import catalog, route, topic
+from leafmill.plans.routing import catalog, page_categories, route, topic
 from leafmill.run import run, run_report
 from leafmill.sources.csv import read_csv
 from leafmill.sources.pages import _hot_urls, extract_planned, planned_pages, resolve_fetches
@@ -218,3 +218,20 @@ def test_half_a_surrogate_pair_in_a_reply(spark):
     found = {r["prompt_id"]: r for r in plans(frame).collect()}
     assert found[1]["planned_by"] == "reply" and found[1]["plan"]["data_type"] == "cut ?"
     assert found[2]["planned_by"] == "rules"
+
+
+def test_pages_have_the_category_of_their_host(spark):
+    known = catalog(spark).orderBy("category").first()
+    pages = spark.createDataFrame([(1, known["url_template"]), (2, "https://nowhere.example/"), (3, None)], "page_id bigint, url string")
+    found = {r["page_id"]: r["category"] for r in page_categories(pages).collect()}
+    assert found == {1: known["category"], 2: None, 3: None}
+
+
+def test_limits_are_arguments(spark):
+    attempts = spark.createDataFrame(
+        [("u", 4, 200, None, "late")], "url string, attempt int, status int, error string, body string"
+    )
+    assert resolve_fetches(attempts).count() == 0 and resolve_fetches(attempts, max_attempts=None).count() == 1
+    frame = spark.createDataFrame([("a b" * 100,)], "p string")
+    lengths = frame.select(F.length(topic(F.col("p"))).alias("cut"), F.length(topic(F.col("p"), None)).alias("whole"))
+    assert tuple(lengths.first()) == (50, 300)

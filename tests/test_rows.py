@@ -164,6 +164,21 @@ def test_any_header_can_be_a_column(spark, pages, tmp_path):
     assert "APrice" in read_csv(spark, path).columns
 
 
+def test_headers_named_like_kept_columns(spark, pages, tmp_path):
+    html = "<table><tr><th>Pos<th>prompt_id<th>Page_Ord<th>Pos_cell<tr><td>1<td>2<td>3<td>4</table>"
+    rows = extract(pages(html), ["tables"]).withColumn("prompt_id", F.lit(7))
+    wide = widen(rows, keep=["prompt_id", "page_ord", "pos"])
+    assert {"Pos_cell_cell", "prompt_id_cell", "Page_Ord_cell", "Pos_cell"} <= set(wide.columns)
+    wide.write.parquet(str(tmp_path / "wide"))
+    assert spark.read.parquet(str(tmp_path / "wide")).filter("Pos_cell_cell = '1'").count() == 1
+    path = str(tmp_path / "saved")
+    save_csv(rows, path, scope=["prompt_id"], full=True)
+    saved = read_csv(spark, path)
+    assert saved.select("prompt_id", "prompt_id_cell").filter("prompt_id_cell = '2'").first()["prompt_id"] == "7"
+    save_csv(rows, path, scope=["prompt_id"], append=True)
+    assert set(saved.columns) <= set(read_csv(spark, path).columns)
+
+
 def test_appending_per_prompt(spark, pages, tmp_path):
     path, rows = str(tmp_path / "prompts"), extract(pages("<h1>one</h1>"), ["headings"])
     for prompt in (1, 2, 2):
