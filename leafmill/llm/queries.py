@@ -19,6 +19,36 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+ORACLE["op4_substring_dedup"] = f"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+    windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
+        FROM w, unnest(range(1, len(ws) - 33)) AS t(i)),
+    again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1),
+    words AS (SELECT doc_id, j, ws[j] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(j)),
+    marked AS (SELECT words.doc_id, j, word, max(i) OVER (PARTITION BY words.doc_id ORDER BY j
+            ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+        FROM words LEFT JOIN again ON again.doc_id = words.doc_id AND i = j)
+    SELECT w.doc_id, count(j) AS n_words, count(gone) AS n_removed,
+        sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (gone IS NULL), '')) AS kept_sha256
+    FROM w LEFT JOIN marked ON marked.doc_id = w.doc_id GROUP BY w.doc_id"""
+ORACLE["op7_ngram_jaccard"] = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS gram
+        FROM w, unnest(range(1, greatest(len(ws) - 2, 2))) AS t(i) WHERE len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+        FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+        WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+    sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reached(doc_id, label) AS (SELECT doc_id, doc_id FROM w
+        UNION SELECT y, label FROM reached JOIN sides ON x = reached.doc_id WHERE label < y)
+    SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(label) AS component_id
+    FROM w JOIN reached ON reached.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id"""
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
