@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import map_batches
 from leafmill.llm.tokens import encode, id_kind, wide
 from leafmill.session import new_folder, store
 

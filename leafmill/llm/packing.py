@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import map_batches
 from leafmill.llm.tokens import encode, id_kind, wide
 
 GROUP = 240

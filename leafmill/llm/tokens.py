@@ -1,27 +1,30 @@
 """Token ids of whole texts with a public tokenizer, as tables of packed ids.
 
-Texts are cut before each run of blanks and line feeds that follows any other
-visible character.  Byte-level pre-tokenisation always cuts there, so the ids
-of the cuts, one after the other, are the ids of the text, and repeated cuts are
-encoded once.  Texts with other white space are encoded whole.
+Byte-level pre-tokenisation always cuts a text before a blank that follows a
+visible character, and before a run of line feeds.  So the ids of these cuts, one
+after the other, are the ids of the text, and each distinct cut of a batch is
+looked up or encoded once.  Texts where white space meets other white space are
+encoded whole.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import map_batches
-
 VOCABULARY = "byte_bpe_50k.json"
-_CUT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-# A worker remembers between one and two times so many cuts.
-REMEMBERED = 350_000
+# White space of Unicode other than blank and line feed.
+_OTHER_SPACE = "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Texts that are encoded whole.
+_WHOLE = f"{_OTHER_SPACE}|  |\n | \n"
+# Cuts that a worker remembers.
+REMEMBERED = 900_000
+JOINED = 4096
+# Bytes of text that are encoded together.
+GATHERED = 8 << 20
 _encoders: dict[str, Encoder] = {}
 
 
@@ -35,9 +38,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        #: ids that begin with a blank or a line feed
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[:1] in ("\u0120", "\u010a")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = np.empty(1 << 16, self.kind)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.length = np.zeros(1 << 14, np.int64)
+        self.filled = 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -45,50 +58,96 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in done]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cuts = [
-            [] if not t else [t] if _OTHER_SPACE.search(t) else _CUT.findall(t) for t in texts
-        ]
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = []
-        for cut in {c for some in cuts for c in some if c not in young}:
-            if (ids := old.get(cut)) is None:
-                new.append(cut)
+        return [np.array(e.ids, dtype=self.kind) for e in done]
+
+    def _remember(self, cuts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        begin, count = len(self.place), len(cuts)
+        while begin + count > len(self.start):
+            self.start, self.length = (np.concatenate((a, np.zeros_like(a))) for a in (self.start, self.length))
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.length[begin : begin + count] = lengths
+        self.start[begin : begin + count] = self.filled + np.cumsum(lengths) - lengths
+        self.filled += len(ids)
+        self.place.update(zip(cuts, range(begin, begin + count)))
+
+    def _learn(self, cuts: list[str]) -> None:
+        """Encode new cuts; those that begin with one blank or line feed as one text of many."""
+        single = []
+        many = [c for c in cuts if c[:1] in (" ", "\n") and c[1:2] not in ("", "\n") or single.append(c)]
+        for at in range(0, len(many), JOINED):
+            some = many[at : at + JOINED]
+            (ids,) = self._encode(["".join(some)])
+            begin = np.flatnonzero(self.opens[ids])
+            if len(begin) == len(some) and begin[0] == 0:
+                self._remember(some, ids, np.diff(np.append(begin, len(ids))))
             else:
-                young[cut] = ids
-        passing = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for cut, ids in zip(some, self._encode(some)):
-                (young if len(cut) < 64 else passing)[cut] = ids
-        if passing:
-            return [b"".join([young.get(c) or passing.get(c, b"") for c in some]) for some in cuts]
-        return [b"".join([young[c] for c in some]) for some in cuts]
+                single += some
+        for at in range(0, len(single), JOINED):
+            some = single[at : at + JOINED]
+            ids = self._encode(some)
+            self._remember(some, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
+        whole = np.asarray(pc.match_substring_regex(texts, _WHOLE))
+        cut = pc.if_else(pa.array(whole), "", texts)
+        lists = pc.split_pattern(pc.replace_substring_regex(cut, "\n+", r" \0"), " ")
+        coded, sizes = lists.flatten().dictionary_encode(), np.asarray(pc.list_value_length(lists))
+        first = np.cumsum(sizes) - sizes
+        index = np.asarray(coded.indices).copy()
+        # No word holds a blank, so one long text carries them all.
+        one = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        words = pc.binary_join(one, " ")[0].as_py().split(" ")
+        # The first word of a text has no blank before it.
+        leading = [words[i] for i in index[first]]
+        cuts = [w if w[:1] == "\n" else " " + w for w in words] + leading
+        index[first] = len(words) + np.arange(len(first))
+        if len(self.place) > REMEMBERED:
+            self.forget()
+        if new := [c for c in dict.fromkeys(cuts) if c not in self.place]:
+            self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, cuts), np.int64, len(cuts))[index]
+        lengths = self.length[at]
+        ends = np.cumsum(lengths)
+        ids = self.ids[np.repeat(self.start[at] - ends + lengths, lengths) + np.arange(lengths.sum())]
+        bounds = np.append(0, ends)[np.append(first, len(index))]
+        out = [ids[b:e].tobytes() for b, e in zip(bounds[:-1], bounds[1:])]
+        odd = np.flatnonzero(whole)
+        for row, found in zip(odd, self._encode([texts[int(i)].as_py() for i in odd])):
+            out[row] = found.tobytes()
+        return out
 
 
 def encode(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> DataFrame:
     """Per row: key, n (ids with the end id), ids (packed 16- or 32-bit numbers)."""
 
-    def run(batch):
-        encoder = Encoder.of(path)
+    def run(batches):
+        encoder, held, size = Encoder.of(path), [], 0
         end = np.array([end_id], dtype=encoder.kind).tobytes()
-        ids = [i + end for i in encoder(batch.column(1).to_pylist())]
-        n = [len(i) // encoder.kind.itemsize for i in ids]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["key", "n", "ids"]
-        )
+
+        def ready():
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids = [i + end for i in encoder(table.column(1).combine_chunks())]
+            n = [len(i) // encoder.kind.itemsize for i in ids]
+            made = pa.table({"key": table.column(0), "n": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary())})
+            return made.to_batches(max_chunksize=1024)
+
+        for batch in batches:  # the more texts at a time, the more words they share
+            held.append(batch)
+            size += batch.nbytes
+            if size >= GATHERED:
+                yield from ready()
+                held, size = [], 0
+        if held:
+            yield from ready()
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_batches(
-        docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run,
-        f"key {kind}, n long, ids binary",
-    )
+    columns = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return columns.mapInArrow(run, f"key {kind}, n long, ids binary")
 
 
 def id_kind(path: str) -> np.dtype:
