@@ -55,18 +55,18 @@ def with_signatures(frame: DataFrame, text: str, out: str) -> DataFrame:
     skip, content = f"(?: {MARK}[^ ]++){{0,{GAP}}}+", f" [^ {MARK}][^ ]*+"
     spots = F.regexp_extract_all(marked, F.lit(f"(?=({MARK}[^ ]++(?:{skip}{content}){{{CHAIN}}}))"), 1)
     hashed = F.transform(
-        spots, lambda s: F.xxhash64(F.regexp_replace(s, f" {MARK}[^ ]+", "")).bitwiseAND(F.lit(0xFFFFFFFF))
+        spots, lambda s: F.hash(F.regexp_replace(s, f" {MARK}[^ ]+", ""))
     )
     # A step of its own: what follows uses it several times.
     found = frame.withColumn("__found", F.array_sort(F.array_distinct(hashed)))
-    whole = F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))
-    none = F.array().cast("array<bigint>")
+    whole, none = F.array(F.hash(text)), F.array().cast("array<int>")
     chosen = F.when(F.size("__found") > 0, F.col("__found")).when(F.length(text) > 0, whole).otherwise(none)
     return found.withColumn(out, chosen).drop("__found")
 
 
 def fingerprint(sigs: Column) -> Column:
-    return F.array_join(F.transform(sigs, lambda s: F.lower(F.lpad(F.hex(s), 8, "0"))), "")
+    digits = F.transform(sigs, lambda s: F.lower(F.lpad(F.right(F.hex(s), F.lit(8)), 8, "0")))
+    return F.array_join(digits, "")
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -107,33 +107,36 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     The edited text has its last third replaced by as much of the beginning of
     the next document, in descending order of the key.
     """
+    kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.withColumn("at", F.xxhash64("text"))
-    order = next_in_order(rows.select("id", "at"))
-    lengths = rows.select("id", "at", F.floor(F.length("text") / 3).alias("third")).distinct()
-    wanted = order.join(
-        lengths.select(F.col("id").alias("l_id"), F.col("at").alias("l_at"), "third"),
-        F.col("id").eqNullSafe(F.col("l_id")) & (F.col("at") == F.col("l_at")),
-    ).select(
-        F.col("id").alias("for_id"), F.col("at").alias("for_at"), "next_id", "next_at", "third"
+    # What tells rows apart: the key, and a hash of the text whose last bit says that the key is null.
+    rows = rows.withColumn("nid", F.coalesce("id", F.lit(0).cast(kind))).withColumn(
+        "at", F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.isnull("id").cast("long"))
+    )
+    keys = rows.select("id", "nid", "at", F.floor(F.length("text") / 3).alias("third")).distinct()
+    keys = store(keys, "order-keys")
+    order = next_in_order(keys.select("id", "at")).withColumn("nid", F.coalesce("id", F.lit(0).cast(kind)))
+    wanted = order.join(keys.drop("id"), ["nid", "at"]).select(
+        F.col("nid").alias("for_nid"), F.col("at").alias("for_at"), "third",
+        F.coalesce("next_id", F.lit(0).cast(kind)).alias("nid"), F.col("next_at").alias("at"),
     )
-    numbered = rows.withColumn("copy", F.row_number().over(W.partitionBy("id", "at").orderBy("at")))
-    following = numbered.filter("copy = 1").join(
-        wanted, F.col("id").eqNullSafe(F.col("next_id")) & (F.col("at") == F.col("next_at"))
+    heads = with_signatures(rows.drop("id").join(wanted, ["nid", "at"]), "text", "next_sigs").select(
+        "for_nid", "for_at", F.expr("substring(text, 1, third)").alias("head"), "next_sigs"
     )
-    heads = with_signatures(following, "text", "next_sigs").select(
-        "for_id", "for_at", F.expr("substring(text, 1, third)").alias("head"), "next_sigs"
+    # Equal rows bring equal beginnings: one is enough.
+    heads = heads.groupBy(F.col("for_nid").alias("nid"), F.col("for_at").alias("at")).agg(
+        F.first("head").alias("head"), F.first("next_sigs").alias("next_sigs")
     )
     edited = F.concat(F.expr("substring(text, 1, n_chars - n_chars div 3)"), F.col("head"))
     joined = (
-        numbered.join(heads, F.col("id").eqNullSafe(F.col("for_id")) & (F.col("at") == F.col("for_at")))
+        rows.drop("id").join(heads, ["nid", "at"])
         .withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("edited", edited)
-    )
+    )
     joined = with_signatures(with_signatures(joined, "text", "sigs"), "edited", "edited_sigs")
     joined = joined.select(
-        "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "next_sigs", "sigs", "edited_sigs",
+        F.when(F.col("at").bitwiseAND(F.lit(1)) == 0, F.col("nid")).alias("id"), "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "next_sigs", "sigs", "edited_sigs",
     )
     return joined.select(
         F.col("id").alias(key), "n_chars", "edited_sha256",
