@@ -87,6 +87,13 @@ def kd_shards(
     return _numbered(placed, n).withColumnRenamed("key", key)
 
 
+def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows known to the driver, as literals: no Python runs for them."""
+    columns = [c.split() for c in schema.split(", ")]
+    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(r, columns)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def _descend(rows: DataFrame, leaves: int, total: int, n_dims: int) -> DataFrame:
     """Rows with the number of their leaf as ``shard``."""
     spark, open_, whole, tolerance = rows.sparkSession, {0: leaves}, None, TOLERANCE * total / leaves
@@ -105,10 +112,12 @@ def _descend(rows: DataFrame, leaves: int, total: int, n_dims: int) -> DataFrame
             ]
             d = max(range(n_dims), key=lambda i: width[i])
             splits.append(_Split(node, k, d, r["size"] * (k // 2) / k, r[f"low{d}"], r[f"high{d}"]))
+        if not splits:
+            break
         while searching := [s for s in splits if s.bound is None]:
             _look(rows, searching, max(16, BUCKETS // len(searching)), tolerance)
         table = [(s.node, s.dimension, *s.bound) for s in splits]
-        found = spark.createDataFrame(table, "node int, dim int, b0 long, b1 long, b2 long")
+        found = _small(spark, table, "node int, dim int, b0 long, b1 long, b2 long")
         # At most one row per shard.
         met = rows.join(F.broadcast(found), "node", "left")
         value = F.element_at("place", F.col("dim") + 1)
@@ -121,12 +130,12 @@ def _descend(rows: DataFrame, leaves: int, total: int, n_dims: int) -> DataFrame
         divided = {s.node for s in splits}
         new, first = {}, {}
         for node, k in open_.items():
-            left = k // 2 if node in divided else k
+            left = k // 2 if node in divided else 1  # a node without rows is done
             new[2 * node + 1], first[2 * node + 1] = left, numbers[node]
             if node in divided:
                 new[2 * node + 2], first[2 * node + 2] = k - left, numbers[node] + left
         open_, numbers = new, first
-    names = spark.createDataFrame(list(numbers.items()), "node int, shard int")
+    names = _small(spark, list(numbers.items()), "node int, shard int")
     return rows.join(F.broadcast(names), "node").drop("node", "place")
 
 
@@ -136,8 +145,8 @@ def _look(rows: DataFrame, splits: list[_Split], buckets: int, tolerance: float)
     table = [
         (s.node, s.dimension, s.stage, *(list(s.fixed) + [0, 0])[:2], s.low, s.high, s.step(buckets)) for s in splits
     ]
-    searches = spark.createDataFrame(
-        table, "node int, dim int, stage int, f0 long, f1 long, low long, high long, step long"
+    searches = _small(
+        spark, table, "node int, dim int, stage int, f0 long, f1 long, low long, high long, step long"
     )
     place = F.element_at("place", F.col("dim") + 1)
     value = F.when(F.col("stage") == 0, place).when(F.col("stage") == 1, F.col("crc")).otherwise(F.col("hash"))
