@@ -196,3 +196,25 @@ def test_languages_of_odd_documents(odd, rows, empty):
     assert langid.language_ids(empty, path).count() == 0
     unlabelled = langid.language_ids(odd.withColumn("lang", F.lit(None).cast("string")), path)
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
+
+
+def test_long_words_of_unseen_characters(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang is not null")
+    model = langid.fit(frame, vocabulary(langid.VOCABULARY))
+    english = frame.filter("lang = 'en' and n_chars > 500").orderBy("doc_id").first()["text"]
+    unseen = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 200))
+    texts = [unseen, f"{english} {unseen}", f"{unseen} {english}", english]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+    assert [found[i]["lang_pred"] for i in (1, 2, 3)] == ["en"] * 3
+
+
+def test_expected_pieces_of_words_with_tiny_probability():
+    import numpy as np
+    import pandas as pd
+
+    pieces = langid.Pieces.of(vocabulary(langid.VOCABULARY))
+    words = pd.DataFrame({"language": [0], "word": ["".join(chr(c) for c in range(0x4E00, 0x4E00 + 47))], "n": [3]})
+    uses = langid._expected(pieces, words, np.full((pieces.size, 1), 1e-9))
+    assert np.isfinite(uses["weight"]).all() and 0 < uses["weight"].sum() <= 3 * 48 + 1e-6
