@@ -27,17 +27,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each class of texts that share 0.8 of their five-word shingles.
+    """Keeps one row of each class of texts that share 0.8 of their five-word shingles.
 
-    Rows with one doc_id stand or fall together.  Documents without words are in
-    no class and stay.
+    It is the row of the smallest doc_id, null last; of several, the one with
+    the smallest hash of all columns; of equal rows, one.  Rows without words
+    are in no class and stay.
     """
     prepare(spark)
-    classes = ngram_join.ngram_components(docs, n=5, percent=80)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__kept")
-    ).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    rows = docs.select(*COLUMNS)
+    # Nulls leave the hash as it is, so where they are is hashed too.
+    rows = rows.withColumn("__rid", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
+    keyed = rows.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__rid"))
+    classes = ngram_join.ngram_components(keyed, n=5, percent=80, key="__key")
+    chosen = (
+        classes.filter(F.col("__key") == F.col("component_id"))
+        .groupBy(F.col("__key")["__rid"].alias("__rid"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
+    )
+    chosen = store(chosen, "near-duplicates-kept")
+    single = rows.join(chosen.filter("rows = 1 or n = 0"), "__rid", "left_semi").select(*COLUMNS)
+    # Equal rows are made one where they are read, before they meet in a task.
+    equal = rows.join(chosen.filter("rows > 1 and n > 0"), "__rid", "left_semi").select(*COLUMNS)
+    return single.union(equal.distinct())
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,21 @@ def test_all_is_packed(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    other = "a quite different text about something else that nobody has copied yet"
+    third = "yet another text of which all the copies have lost their key"
+    rows = [
+        (1, text, "en", "s0", 5), (1, text, "en", "s0", 5), (1, text, "en", "s0", 5),  # repeated rows
+        (1, other, "en", "s0", 5),  # a clean row of the same doc_id
+        (None, text, "en", "s0", 5), (2, other, "en", "s0", 5), (None, other, "en", "s1", 5),  # copies
+        (None, third, "en", None, 5), (None, third, None, "en", 5), (None, third, "en", None, 5),  # null ids only
+        (None, "", "en", "s0", 0), (None, "", "en", "s0", 0), (7, None, None, None, None),  # no words
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), FOLDER)
+    assert left.columns == corpus_pipeline.COLUMNS
+    kept = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    assert kept == sorted([(1, text), (1, other), (None, third), (None, ""), (None, ""), (7, None)], key=str)
