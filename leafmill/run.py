@@ -67,10 +67,14 @@ def run(
     filename: str = "output.csv",
     snapshot: bool = True,
     full: bool = False,
+    json_cells: bool = True,
 ) -> Run:
     """Plan the prompts, extract their pages, and save when a folder is given.
 
     ``full`` keeps rows that differ in any field, e.g. all rows of a table.
+    Both files hold table cells as one JSON text, whatever the number of
+    headers; ``json_cells=False`` saves the wide table, which is an error above
+    ``MAX_COLUMNS`` names.
 
     The plans are joined twice and reported; the rows feed two files and the
     summary.  Both are written once to the shared checkpoint folder instead of
@@ -82,6 +86,7 @@ def run(
     rows = store(rows, "rows")
     if folder is None:
         return Run(planned, rows)
-    path = save_csv(rows, output_path(folder, filename), scope=["prompt_id"], full=full)
-    copy = save_snapshot(rows, folder, scope=["prompt_id"], full=full) if snapshot else ""
+    options = {"scope": ["prompt_id"], "full": full, "json_cells": json_cells}
+    path = save_csv(rows, output_path(folder, filename), **options)
+    copy = save_snapshot(rows, folder, **options) if snapshot else ""
     return Run(planned, rows, path, copy)

@@ -10,7 +10,7 @@ from leafmill.plans import fixed
 from leafmill.plans.replies import empty_plans, plan_summary, plan_urls, plans
 from leafmill.plans.routing import catalog, page_categories, route, topic
 from leafmill.run import run, run_report
-from leafmill.sources.csv import read_csv
+from leafmill.sources.csv import MAX_COLUMNS, read_csv
 from leafmill.sources.pages import _hot_urls, extract_planned, planned_pages, resolve_fetches
 
 PROMPTS = {
@@ -196,6 +196,19 @@ def test_run(spark, pages, tmp_path):
     assert nothing.csv_path == ""
 
 
+def test_run_with_more_headers_than_columns_allowed(spark, pages, tmp_path):
+    n = MAX_COLUMNS + 1
+    html = "".join(f"<th>h{i}" for i in range(n)), "".join(f"<td>{i}" for i in range(n))
+    stored = pages(("https://lobste.rs", f"<table><tr>{html[0]}<tr>{html[1]}</table>"))
+    asked = prompts(spark, ["volcanoes"])
+    done = run(asked, stored, str(tmp_path), full=True)
+    for path in (done.csv_path, done.snapshot_path):
+        cells = [json.loads(r["cells"]) for r in read_csv(spark, path).filter("type = 'table_row'").collect()]
+        assert {f"h{i}": str(i) for i in range(n)} in cells
+    with pytest.raises(ValueError, match="columns"):
+        run(asked, stored, str(tmp_path), "wide.csv", json_cells=False)
+
+
 def test_report_of_an_empty_plan(spark):
     asked = spark.createDataFrame([(1, "x", "{}")], "prompt_id bigint, prompt string, raw_response string")
     rows = spark.createDataFrame([], "prompt_id bigint")
