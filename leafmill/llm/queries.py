@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import (
-    ans, fm, langid, mixing, ngram_join, packing, rabitq, recompression, shards, spotsigs, tokens,
+    ans, fm, langid, mixing, ngram_join, packing, rabitq, recompression, shards, spotsigs, tokens, trie,
+    whitening,
 )
 from leafmill.llm.common import documents
 from leafmill.session import prepare
@@ -48,6 +49,40 @@ ORACLE["op7_ngram_jaccard"] = f"""
     SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(label) AS component_id
     FROM w JOIN reached ON reached.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id"""
 
+ORACLE["op13_prefix_trie"] = f"""
+    WITH t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ' ' || coalesce(role, '') || coalesce(text, '')) AS m,
+            turn, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS words
+        FROM conversations WHERE conv_id IS NOT NULL),
+    places AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS place FROM t),
+    convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+            flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END),
+            4294967295) % 4 AS h
+        FROM (SELECT DISTINCT conv_id FROM t)),
+    heads AS (SELECT c.conv_id, place, m, words FROM convs c JOIN places p ON p.conv_id = base AND place <= h),
+    rest AS (SELECT p.conv_id, place - h + (SELECT count(*) FROM heads WHERE heads.conv_id = p.conv_id) AS place,
+            m, words FROM places p JOIN convs c ON c.conv_id = p.conv_id WHERE place > h),
+    turns AS (FROM heads UNION ALL FROM rest),
+    paths AS (SELECT conv_id, place AS depth, words,
+            string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY place) AS path FROM turns
+        UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+    nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words
+        FROM paths GROUP BY path, depth),
+    children AS (SELECT substr(path, 1, 32 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    own AS (SELECT nodes.*, coalesce(n, 0) AS n_children,
+            CASE WHEN depth > 0 THEN substr(nodes.path, 1, 32 * (depth - 1)) END AS above
+        FROM nodes LEFT JOIN children ON children.path = nodes.path),
+    subtrees AS (SELECT substr(path, 1, 32 * k) AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves,
+            sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+        FROM own, unnest(range(0, depth + 1)) AS u(k) GROUP BY 1),
+    ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+        FROM (SELECT conv_id, max_by(path, depth) AS path FROM paths GROUP BY conv_id) GROUP BY path)
+    SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens,
+        sha256(coalesce(ids, '')) AS ends_sha256
+    FROM own JOIN subtrees ON subtrees.path = own.path LEFT JOIN ends ON ends.path = own.path
+        LEFT JOIN nodes up ON up.path = own.above"""
+
 
 def vocabulary(name: str) -> str:
     import public_tokenizers
@@ -125,3 +160,14 @@ def op9_spotsigs(spark, folder):
 def op10_language_id(spark, folder):
     found = langid.language_ids(documents(spark, folder), vocabulary(langid.VOCABULARY))
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op12_whitening(spark, folder):
+    return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"), most=16)
+
+
+@query
+def op13_prefix_trie(spark, folder):
+    turns = trie.numbered_turns(spark.read.parquet(f"{folder}/conversations.parquet"))
+    return trie.prefix_trie(*trie.with_shared_heads(turns, group=20, longest=3))
