@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import (
-    ans, fm, langid, mixing, ngram_join, packing, rabitq, recompression, shards, spotsigs, tokens, trie,
-    whitening,
+    ans, fm, langid, minhash, mixing, ngram_join, packing, rabitq, recompression, shards, spotsigs, tokens,
+    trie, whitening,
 )
 from leafmill.llm.common import documents
 from leafmill.session import prepare
@@ -33,7 +33,7 @@ ORACLE["op4_substring_dedup"] = f"""
     SELECT w.doc_id, count(j) AS n_words, count(gone) AS n_removed,
         sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (gone IS NULL), '')) AS kept_sha256
     FROM w LEFT JOIN marked ON marked.doc_id = w.doc_id GROUP BY w.doc_id"""
-ORACLE["op7_ngram_jaccard"] = f"""
+_CLASSES = f"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws FROM documents),
     s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS gram
@@ -42,13 +42,14 @@ ORACLE["op7_ngram_jaccard"] = f"""
     pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
         FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
     links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
-        WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+        WHERE 100 * c >= {{percent}} * (nx.n + ny.n - c)),
     sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
     reached(doc_id, label) AS (SELECT doc_id, doc_id FROM w
         UNION SELECT y, label FROM reached JOIN sides ON x = reached.doc_id WHERE label < y)
-    SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(label) AS component_id
+    SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(label) AS component_id{{more}}
     FROM w JOIN reached ON reached.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id"""
-
+ORACLE["op7_ngram_jaccard"] = _CLASSES.format(percent=85, more="")
+ORACLE["op11_minhash"] = _CLASSES.format(percent=80, more=", w.doc_id = min(label) AS kept")
 ORACLE["op13_prefix_trie"] = f"""
     WITH t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ' ' || coalesce(role, '') || coalesce(text, '')) AS m,
             turn, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS words
@@ -162,6 +163,11 @@ def op10_language_id(spark, folder):
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op11_minhash(spark, folder):
+    return minhash.minhash_components(documents(spark, folder), n=4, percent=80)
+
+
 @query
 def op12_whitening(spark, folder):
     return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"), most=16)
