@@ -5,13 +5,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill.operators.bloom import MAX_BLOCKS, bloom_filter, n_blocks, possible
 from leafmill.operators.extract import extract
 from leafmill.plans import fixed
 from leafmill.plans.replies import empty_plans, plan_summary, plan_urls, plans
 from leafmill.plans.routing import catalog, page_categories, route, topic
 from leafmill.run import run, run_report
 from leafmill.sources.csv import MAX_COLUMNS, read_csv
-from leafmill.sources.pages import _hot_urls, extract_planned, planned_pages, resolve_fetches
+from leafmill.sources.pages import PlannedPages, _hot_urls, extract_planned, planned_pages, resolve_fetches
 
 PROMPTS = {
     "a book shop": "books",
@@ -158,13 +159,89 @@ def test_a_url_all_plans_share(spark, pages):
     planned = spark.range(3000).selectExpr(
         "id prompt_id", "1L pos", "if(id % 3 = 0, 'https://a/1', concat('https://b/', id)) url", "'N' source_name"
     )
-    assert [tuple(r) for r in _hot_urls(planned, 30).collect()] == [("https://a/1", 34)]
+    assert [r["_salts"] for r in _hot_urls(planned, 30).collect()] == [34]
     assert _hot_urls(planned.filter("prompt_id < 3"), 1).count() == 3
     stored = pages(("https://a/1", "<h1>one</h1><h1>two</h1>"), ("https://b/1", "<h1>bbb</h1>"))
     rows = extract_planned(planned, stored, rows_per_task=30)
     assert rows.count() == 2001 and rows.select("prompt_id", "text").distinct().count() == 2001
 
 
+def test_a_small_share_of_a_large_plan_is_hot_too(spark, pages):
+    """900 of a million plan rows, where a task does 100: nine salts, told apart by the rows' places."""
+    planned = spark.range(1_000_000).selectExpr(
+        "id prompt_id", "1L pos", "if(id < 900, 'https://a/1', concat('https://b/', id)) url", "'N' source_name"
+    )
+    assert [r["_salts"] for r in _hot_urls(planned, 100).collect()] == [9]
+    rows = extract_planned(planned, pages(("https://a/1", "<h1>one</h1>")), rows_per_task=100)
+    assert "_salts" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 900
+
+
+def _moved(plan):
+    """The columns of every node of a plan that moves or sorts rows."""
+    name, out = plan.nodeName(), []
+    if name == "AdaptiveSparkPlan":
+        return _moved(plan.initialPlan())
+    if "Exchange" in name or name.startswith("Sort"):
+        out.append((name, {a.name() for a in _each(plan.output())}))
+    for child in [*_each(plan.children()), *_each(plan.subqueries())]:
+        out += _moved(child)
+    return out
+
+
+def _each(items):
+    return [items.apply(i) for i in range(items.length())]
+
+
+def test_markup_of_planned_pages_stays_where_it_is_read(spark, pages):
+    """Without any automatic broadcast: only the pages asked for leave their task, and none to be extracted."""
+    stored = pages(*[(f"https://a/{i % 1000}", f"<h1>title {i}</h1>") for i in range(3000)])
+    planned = spark.range(20).selectExpr("id prompt_id", "1L pos", "concat('https://a/', id * 7) url", "'N' source_name")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for salts in (None, 1):
+            rows = extract_planned(planned, stored, rows_per_task=salts)
+            moved = _moved(rows._jdf.queryExecution().executedPlan())
+            assert len(moved) > 3 and not [m for m in moved if "html" in m[1]]
+            assert sorted(r["text"] for r in rows.collect()) == sorted(f"title {2000 + i * 7}" for i in range(20))
+        wanted = PlannedPages(planned, stored)
+        assert 20 <= wanted.likely().count() <= 25
+        moved = _moved(wanted.exact()._jdf.queryExecution().executedPlan())
+        assert [m for m in moved if "html" in m[1]]
+        assert wanted.exact().count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_equal_page_rows_count_once(spark, pages):
+    """Rows that agree in URL and id are one page; markup that differs gives the least of it; versions may be NULL."""
+    stored = pages(("https://a/1", "<h1>one</h1>"), ("https://b/1", "<h1>two</h1>"))
+    more = stored.filter("page_id = 0").withColumn("html", F.lit("<h1>zzz</h1>"))
+    planned = spark.createDataFrame(
+        [(1, 1, "https://a/1", "A"), (1, 2, "https://b/1", "B")], "prompt_id bigint, pos bigint, url string, source_name string"
+    )
+    again = stored.union(more).union(stored).withColumn("seen", F.when(F.col("url") == "https://b/1", F.col("page_id")))
+    for version in ("page_id", "seen"):
+        assert sorted(r["html"] for r in planned_pages(planned, again, version).collect()) == [
+            "<h1>one</h1>", "<h1>two</h1>",
+        ]
+        found = extract_planned(planned, again, version=version).collect()
+        assert sorted((r["page_ord"], r["text"]) for r in found) == [(1, "one"), (2, "two")]
+    assert extract_planned(planned.limit(0), stored).count() == 0
+
+
+def test_bloom_filter_lets_every_key_through(spark):
+    keys = spark.range(20_000).selectExpr("concat('k', id) k", "if(id % 3 = 0, null, id) n")
+    blocks = n_blocks(20_000)
+    bloom = bloom_filter(keys, ["k", "n"], blocks)
+    assert possible(keys, ["k", "n"], bloom, blocks).count() == 20_000
+    others = keys.withColumn("k", F.concat("k", F.lit("!")))
+    assert possible(others, ["k", "n"], bloom, blocks).count() < 200
+    assert possible(keys, ["k"], bloom_filter(keys.limit(0), ["k"], 1), 1).count() == 0
+    assert n_blocks(10**12) == MAX_BLOCKS
+
+
 def test_planned_source_does_not_undo_a_header(spark, pages):
     html = "<table><tr><th>source<tr><td>mine</table>"
     planned = spark.createDataFrame(
