@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from leafmill.functions.text import SPACE
 from leafmill.operators.extract import default_source
@@ -15,7 +13,9 @@ from leafmill.plans.routing import PLAN, TARGET, prompt_plan, route
 from leafmill.session import prepare
 
 _FENCE = "```"
-_SCALARS = [f.name for f in PLAN if f.dataType.simpleString() == "string"]
+# How an explicit null is shown.
+_NULL = "None"
+_NOT_NUMBERS = ('"NaN"', '"Infinity"', '"-Infinity"')
 _TARGET_SCALARS = [f.name for f in TARGET if f.dataType.simpleString() == "string"]
 
 
@@ -34,50 +34,104 @@ def _strip(value: Column) -> Column:
     return F.regexp_replace(value, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
-def _text(value: object) -> str:
-    """A value as text that Arrow can hold: half a surrogate pair becomes a question mark."""
-    return str(value).encode("utf-8", "replace").decode("utf-8")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _texts(values: object) -> list[str] | None:
-    return [_text(v) for v in values] if isinstance(values, list) else None
+def _from_json(text: Column, schema: str) -> Column:
+    return F.from_json(text, schema, {"allowSingleQuotes": "false"})
 
 
-def _read(reply: str | None) -> dict | None:
-    """The plan in a reply, or None when it is not one JSON object with countable URLs."""
-    try:
-        found = json.loads(reply)
-        len(found.get("urls", []))
-    except (ValueError, TypeError, AttributeError, RecursionError):
-        return None
-    plan: dict = {name: _text(found[name]) for name in _SCALARS if name in found}
-    plan["target_columns"] = _texts(found.get("target_columns"))
-    urls = found.get("urls", [])
-    plan["urls"] = [
-        {k: _text(u[k]) for k in _TARGET_SCALARS if u.get(k) is not None}
-        | {"expected_elements": _texts(u.get("expected_elements"))}
-        for u in (urls if isinstance(urls, list) else [])
-        if isinstance(u, dict)
-    ]
-    return plan
+def _names(text: Column) -> Column:
+    """The member names of a JSON object; NULL when the text is not just that.
+
+    A reader stops after the value it was asked for.  As the one element of an
+    array and as the one member of an object, the text must end where its value
+    does: what one form lets through closes the other too early.
+    """
+    alone = _from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    member = _from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v map<string,string>")["v"]
+    return F.when(F.size(alone) == 1, F.map_keys(member))
+
+
+def _fields(text: Column, names: Sequence[str]) -> Column:
+    """Members as texts, values that are not texts as JSON; of repeated names the last counts."""
+    return _from_json(text, ", ".join(f"{name} string" for name in names))
+
 
+def _listed(text: Column, name: str, raw: Column) -> Column:
+    """A member that is an array, its entries as texts; NULL when it is something else.
 
-@F.arrow_udf(PLAN)
-def _parse(replies: pa.Array) -> pa.Array:
-    return pa.array([_read(r.as_py()) for r in replies], to_arrow_type(PLAN))
+    ``raw``: the member as a text, which is that of its last mention.
+    """
+    return F.when(F.startswith(raw, F.lit("[")), _from_json(text, f"{name} array<string>")[name])
+
+
+def _texts(entries: Column) -> Column:
+    return F.transform(entries, lambda e: F.coalesce(e, F.lit(_NULL)))
 
 
-# Spark would infer a filter from the later explode and read every reply twice.
-_parse_once = _parse.asNondeterministic()
+def _countable(text: Column, raw: Column, listed: Column) -> Column:
+    """Whether a value that is there, `urls`, has a length: an array, an object or a text."""
+    number = F.rlike(raw, F.lit(r"^-?[0-9]")) & _from_json(text, "urls double")["urls"].isNotNull()
+    is_number = number | raw.isin(*_NOT_NUMBERS)
+    is_truth = raw.isin("true", "false") & _from_json(text, "urls boolean")["urls"].isNotNull()
+    return (
+        F.when(listed.isNotNull() | F.startswith(raw, F.lit("{")), True)
+        .when(raw.isNull(), False)
+        .otherwise(~is_number & ~is_truth)
+    )
+
+
+def _target(entry: Column) -> Column:
+    return _let(
+        _fields(entry, TARGET.names),
+        lambda found: F.struct(
+            *[found[name].alias(name) for name in _TARGET_SCALARS],
+            _texts(_listed(entry, "expected_elements", found["expected_elements"])).alias("expected_elements"),
+        ),
+    )
+
+
+def _plan(text: Column, names: Column, found: Column, listed: Column) -> Column:
+    """The plan of a reply with these member names, texts and entries of `urls`."""
+
+    def named(name: str) -> Column:
+        return F.array_contains(names, F.lit(name))
+
+    objects = F.filter(
+        F.coalesce(listed, F.array().cast("array<string>")), lambda e: F.startswith(e, F.lit("{"))
+    )
+    columns = _texts(_listed(text, "target_columns", found["target_columns"]))
+    parts = {"urls": F.transform(objects, _target), "target_columns": columns}
+    fields = [
+        parts.get(name, F.when(named(name), F.coalesce(found[name], F.lit(_NULL)))).alias(name) for name in PLAN.names
+    ]
+    return F.when(~named("urls") | _countable(text, found["urls"], listed), F.struct(*fields))
 
 
 def reply_plan(reply: Column) -> Column:
-    """The plan of a reply; NULL when the reply is not strict JSON.
+    """The plan of a reply; NULL when the reply is not one strict JSON object with countable URLs.
 
-    Spark's own JSON readers accept text after the closing brace, so whether a
-    reply counts is decided in the worker.
+    All of it is Spark's own JSON functions.  Values that are not texts are kept
+    as JSON (``true``, ``[1, 2]``), an explicit null as ``None``; half a surrogate
+    pair reads ``?``.  Entries of ``urls`` that are not objects are left out (a text
+    that is itself an object in JSON counts as one).  Of repeated names the last counts.
     """
-    return _parse_once(strip_fences(reply))
+
+    def read(text: Column, names: Column) -> Column:
+        return _let(
+            _fields(text, PLAN.names),
+            lambda found: _let(
+                _listed(text, "urls", found["urls"]), lambda listed: _plan(text, names, found, listed)
+            ),
+        )
+
+    return _let(
+        strip_fences(reply),
+        lambda text: _let(_names(text), lambda names: F.when(names.isNotNull(), read(text, names))),
+    )
 
 
 def plans(prompts: DataFrame) -> DataFrame:

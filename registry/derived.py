@@ -206,7 +206,10 @@ def _target(*values: Column | str | None) -> Column:
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    """A reply per message, its shape chosen by the conversation."""
+    """A reply per message, its shape chosen by the conversation.
+
+    One shape repeats a name and ends in half a surrogate pair.
+    """
     plan = F.to_json(
         F.struct(
             F.col("text").alias("project_description"),
@@ -230,7 +233,7 @@ def replies(spark: SparkSession, folder: str) -> DataFrame:
         .when(shape == 3, _html("Here it is: ", plan))
         .when(shape == 4, _html(plan, " Enjoy!"))
         .when(shape == 5, _html("[", plan, "]"))
-        .when(shape == 6, F.to_json(F.struct(F.col("role").alias("data_type"))))
+        .when(shape == 6, _html('{"data_type": "cut", "data_type": "', F.col("role"), ' \\ud83d"}'))
         .otherwise(F.lit(None))
     )
     return table(spark, folder, "conversations").select(

@@ -1,6 +1,7 @@
 """Plans from prompts and from stored replies; fetch logs and planned pages."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,93 @@ REPLIES = {
 }
 
 
+NEVER = object()
+
+
+def _plan_by_hand(reply):
+    """The fields of a reply by Python's own reader; NEVER when it is no plan."""
+    try:
+        found = json.loads(reply)
+        len(found.get("urls", []))
+    except (ValueError, TypeError, AttributeError):
+        return NEVER
+
+    def text(value):
+        plain = value if isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+        return "None" if value is None else plain
+
+    def texts(values):
+        return [text(v) for v in values] if isinstance(values, list) else None
+
+    urls = found.get("urls") if isinstance(found.get("urls"), list) else []
+    names = ["project_description", "data_type", "scraping_strategy", "estimated_rows"]
+    return {n: text(found[n]) if n in found else None for n in names} | {
+        "target_columns": texts(found.get("target_columns")),
+        "urls": [
+            {k: None if u.get(k) is None else text(u[k]) for k in ("url", "source_name", "description")}
+            | {"expected_elements": texts(u.get("expected_elements"))}
+            for u in urls if isinstance(u, dict)
+        ],
+    }
+
+
+def _random_reply(rng):
+    def value(depth):
+        kind = rng.randrange(9 if depth else 7)
+        if kind < 4:
+            return rng.choice(["a", "", " x\"y\\", "true", "5", "null", "é\n\u2028", "[1", "NaN"])
+        if kind < 7:
+            return rng.choice([None, True, False, 0, -7, 12345678901234567890, 2.5])
+        if kind == 7:
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        return {rng.choice("ab"): value(depth - 1) for _ in range(rng.randrange(3))}
+
+    def target():
+        if rng.random() < 0.2:
+            return value(1)
+        names = rng.sample(["url", "source_name", "description", "expected_elements", "else"], rng.randrange(6))
+        return {n: [value(1)] * 2 if n == "expected_elements" and rng.random() < 0.7 else value(1) for n in names}
+
+    plan = {n: value(2) for n in rng.sample([*PLAN, "other"], rng.randrange(8))}
+    if rng.random() < 0.8:
+        plan["urls"] = [target() for _ in range(rng.randrange(4))]
+    text = json.dumps(plan, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+    if rng.random() < 0.4:  # repeated names
+        lists = ["urls", "target_columns"]
+        more = {n: rng.choice([None, 5, True, [], {"a": 1}]) if n in lists else value(1) for n in rng.sample([*PLAN], 2)}
+        text = text[:-1] + (", " if plan else "") + json.dumps(more)[1:]
+    damage = rng.random()
+    if damage < 0.1:
+        return text + rng.choice([" x", "}", "]", ", {}", "], [{}", '}, {"v": 1', "//", "{", '"'])
+    if damage < 0.2:
+        at = rng.randrange(len(text))
+        return text[:at] + rng.choice(["'", ",", "\t", "", "\\", "}", "0", "NaN"]) + text[at + 1 :]
+    return text
+
+
+def test_replies_are_read_as_python_reads_them(spark):
+    """Random replies, some damaged, against Python's reader; only its spelling of values that are not texts differs."""
+    rng = random.Random(11)
+    replies = [_random_reply(rng) for _ in range(1500)]
+    rows = [(i, "volcanoes", r) for i, r in enumerate(replies)]
+    frame = plans(spark.createDataFrame(rows, "prompt_id bigint, prompt string, raw_response string"))
+    wrong, read = [], 0
+    for r in frame.collect():
+        expected = _plan_by_hand(replies[r["prompt_id"]])
+        found = NEVER if r["planned_by"] == "rules" else r["plan"].asDict(recursive=True)
+        read += found is not NEVER
+        if found != expected:
+            wrong.append((replies[r["prompt_id"]], found, expected))
+    assert not wrong, wrong[:3]
+    assert 900 < read < 1450
+
+
+def test_replies_are_read_without_python(replied):
+    for frame in (replied, plan_summary(replied), plan_urls(replied), empty_plans(replied)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and plan.count("from_json") < 60
+
+
 @pytest.fixture(scope="module")
 def replied(spark):
     rows = [(i, "volcanoes", r) for i, r in enumerate(REPLIES)]
