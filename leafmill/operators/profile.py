@@ -42,8 +42,8 @@ def _names(fields: Sequence[str]) -> Column:
     return F.array(*[F.lit(f) for f in fields])
 
 
-def row_shapes(rows: DataFrame) -> DataFrame:
-    """The distinct field lists of the rows: how often, and where first met.
+def row_shapes(rows: DataFrame, *more: Column) -> DataFrame:
+    """The distinct field lists of the rows: how often, where first met, and ``more`` aggregates.
 
     One pass with partial aggregation; what leaves it is as large as the number
     of different table headings, not of rows.  The place is one number so that
@@ -52,13 +52,18 @@ def row_shapes(rows: DataFrame) -> DataFrame:
     page = F.col("page_ord").cast("decimal(20,0)")
     place = page * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
     return rows.groupBy("family_rank", row_fields().alias("fields")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min(place).alias("first_place")
+        F.count(F.lit(1)).alias("n_rows"), F.min(place).alias("first_place"), *more
     )
 
 
 def column_order(rows: DataFrame) -> DataFrame:
     """The columns a wide table of the rows has, with the place each is first met."""
-    named = row_shapes(rows).select("first_place", F.posexplode("fields").alias("at", "name"))
+    return shape_columns(row_shapes(rows))
+
+
+def shape_columns(shapes: DataFrame) -> DataFrame:
+    """`column_order` of rows with these shapes."""
+    named = shapes.select("first_place", F.posexplode("fields").alias("at", "name"))
     return named.groupBy("name").agg(F.min(F.struct("first_place", "at")).alias("first_met"))
 
 

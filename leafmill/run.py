@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,9 +12,12 @@ from leafmill.operators.profile import api_sample, summary_by_source, summary_by
 from leafmill.operators.profile import summary_sample, summary_totals
 from leafmill.plans.replies import plan_urls, plans
 from leafmill.session import drop_stored, prepare, store
-from leafmill.sources.csv import output_path, save_csv, save_snapshot
+from leafmill.sources.csv import output_path, run_name, save_csv, save_snapshot, snapshots, write_csv
 from leafmill.sources.pages import extract_planned
 
+# Rows of different prompts are never copies of each other.
+SCOPE = ["prompt_id"]
+
 
 @dataclass
 class Run:
@@ -25,9 +29,15 @@ class Run:
     snapshot_path: str = ""
 
     def close(self) -> None:
-        """Delete the intermediate tables; the saved files stay."""
+        """Delete the intermediate tables; the saved files stay.  Leaving a ``with`` block does so."""
         drop_stored(self.planned.sparkSession)
 
+    def __enter__(self) -> Run:
+        return self
+
+    def __exit__(self, *exception: object) -> None:
+        self.close()
+
     def report(self) -> DataFrame:
         return run_report(self.planned, self.rows, self.csv_path)
 
@@ -86,7 +96,11 @@ def run(
     rows = store(rows, "rows")
     if folder is None:
         return Run(planned, rows)
-    options = {"scope": ["prompt_id"], "full": full, "json_cells": json_cells}
-    path = save_csv(rows, output_path(folder, filename), **options)
-    copy = save_snapshot(rows, folder, **options) if snapshot else ""
-    return Run(planned, rows, path, copy)
+    path = output_path(folder, filename)
+    if not snapshot:
+        return Run(planned, rows, save_csv(rows, path, scope=SCOPE, full=full, json_cells=json_cells))
+    # Both files and the run in the table of snapshots are of one deduplication.
+    now = datetime.datetime.now()
+    copy = save_snapshot(rows, folder, now=now, scope=SCOPE, full=full, json_cells=json_cells)
+    saved = snapshots(prompts.sparkSession, folder).read(run_name(now))
+    return Run(planned, rows, write_csv(saved, path, scope=SCOPE, json_cells=json_cells), copy)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.operators.dedup import dedup_content, dedup_full, merge_unique
-from leafmill.operators.profile import column_order
+from leafmill.operators.profile import row_shapes, shape_columns
 from leafmill.schema import FAMILIES, FIELDS, ORDER
 from leafmill.session import exact_names, store
+from leafmill.sources import files
+from leafmill.sources.table import RowTable
 
 # Fixed value: the byte order mark a saved file starts with.
 BOM = "\N{ZERO WIDTH NO-BREAK SPACE}"
@@ -33,7 +35,12 @@ def column_names(rows: DataFrame, max_columns: int = MAX_COLUMNS) -> list[str]:
     The list is the schema of the result, so it must reach the driver; more
     than ``max_columns`` names is an error, not a cut.
     """
-    names = column_order(rows).orderBy("first_met").limit(max_columns + 1).select("name").collect()
+    return named_columns(row_shapes(rows), max_columns)
+
+
+def named_columns(shapes: DataFrame, max_columns: int = MAX_COLUMNS) -> list[str]:
+    """`column_names` of rows with these shapes."""
+    names = shape_columns(shapes).orderBy("first_met").limit(max_columns + 1).select("name").collect()
     if len(names) > max_columns:
         raise ValueError(f"more than {max_columns} columns; keep the cells as a map")
     return [row["name"] for row in names]
@@ -78,15 +85,25 @@ def with_json_cells(rows: DataFrame, keep: Sequence[str] = ORDER) -> DataFrame:
     return rows.select(*keep, *FIELDS, F.to_json("cells").alias("cells"))
 
 
-def _mixed_index(rows: DataFrame) -> bool:
-    """Whether table numbers share a numeric column with rows that have none.
+def _as_saved(rows: DataFrame, columns: Sequence[str] | None, scope: Sequence[str], json_cells: bool) -> DataFrame | None:
+    """The table a file holds, None when there are no rows; one aggregation answers all that must be known first.
 
-    Such a column holds floating-point numbers, so 0 is written as 0.0.
+    Table numbers that share a numeric column with rows that have none are
+    floating-point numbers there, so 0 is written as 0.0.
     """
+    if json_cells:
+        return None if rows.isEmpty() else with_json_cells(rows, scope)
     is_table = F.col("family_rank") == FAMILIES["tables"]
     replaced = F.coalesce(F.map_contains_key("cells", F.lit("table_index")), F.lit(False))
-    found = rows.agg(F.bool_or(~is_table).alias("others"), F.bool_or(replaced).alias("texts"))
-    return bool(found.select(F.col("others") & ~F.col("texts")).first()[0])
+    shapes = row_shapes(rows, F.bool_or(~is_table).alias("others"), F.bool_or(replaced).alias("texts"))
+    shapes = store(shapes, "row-shapes")
+    if shapes.isEmpty():
+        return None
+    wide = widen(rows, named_columns(shapes) if columns is None else columns, scope)
+    mixed = shapes.agg(F.bool_or("others") & ~F.bool_or("texts")).first()[0]
+    if "table_index" in wide.columns and mixed:
+        wide = wide.withColumn("table_index", F.col("table_index").cast("double").cast("string"))
+    return wide
 
 
 def save_csv(
@@ -95,34 +112,47 @@ def save_csv(
     append: bool = False,
     columns: Sequence[str] | None = None,
     scope: Sequence[str] = (),
-    json_cells: bool = False,
+    json_cells: bool = True,
     full: bool = False,
 ) -> str:
     """Deduplicate rows and save them as a folder of CSV parts; the path, or ''.
 
     Every part has a header and starts with a byte order mark.  No rows: nothing
     is written and '' is returned.  The rows are written once to the shared
-    folder first, as the column names need a pass of their own.  With
-    ``json_cells`` table cells stay together in one column.  With ``full`` rows
-    are equal only if all fields are, so that every table row is kept; appending
+    folder first, as the column names need a pass of their own.  Table cells
+    stay together in one column of JSON; ``json_cells=False`` gives each header a
+    column, which is an error above ``MAX_COLUMNS``.  With ``full`` rows are
+    equal only if all fields are, so that every table row is kept; appending
     still compares text, type and source.
+
+    A new file is written beside an older one, which goes only when the new one
+    is complete.  Appending writes all rows again; a `RowTable` does not.
     """
-    spark = rows.sparkSession
     unique = store((dedup_full if full else dedup_content)(rows, scope), "unique-rows")
+    return write_csv(unique, path, append, columns, scope, json_cells)
+
+
+def write_csv(
+    unique: DataFrame,
+    path: str,
+    append: bool = False,
+    columns: Sequence[str] | None = None,
+    scope: Sequence[str] = (),
+    json_cells: bool = True,
+) -> str:
+    """`save_csv` for stored rows without copies, e.g. those of a `RowTable`."""
+    spark = unique.sparkSession
     unique = unique.withColumns({name: F.col(name).cast("string") for name in scope})
-    if unique.isEmpty():
-        return ""
     with exact_names(spark):
-        wide = with_json_cells(unique, scope) if json_cells else widen(unique, columns, scope)
-        if not json_cells and "table_index" in wide.columns and _mixed_index(unique):
-            number = F.col("table_index").cast("double").cast("string")
-            wide = wide.withColumn("table_index", number)
-        if not (append and _exists(spark, path)):
-            _write(wide, path)
-            return path
-        merged = merge_unique(read_csv(spark, path), _identified(wide), scope=scope)
-        _write(merged, f"{path}.next")
-    _replace(spark, f"{path}.next", path)
+        table = _as_saved(unique, columns, scope, json_cells)
+        if table is None:
+            return ""
+        files.recover(spark, path)
+        if append and files.exists(spark, path):
+            table = merge_unique(read_csv(spark, path), _identified(table), scope=scope)
+        new = f"{path}.next"
+        _write(table, new)
+    files.replace(spark, new, path)
     return path
 
 
@@ -143,12 +173,31 @@ def _write(wide: DataFrame, path: str) -> None:
 def snapshot_path(folder: str, prefix: str = "crawl", now: datetime.datetime | None = None) -> str:
     """`{prefix}_{yyyymmdd_HHMMSS}` inside the folder."""
     now = now or datetime.datetime.now()
-    return os.path.join(folder, f"{prefix}_{now:%Y%m%d_%H%M%S}.csv")
+    return os.path.join(folder, f"{prefix}_{run_name(now)}.csv")
+
+
+def run_name(now: datetime.datetime) -> str:
+    return f"{now:%Y%m%d_%H%M%S}"
+
+
+def save_snapshot(
+    rows: DataFrame, folder: str, prefix: str = "crawl", now: datetime.datetime | None = None,
+    scope: Sequence[str] = (), full: bool = False, **options,
+) -> str:
+    """Save the rows as a run of the folder's table of snapshots and under a name that carries the time.
+
+    The rows are made once, for the table; the CSV file is written from there.
+    """
+    now = now or datetime.datetime.now()
+    path = snapshot_path(folder, prefix, now)
+    table, run = snapshots(rows.sparkSession, folder, prefix), run_name(now)
+    table.save(rows, run, scope, full)
+    return write_csv(table.read(run), path, scope=scope, **options)
 
 
-def save_snapshot(rows: DataFrame, folder: str, prefix: str = "crawl", **options) -> str:
-    """Save the rows under a name that carries the time."""
-    return save_csv(rows, snapshot_path(folder, prefix), **options)
+def snapshots(spark: SparkSession, folder: str, prefix: str = "crawl") -> RowTable:
+    """The table of all snapshots of a folder: its rows have the time of their run, ``run_ts``."""
+    return RowTable(spark, os.path.join(folder, f"{prefix}_rows"))
 
 
 def output_path(folder: str, name: str) -> str:
@@ -174,38 +223,14 @@ def drop_type(saved: DataFrame) -> DataFrame:
 
 
 def file_profile(spark: SparkSession, path: str) -> DataFrame:
-    """Rows, columns and bytes of a saved table: one row."""
+    """Rows, columns, bytes and files of a saved table: one row."""
     saved = read_csv(spark, path)
     n_columns = len(saved.columns)
     # Lengths come from the listing; parts that hold only a header count too.
-    files = spark.read.format("binaryFile").load(path).select("length")
-    n_bytes = files.agg(F.sum("length")).scalar()
+    parts = spark.read.format("binaryFile").load(path).select("length")
     return saved.agg(F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows",
         F.lit(n_columns).cast("bigint").alias("n_columns"),
-        F.coalesce(n_bytes, F.lit(0)).alias("n_bytes"),
+        F.coalesce(parts.agg(F.sum("length")).scalar(), F.lit(0)).alias("n_bytes"),
+        parts.agg(F.count(F.lit(1))).scalar().alias("n_files"),
     )
-
-
-def _file_system(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    system, hadoop = _file_system(spark, path)
-    return system.exists(hadoop)
-
-
-def _replace(spark: SparkSession, new: str, old: str) -> None:
-    """Put a finished folder in the place of an older one, which is deleted last."""
-    system, target = _file_system(spark, old)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    aside = path(f"{old}.previous")
-    system.delete(aside, True)
-    if not system.rename(target, aside):
-        raise OSError(f"{old} cannot be moved aside")
-    if not system.rename(path(new), target):
-        system.rename(aside, target)
-        raise OSError(f"{new} cannot take the place of {old}")
-    system.delete(aside, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,9 +24,10 @@ from leafmill.plans.replies import empty_plans, plan_summary, plan_urls, plans
 from leafmill.run import run_report
 from leafmill.session import new_folder, prepare, store
 from leafmill.sources.csv import (
-    column_names, drop_type, file_profile, output_path, read_csv, save_csv, save_snapshot, widen,
+    BOM, column_names, drop_type, file_profile, output_path, read_csv, save_csv, save_snapshot, snapshots, widen,
 )
 from leafmill.sources.pages import extract_planned, planned_pages, resolve_fetches
+from leafmill.sources.table import RowTable
 from registry import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,7 +154,7 @@ def fetch_resolve(spark, folder):
 @query
 def scan_csv(spark, folder):
     rows = extract(derived.meta_pages(spark, folder), ["metadata"])
-    path = save_csv(rows, new_folder(spark, "scan"))
+    path = save_csv(rows, new_folder(spark, "scan"), json_cells=False)
     return read_csv(spark, path, ["source", "type", "text", "href"])
 
 
@@ -497,7 +499,7 @@ def dedup_removed_(spark, folder):
 def append_merge_(spark, folder):
     """Saved headings and paragraphs, then all rows."""
     pages = derived.pages(spark, folder)
-    path = save_csv(extract(pages, ["headings", "paragraphs"]), new_folder(spark, "existing"))
+    path = save_csv(extract(pages, ["headings", "paragraphs"]), new_folder(spark, "existing"), json_cells=False)
     saved = read_csv(spark, path, ["source", "type", "text", "href"])
     return append_merge(saved, extract_all(pages)).select("source", "type", "text", "href")
 
@@ -566,9 +568,10 @@ def api_sample_(spark, folder):
 
 @query
 def file_profile_(spark, folder):
-    path = save_csv(extract_all(derived.pages(spark, folder)), new_folder(spark, "profile"))
+    path = save_csv(extract_all(derived.pages(spark, folder)), new_folder(spark, "profile"), json_cells=False)
+    header = len(BOM.encode()) + len("source,type,text,href\n")
     return file_profile(spark, path).select(
-        "n_rows", "n_columns", (F.col("n_bytes") > 0).alias("has_bytes")
+        "n_rows", "n_columns", (F.col("n_bytes") - F.col("n_files") * header).alias("row_bytes")
     )
 
 
@@ -584,7 +587,7 @@ def run_report_(spark, folder):
 
 @query
 def sink_csv(spark, folder):
-    path = save_csv(extract_all(derived.pages(spark, folder)), new_folder(spark, "output"))
+    path = save_csv(extract_all(derived.pages(spark, folder)), new_folder(spark, "output"), json_cells=False)
     return read_csv(spark, path)
 
 
@@ -593,21 +596,47 @@ def sink_path(spark, folder):
     """Rows saved under a relative name, which lies in the output folder."""
     output = new_folder(spark, "outputs")
     rows = extract(derived.pages(spark, folder), ["headings"])
-    save_csv(rows, output_path(output, "headings.csv"))
+    save_csv(rows, output_path(output, "headings.csv"), json_cells=False)
     return read_csv(spark, f"{output}/headings.csv").select("source", "type", "text", "href")
 
 
 @query
 def sink_snapshot(spark, folder):
-    rows = extract_all(derived.book_pages(spark, folder))
-    path = save_snapshot(rows, new_folder(spark, "snapshots"))
-    return summary_by_type(read_csv(spark, path))
+    """Two snapshots; the rows that both runs of the table hold."""
+    rows, output = extract_all(derived.book_pages(spark, folder)), new_folder(spark, "snapshots")
+    for day in (1, 2):
+        save_snapshot(rows, output, now=datetime.datetime(2024, 1, day))
+    return snapshots(spark, output).read().select(
+        "run_ts", "source", "type", "text", "price", "rating", "href"
+    )
+
+
+@query
+def sink_append(spark, folder):
+    """Headings and paragraphs in a table of rows, then all rows: what each run added."""
+    pages, table = derived.pages(spark, folder), RowTable(spark, new_folder(spark, "table"), digits=1)
+    table.append(extract(pages, ["headings", "paragraphs"]), "first")
+    table.append(extract_all(pages), "second")
+    table.append(extract_all(pages), "third")
+    return table.read().select("run_ts", "source", "type", "text", "href")
+
+
+@query
+def sink_replaced(spark, folder):
+    """A run saved again holds the new rows only, with its columns known from the catalogue."""
+    rows, table = extract(derived.table_pages(spark, folder), ["tables"]), RowTable(spark, new_folder(spark, "table"))
+    table.save(extract_all(derived.table_pages(spark, folder)), "run")
+    table.save(rows, "run", full=True)
+    names = table.columns()
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name"))
+    cells = table.read().select(F.explode(F.map_keys("cells")).alias("name"))
+    return cells.groupBy("name").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("column_at", order)
 
 
 @query
 def drop_type_(spark, folder):
     rows = extract(derived.job_pages(spark, folder), ["jobs"])
-    path = save_csv(rows, new_folder(spark, "saved"))
+    path = save_csv(rows, new_folder(spark, "saved"), json_cells=False)
     return drop_type(read_csv(spark, path))
 
 

@@ -108,7 +108,7 @@ def test_profiles(rows, pages):
 
 
 def test_save_and_read(spark, rows, tmp_path):
-    path = save_csv(rows, str(tmp_path / "out"))
+    path = save_csv(rows, str(tmp_path / "out"), json_cells=False)
     part = glob.glob(f"{path}/part-*.csv")[0]
     with open(part, "rb") as f:
         assert f.read(9) == b"\xef\xbb\xbfsource"
@@ -125,7 +125,7 @@ def test_save_and_read(spark, rows, tmp_path):
 
 
 def test_table_numbers_alone_are_whole(spark, pages, tmp_path):
-    path = save_csv(extract(pages(HTML), ["tables"]), str(tmp_path / "tables"))
+    path = save_csv(extract(pages(HTML), ["tables"]), str(tmp_path / "tables"), json_cells=False)
     assert [r["table_index"] for r in read_csv(spark, path).collect()] == ["0"]
 
 
@@ -141,9 +141,9 @@ def test_values_survive_a_round_trip(spark, pages, tmp_path):
 
 def test_appending_to_a_file(spark, pages, tmp_path):
     path = str(tmp_path / "grown")
-    save_csv(extract(pages("<h1>one</h1><h1>two</h1>"), ["headings"]), path)
+    save_csv(extract(pages("<h1>one</h1><h1>two</h1>"), ["headings"]), path, json_cells=False)
     more = extract(pages("<h1>two</h1><h1>new</h1><table><tr><th>Z<tr><td>z</table>"))
-    save_csv(more, path, append=True)
+    save_csv(more, path, append=True, json_cells=False)
     saved = read_csv(spark, path)
     assert saved.columns == ["source", "type", "text", "href", "table_index", "Z"]
     assert bag(saved, "text") == ["('new',)", "('one',)", "('two',)", "(None,)"]
@@ -154,11 +154,11 @@ def test_any_header_can_be_a_column(spark, pages, tmp_path):
     header = "".join(f"<th>{n}</th>" for n in names)
     cells = "".join(f"<td>{i}</td>" for i in range(len(names)))
     html = f"<table><tr>{header}</tr><tr>{cells}</tr></table><p>{'x' * 31}"
-    path = save_csv(extract(pages(html), ["tables", "paragraphs"]), str(tmp_path / "names"))
+    path = save_csv(extract(pages(html), ["tables", "paragraphs"]), str(tmp_path / "names"), json_cells=False)
     saved = read_csv(spark, path)
     assert saved.columns[:3] == ["source", "type", "table_index"]
     assert set(names) - {""} <= set(saved.columns) and len(saved.columns) == 14
-    save_csv(extract(pages(html.replace("<th>", "<th>A")), ["tables", "paragraphs"]), path, append=True)
+    save_csv(extract(pages(html.replace("<th>", "<th>A")), ["tables", "paragraphs"]), path, append=True, json_cells=False)
     with exact_names(spark):
         assert read_csv(spark, path).count() == 2
     assert "APrice" in read_csv(spark, path).columns
@@ -172,10 +172,10 @@ def test_headers_named_like_kept_columns(spark, pages, tmp_path):
     wide.write.parquet(str(tmp_path / "wide"))
     assert spark.read.parquet(str(tmp_path / "wide")).filter("Pos_cell_cell = '1'").count() == 1
     path = str(tmp_path / "saved")
-    save_csv(rows, path, scope=["prompt_id"], full=True)
+    save_csv(rows, path, scope=["prompt_id"], full=True, json_cells=False)
     saved = read_csv(spark, path)
     assert saved.select("prompt_id", "prompt_id_cell").filter("prompt_id_cell = '2'").first()["prompt_id"] == "7"
-    save_csv(rows, path, scope=["prompt_id"], append=True)
+    save_csv(rows, path, scope=["prompt_id"], append=True, json_cells=False)
     assert set(saved.columns) <= set(read_csv(spark, path).columns)
 
 
@@ -188,7 +188,7 @@ def test_appending_per_prompt(spark, pages, tmp_path):
 
 
 def test_cells_as_json(spark, rows, tmp_path):
-    saved = read_csv(spark, save_csv(rows, str(tmp_path / "json"), json_cells=True))
+    saved = read_csv(spark, save_csv(rows, str(tmp_path / "json")))
     assert saved.filter("type = 'table_row'").first()["cells"] == '{"K":"K","price":"price"}'
 
 
@@ -238,6 +238,7 @@ def test_profile_counts_the_bytes_of_all_parts(spark, pages, tmp_path):
     path = save_csv(extract(pages("<h1>one</h1>", "<h1>two</h1>", "<h1>three</h1>"), ["headings"]), str(tmp_path / "rows.csv"))
     parts = [f for f in os.listdir(path) if f.endswith(".csv")]
     profile = file_profile(spark, path).first()
+    assert profile["n_files"] == len(parts)
     assert profile["n_rows"] == 3 and profile["n_bytes"] == sum(os.path.getsize(f"{path}/{f}") for f in parts)
 
 
