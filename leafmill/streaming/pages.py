@@ -7,12 +7,11 @@ Only keeping the first of equal rows looks at what was saved before.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leafmill.operators.dedup import content_key, dedup_content
 from leafmill.operators.extract import extract_all
 from leafmill.schema import PAGES
+from leafmill.sources.table import RowTable
 
 
 def page_stream(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -29,27 +28,18 @@ def stream_rows(
 
 
 def stream_unique_rows(
-    pages: DataFrame, path: str, checkpoint: str, **trigger
+    pages: DataFrame, path: str, checkpoint: str, digits: int = 2, **trigger
 ) -> StreamingQuery:
-    """Append rows not saved by an earlier batch; the earlier row wins.
+    """Append rows not saved by an earlier batch to a `RowTable`; the earlier row wins.
 
-    Each batch has a partition of its own that a repeated batch overwrites, so
-    a batch that is run again after a failure leaves the same table.
+    Each batch is a run of the table.  It reads keys of the buckets its rows fall
+    into, in folders whose number grows with the logarithm of the batches, and no
+    saved row.  A batch that is run again after a failure finds its run and leaves it, or
+    writes it whole.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        unique = dedup_content(extract_all(batch)).withColumn("content_key", content_key())
-        if number > 0:
-            earlier = (
-                spark.read.schema("content_key string, batch bigint")
-                .option("ignoreMissingFiles", True)
-                .parquet(path)
-                .filter(F.col("batch") < number)
-                .select("content_key")
-            )
-            unique = unique.join(earlier, "content_key", "left_anti")
-        unique.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        RowTable(batch.sparkSession, path, digits).append(extract_all(batch), f"batch-{number:012d}")
 
     writer = pages.writeStream.option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(save).start()

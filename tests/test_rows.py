@@ -17,6 +17,7 @@ from leafmill.session import drop_stored, exact_names, shared_folder, store
 from leafmill.sources.csv import (
     column_names, drop_type, file_profile, output_path, read_csv, save_csv, save_snapshot, snapshot_path, widen,
 )
+from leafmill.sources.table import FAN, RowTable, scoped_key
 from leafmill.streaming.pages import page_stream, stream_rows, stream_unique_rows
 
 HTML = (
@@ -222,11 +223,31 @@ def test_streams(spark, pages, tmp_path):
         for stream in (everything, unique):
             assert stream.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/all").count() == 4
-    assert bag(spark.read.parquet(f"{tmp_path}/unique"), "text", "batch") == [
-        "('new', 1)", "('one', 0)", "('two', 0)",
+    saved = RowTable(spark, f"{tmp_path}/unique").read()
+    assert bag(saved, "text", "run_ts") == [
+        "('new', 'batch-000000000001')", "('one', 'batch-000000000000')", "('two', 'batch-000000000000')",
     ]
 
 
+def test_a_batch_reads_few_files_however_many_came_before(spark, pages, tmp_path):
+    """Seventeen batches of one new heading and one that all have: what the last reads does not grow with them."""
+    folder, path = str(tmp_path / "in"), str(tmp_path / "unique")
+    for n in range(2 * FAN + 1):
+        pages(f"<h1>every page</h1><h1>heading {n}</h1>").coalesce(1).write.mode("append").parquet(folder)
+    stream = stream_unique_rows(page_stream(spark, folder, maxFilesPerTrigger=1), path, f"{tmp_path}/c", digits=1)
+    assert stream.awaitTermination(300)
+    table = RowTable(spark, path)
+    assert len(table.runs()) == 2 * FAN + 1 and table.read().count() == 2 * FAN + 2
+    found = table.version()
+    assert len(found["keys"]) < FAN
+    key = scoped_key()
+    bucket = table.read().filter("text = 'every page'").select(F.substring(key, 1, 1)).first()[0]
+    read = table.keys(found).filter(F.col("bucket") == bucket)
+    assert read.count() >= 1 and len(read.inputFiles()) <= 16 * FAN
+    # A batch that is given again finds its run.
+    assert table.append(extract_all(pages("<h1>other</h1>")), table.runs()[3]) == 0
+
+
 def test_full_dedup_keeps_table_rows(spark, pages):
     html = "<table><tr><td>one<tr><td>two<tr><td>one</table>"
     rows = extract(pages(html, html), ["tables"])
