@@ -102,12 +102,24 @@ def _anchors(doc: Column) -> Column:
     return find_all(doc["nodes"], lambda n: (n["tag"] == "a") & n["href"].isNotNull())
 
 
-def links(doc: Column, source: Column) -> Column:
-    """Links with their address resolved; the first of equal (text, href) stays.
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is made once, however often the body asks for it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    A map keeps one entry per key and the value put last, so the links are put
-    in from the end of the page.
-    """
+
+def _ends(sorted_: Column, last: bool = False) -> Column:
+    """Of sorted structs the first (or last) of each run with one ``key``."""
+    step = 1 if last else -1
+
+    def ends(item: Column, i: Column) -> Column:
+        edge = i == (F.size(sorted_) - 1 if last else F.lit(0))
+        return edge | (item["key"] != F.get(sorted_, i + step)["key"])
+
+    return F.filter(sorted_, ends)
+
+
+def links(doc: Column, source: Column) -> Column:
+    """Links with their address resolved; the first of equal (text, href) stays."""
     found = F.transform(
         F.filter(_anchors(doc), lambda n: n["link"].isNotNull()),
         lambda n: F.struct(
@@ -115,11 +127,12 @@ def links(doc: Column, source: Column) -> Column:
         ),
     )
     keyed = F.transform(
-        F.reverse(_longer(found, MIN_LINK_TEXT)),
-        lambda x: F.struct(F.concat(x["text"], F.lit("|"), x["href"]), x),
+        _longer(found, MIN_LINK_TEXT),
+        lambda x: F.struct(F.concat(x["text"], F.lit("|"), x["href"]).alias("key"), x["pre"].alias("pre"), x.alias("x")),
     )
+    first = F.transform(_bound(F.sort_array(keyed), lambda s: _ends(s)), lambda k: k["x"])
     return F.transform(
-        F.sort_array(F.map_values(F.map_from_entries(keyed))),
+        F.sort_array(first),
         lambda x: _item(
             "links", source=source, type=F.lit("link"), text=x["text"], href=x["href"]
         ),
@@ -168,6 +181,29 @@ def _cells(doc: Column, row: Column, headers: Column) -> Column:
     return F.transform(find_all(subtree(doc, row), is_tag("td", "th")), entries)
 
 
+def _cell_map(cells: Column) -> Column:
+    """Cells by name; of one name the last value, in the place of the first."""
+
+    def repeated(cells: Column) -> Column:
+        numbered = F.transform(
+            cells, lambda c, i: F.struct(c["key"].alias("key"), i.alias("i"), c["value"].alias("value"))
+        )
+        merged = _bound(
+            F.sort_array(numbered),
+            lambda s: F.zip_with(
+                _ends(s), _ends(s, last=True),
+                lambda x, y: F.struct(x["i"].alias("i"), x["key"].alias("key"), y["value"].alias("value")),
+            ),
+        )
+        return F.transform(
+            F.sort_array(merged), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))
+        )
+
+    names = F.transform(cells, lambda c: c["key"])
+    unique = F.size(F.array_distinct(names)) == F.size(cells)
+    return F.map_from_entries(F.when(unique, cells).otherwise(repeated(cells)))
+
+
 def tables(doc: Column, source: Column, max_tables: int | None = MAX_TABLES) -> Column:
     """The rows of the first ``max_tables`` tables (None: all); a cell is named by its header.
 
@@ -202,7 +238,7 @@ def tables(doc: Column, source: Column, max_tables: int | None = MAX_TABLES) ->
     filled = F.filter(F.flatten(rows), lambda r: F.size(r["cells"]) > 0)
     mapped = F.transform(
         filled,
-        lambda r: F.struct(r["index"].alias("index"), F.map_from_entries(r["cells"]).alias("cells")),
+        lambda r: F.struct(r["index"].alias("index"), _cell_map(r["cells"]).alias("cells")),
     )
     fields = [f.name for f in ITEM if f.dataType.simpleString() == "string"]
     absent = F.lit(None).cast("string")

@@ -14,9 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings (all may be changed on a live session).
 SETTINGS = {
-    # A table row keeps the last cell of a repeated header, a link list the
-    # first of a repeated link; both are built as maps.
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # Pages are large rows: bound what one Arrow batch can hold in a worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),

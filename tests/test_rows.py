@@ -263,6 +263,21 @@ def test_profile_counts_the_bytes_of_all_parts(spark, pages, tmp_path):
     assert profile["n_rows"] == 3 and profile["n_bytes"] == sum(os.path.getsize(f"{path}/{f}") for f in parts)
 
 
+def test_repeated_headers_and_links_need_no_setting(spark, pages):
+    """The last cell of a repeated header, the first of equal links, under the session's own map policy."""
+    assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == "EXCEPTION"
+    html = (
+        "<table><tr><th>A<th>B<th>A<th>C<th>B<tr><td>1<td>2<td>3<td>4<td>5</table>"
+        "<a href='/x'>link</a><a href='/y'>other</a><a href='/x'>li<b>nk</b></a><a href='/x'>third</a>"
+    )
+    table = extract(pages(html), ["tables"]).filter("pos = 1").first()["cells"]
+    assert list(table.items()) == [("A", "3"), ("B", "5"), ("C", "4")]
+    links = extract(pages(html), ["links"]).orderBy("pos").collect()
+    assert [(r["pos"], r["text"], r["href"][-2:]) for r in links] == [
+        (0, "link", "/x"), (1, "other", "/y"), (2, "third", "/x"),
+    ]
+
+
 def test_without_ansi_mode(spark, pages):
     html = '<div class="thumbnail"><h4 class="price">$1</h4><a class="title">item</a></div>'
     spark.conf.set("spark.sql.ansi.enabled", "false")
