@@ -12,6 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.bind import bound
 from leafmill.functions.text import has_skip_class, join_tags
 from leafmill.operators import dom
 from leafmill.operators.dom import find_all, first, is_tag, or_empty, subtree
@@ -102,11 +103,6 @@ def _anchors(doc: Column) -> Column:
     return find_all(doc["nodes"], lambda n: (n["tag"] == "a") & n["href"].isNotNull())
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is made once, however often the body asks for it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _ends(sorted_: Column, last: bool = False) -> Column:
     """Of sorted structs the first (or last) of each run with one ``key``."""
     step = 1 if last else -1
@@ -130,7 +126,7 @@ def links(doc: Column, source: Column) -> Column:
         _longer(found, MIN_LINK_TEXT),
         lambda x: F.struct(F.concat(x["text"], F.lit("|"), x["href"]).alias("key"), x["pre"].alias("pre"), x.alias("x")),
     )
-    first = F.transform(_bound(F.sort_array(keyed), lambda s: _ends(s)), lambda k: k["x"])
+    first = F.transform(bound(F.sort_array(keyed), lambda s: _ends(s)), lambda k: k["x"])
     return F.transform(
         F.sort_array(first),
         lambda x: _item(
@@ -188,7 +184,7 @@ def _cell_map(cells: Column) -> Column:
         numbered = F.transform(
             cells, lambda c, i: F.struct(c["key"].alias("key"), i.alias("i"), c["value"].alias("value"))
         )
-        merged = _bound(
+        merged = bound(
             F.sort_array(numbered),
             lambda s: F.zip_with(
                 _ends(s), _ends(s, last=True),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.bind import bound
 from leafmill.functions.text import SPACE
 from leafmill.operators.extract import default_source
 from leafmill.plans.routing import PLAN, TARGET, prompt_plan, route
@@ -34,11 +35,6 @@ def _strip(value: Column) -> Column:
     return F.regexp_replace(value, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _from_json(text: Column, schema: str) -> Column:
     return F.from_json(text, schema, {"allowSingleQuotes": "false"})
 
@@ -85,7 +81,7 @@ def _countable(text: Column, raw: Column, listed: Column) -> Column:
 
 
 def _target(entry: Column) -> Column:
-    return _let(
+    return bound(
         _fields(entry, TARGET.names),
         lambda found: F.struct(
             *[found[name].alias(name) for name in _TARGET_SCALARS],
@@ -121,16 +117,16 @@ def reply_plan(reply: Column) -> Column:
     """
 
     def read(text: Column, names: Column) -> Column:
-        return _let(
+        return bound(
             _fields(text, PLAN.names),
-            lambda found: _let(
+            lambda found: bound(
                 _listed(text, "urls", found["urls"]), lambda listed: _plan(text, names, found, listed)
             ),
         )
 
-    return _let(
+    return bound(
         strip_fences(reply),
-        lambda text: _let(_names(text), lambda names: F.when(names.isNotNull(), read(text, names))),
+        lambda text: bound(_names(text), lambda names: F.when(names.isNotNull(), read(text, names))),
     )
 
 

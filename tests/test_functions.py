@@ -92,6 +92,47 @@ def test_url_join(spark):
     assert bad.select(url_join(F.col("b"), F.col("r"))).first()[0] is None
 
 
+def _random_address(rng):
+    """A reference from parts that are usual, odd or malformed."""
+    def segment():
+        return rng.choice(["", ".", "..", "a", "b.c", "é", " x", "a;p", ";", "..;q", "a=1", "p q"])
+
+    scheme = rng.choice(["", "", "", "http:", "HTTP:", "https:", "ftp:", "file:", "tel:", "a-b:", "1x:", ":", "htTps:"])
+    hosts = ["", "", "", "//", "//h", "//u:p@h:8", "//[::1]", "//[x", "//h]", "//[1::2:3]:80", "//[v1.a]", "//[1.2.3.4]"]
+    hosts += ["//[::1.2.3.4]", "//[::1.2.3.04]", "//[1:2:3:4:5:6:7::]", "//[fe80::1%e]", "//\u2100", "//É.x", "//[]"]
+    path = rng.choice(["", "/"]) + "/".join(segment() for _ in range(rng.randrange(5)))
+    end = rng.choice(["", "", "?", "?q=1", "?a/b;c", "?x?y"]) + rng.choice(["", "", "#", "#top", "#a?b/c#d"])
+    text = scheme + rng.choice(hosts) + path + end
+    if text and rng.random() < 0.1:
+        at = rng.randrange(len(text))
+        text = text[:at] + rng.choice("\n\t \r") + text[at:]
+    return rng.choice(["", "", "", "\t", " \n", "\x01"]) + text
+
+
+def test_url_join_on_random_addresses(spark):
+    """Against the standard library; malformed addresses, which it refuses, are NULL."""
+    rng = random.Random(3)
+    usual = ["https://h/a/b/c;x?q#f", "http://h", "file:///a/b", "http://h/d/"]
+    pairs = [(rng.choice([_random_address(rng), *usual]), _random_address(rng)) for _ in range(4000)]
+    frame = spark.createDataFrame([(i, *pair) for i, pair in enumerate(pairs)], "i int, b string, r string")
+    joined = frame.select("i", url_join(F.col("b"), F.col("r")).alias("o"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+    def by_library(base, ref):
+        if not ref or ref.startswith(("http://", "https://", "mailto:", "javascript:")):
+            return ref
+        try:
+            return urljoin(base, ref)
+        except ValueError:
+            return None
+
+    wrong = [(*pairs[r["i"]], r["o"]) for r in joined.collect() if r["o"] != by_library(*pairs[r["i"]])]
+    assert not wrong, wrong[:5]
+    odd = spark.createDataFrame([(None, "x/y"), ("http://h/", None), ("", "../x")], "b string, r string")
+    assert [r[0] for r in odd.select(url_join(F.col("b"), F.col("r"))).collect()] == ["x/y", None, "../x"]
+
+
 def test_content_hash_counts_absent_as_empty(spark):
     frame = spark.createDataFrame([("é", None, "s"), (None, "t", None)], "a string, b string, c string")
     got = [r[0] for r in frame.select(content_hash(F.col("a"), F.col("b"), F.col("c"))).collect()]
