@@ -4,8 +4,10 @@ A vector is centred, rotated at random and kept as one bit per dimension with a
 few scalars: its distance from the centre, the inner product of its code with
 its own direction, and its product with the centre.  From these an inner
 product with any query is estimated, and an error bound tells how far the
-estimate may be off.  In each block a query keeps every vector whose upper bound
-reaches the k-th largest lower bound; those are ranked by exact products.
+estimate may be off.  In each block a query first takes the exact products of the
+vectors with the best estimates; the k-th largest of these is a threshold, and
+every vector whose upper bound reaches it is ranked by its exact product.  Bounds
+are taken on vectors and queries scaled to length one at most, so they hold at any scale.
 
 The index holds every row.  Only the centre is fitted, on at most ``SAMPLE``
 rows.  Rows and queries are dealt over blocks by a hash; a block of rows meets
@@ -14,9 +16,11 @@ The numbers of blocks follow from ``ROWS`` and ``QUERIES``, so a task never hold
 than that, and no vector is dropped however many are equal.
 
 Cases: vectors that are null, zero or hold a null or non-finite component take
-no part; ties go to the smaller id; with fewer rows than k all are returned;
-queries and rows of another dimension than most do not meet; further columns
-are not read.
+no part, nor do rows without an id; ties go to the smaller id; with fewer rows than
+k all are returned; queries and rows of another dimension than most do not meet;
+rows that repeat an id are separate candidates, none of a query of that id, and
+different vectors of one id are separate queries (equal ones are one); products
+beyond double precision are infinite, those that are no number come last; further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,10 @@ SAMPLE = 10_000
 ROWS = 16_384
 QUERIES = 2_048
 # Standard deviations of the estimate that the bounds allow for.
-WIDTH = 3.0
+WIDTH = 2.0
+# Vectors whose exact products set the threshold, at least, and for each result.
+FIRST = 200
+FIRST_PER_RESULT = 5
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -48,7 +55,7 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
         rows.select(F.col(key).alias("id"), v.alias("v"))
-        .filter(F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0.0))
+        .filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0.0))
         .select("id", F.size("v").alias("dim"), "v")
     )
 
@@ -82,23 +89,54 @@ def bounds(index: dict[str, np.ndarray], queries: np.ndarray, centre: np.ndarray
     return estimate, slack
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by its largest component, so that its squares stay in range."""
+    most = np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.where(most > 0, most, 1.0)
+
+
+def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in double precision; what is no number counts as the least."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = (vectors * query).sum(1)
+    return np.where(np.isnan(score), -np.inf, score)
+
+
+def hopeful_rows(estimate, slack, own, products, k):
+    """Of one query the rows whose upper bound reaches the k-th exact product among the best estimates."""
+    upper = np.where(own, -np.inf, estimate + slack)
+    n = min(max(FIRST, FIRST_PER_RESULT * k), len(upper))
+    best = np.argpartition(-np.where(own, -np.inf, estimate), n - 1)[:n]
+    best = best[~own[best]]
+    if len(best) < k:
+        return np.flatnonzero(~own)
+    scores = products(best)
+    threshold = np.partition(scores, len(scores) - k)[len(scores) - k]
+    return np.flatnonzero((upper >= threshold) & ~own)
+
+
 def search_block(ids, vectors, query_ids, queries, centre, turn, k):
-    """The k nearest rows of a block for each query: (query, id, score), by codes, then exactly."""
-    index = encode(vectors, centre, turn)
+    """The k nearest rows of a block for each query: (place of the query, id, score), by codes, then exactly."""
+    # One scale for all rows leaves the order of products as it is, and so does one for each query.
+    size = np.abs(vectors).max()
+    rows = vectors / size
+    length = np.sqrt((rows**2).sum(1)).max()
+    rows, centre, asked = rows / length, centre / size / length, _scaled(queries)
+    asked = asked / np.sqrt((asked**2).sum(1, keepdims=True))
+    index = encode(rows, centre, turn)
     out = []
     for at in range(0, len(queries), 256):
         some = slice(at, at + 256)
-        estimate, slack = bounds(index, queries[some], centre, turn)
-        lower = estimate - slack
+        estimate, slack = bounds(index, asked[some], centre, turn)
         own = query_ids[some][:, None] == ids[None, :]
-        lower[own] = -np.inf
-        kth = np.partition(lower, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
-        hopeful = (estimate + slack >= kth[:, None]) & ~own
-        for row in range(len(lower)):
-            chosen = np.flatnonzero(hopeful[row])
-            score = (vectors[chosen] * queries[at + row]).sum(1)
+        for row in range(len(estimate)):
+            def products(chosen, query=asked[at + row]):
+                return (rows[chosen] * query).sum(1)
+
+            chosen = hopeful_rows(estimate[row], slack[row], own[row], products, k)
+            score = exact(vectors[chosen], queries[at + row])
             best = np.lexsort((ids[chosen], -score))[:k]
-            out.append((np.full(len(best), query_ids[at + row]), ids[chosen][best], score[best]))
+            out.append((np.full(len(best), at + row), ids[chosen][best], score[best]))
     return out
 
 
@@ -109,7 +147,7 @@ def nearest(
     fit = store(usable(rows, key, vector), "ann-rows")
     counted = fit.agg(F.count(F.lit(1)).alias("n"), F.mode("dim").alias("dim")).first()
     n, dim = counted["n"], counted["dim"]
-    schema = "query_id long, id long, score double"
+    schema = "query_id long, query long, id long, score double"
     if not n:
         found = rows.sparkSession.createDataFrame([], schema)
     else:
@@ -121,9 +159,10 @@ def nearest(
         centre = np.zeros(dim)
         for row in means:
             centre[row["pos"]] = row["m"]
-        queries = fit.filter(F.col("id") % every == 0)
+        queries = fit.filter(F.col("id") % every == 0).distinct()
         found = _by_blocks(fit, queries, n, queries.count(), dim, centre, k, schema)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    # ``query``, a hash of its vector, tells queries of one id apart.
+    order = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
 
@@ -138,8 +177,9 @@ def _by_blocks(fit, queries, n, n_queries, dim, centre, k, schema) -> DataFrame:
         own_rows, F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")).alias("qb"), "id", "v"
     )
     right = queries.filter(F.col("dim") == dim).select(
-        F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)).cast("array<long>")).alias("rb"), own_queries, "id", "v"
-    )
+        F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)).cast("array<long>")).alias("rb"), own_queries, "id", "v",
+        F.xxhash64("v").alias("query"),
+    )
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
         turn = rotation(dim)
@@ -150,9 +190,13 @@ def _by_blocks(fit, queries, n, n_queries, dim, centre, k, schema) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             return ids[order], flat[order]
 
-        out = search_block(*parts(rows), *parts(asked), centre, turn, k) if len(rows) and len(asked) else []
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
-        return pa.table([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+        schema = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+        if not len(rows) or not len(asked):
+            return schema.empty_table()
+        names, vectors = parts(asked)
+        hashes = np.asarray(asked["query"].combine_chunks())[np.argsort(np.asarray(asked["id"].combine_chunks()), kind="stable")]
+        place, found, score = [np.concatenate(c) for c in zip(*search_block(*parts(rows), names, vectors, centre, turn, k))]
+        return pa.table([pa.array(c) for c in (names[place], hashes[place], found, score)], schema=schema)
 
     return (
         left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(meet, schema)

@@ -322,7 +322,8 @@ def test_odd_vectors(spark):
     assert rabitq.nearest(frame.limit(0)).count() == 0
 
 
-def test_estimates_stay_within_their_bounds():
+def test_estimates_stay_within_their_bounds(monkeypatch):
+    monkeypatch.setattr(rabitq, "WIDTH", 3.0)
     rng = np.random.default_rng(8)
     vectors, queries = rng.normal(size=(2000, 64)) + 0.3, rng.normal(size=(30, 64))
     centre, turn = vectors.mean(0), rabitq.rotation(64)
@@ -332,6 +333,58 @@ def test_estimates_stay_within_their_bounds():
     assert (np.abs(estimate - queries @ vectors.T) <= slack).mean() > 0.99
 
 
+@pytest.mark.parametrize("size", [1e-30, 1e-3, 1.0, 1e20, 1e150])
+def test_neighbours_are_whole_at_any_scale(size):
+    """All results at any scale, and few rows beside them ranked by their exact products."""
+    rng = np.random.default_rng(4)
+    vectors, ids = rng.normal(size=(4000, 64)) + 0.2, np.arange(4000)
+    asked = ids % 20 == 0
+    out = rabitq.search_block(
+        ids, vectors * size, ids[asked], vectors[asked], vectors.mean(0) * size, rabitq.rotation(64), 20
+    )
+    products = vectors[asked] @ vectors.T
+    products[ids[asked][:, None] == ids[None, :]] = -np.inf
+    wanted = [set(np.argsort(-row)[:20]) for row in products]
+    assert [len(found) for _, found, _ in out] == [20] * len(wanted)
+    assert sum(len(set(found) & w) for (_, found, _), w in zip(out, wanted)) >= 0.95 * 20 * len(wanted)
+
+
+def test_codes_leave_most_rows_out():
+    """On the given vectors under three in ten rows are ranked exactly, at a recall above 0.95."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    vectors, ids = np.array(table["embedding"].to_pylist(), dtype=float), table["vec_id"].to_numpy()
+    turn, centre, asked = rabitq.rotation(64), vectors.mean(0), ids % 20 == 0
+    estimate, slack = rabitq.bounds(rabitq.encode(vectors, centre, turn), vectors[asked], centre, turn)
+    products, found, ranked = vectors[asked] @ vectors.T, 0, 0
+    for at, query in enumerate(ids[asked]):
+        own = ids == query
+        kept = rabitq.hopeful_rows(estimate[at], slack[at], own, lambda chosen: products[at][chosen], 20)
+        best = np.argsort(-np.where(own, -np.inf, products[at]))[:20]
+        found, ranked = found + len(np.intersect1d(best, kept)), ranked + len(kept)
+    assert ranked < 0.3 * products.size and found > 0.95 * 20 * asked.sum()
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    rows = [
+        (None, [9.0, 9.0]), (0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [0.0, 3.0]), (2, [0.5, 0.5]),
+    ]
+    found = rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in found) == sorted([
+        (0, 1, 1, 2.0), (0, 2, 2, 0.5), (0, 3, 1, 0.0),  # of [1, 0], once
+        (0, 1, 1, 3.0), (0, 2, 1, 1.0), (0, 3, 2, 0.5),  # of [0, 1]
+    ])
+
+
+def test_products_beyond_double_precision(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 0.0]), (2, [-1e200, 0.0]), (3, [0.0, 2.0])]
+    found = rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [
+        (1, 1, float("inf")), (2, 3, 2.0), (3, 2, float("-inf")),
+    ]
+
+
 def test_header_is_little_endian():
     payload = ans.Coder(ans.scaled(np.ones(4))).encode(np.array([1, 2]))
     assert struct.unpack_from("<4sHHIIQ", payload)[:4] == (b"LRNS", 1, 256, 2)
