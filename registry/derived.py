@@ -149,6 +149,21 @@ def table_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(*_page(F.col("o_orderkey"), "orders", html))
 
 
+def many_table_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A page per part with thirteen tables: one, one with a table in its cell, and ten more."""
+    key = _text("p_partkey")
+
+    def numbered(i: int) -> Column:
+        return _html(f"<table><tr><th>no<th>{i} in all<tr><td>table {i} of ", key, "</table>")
+
+    inner = _html("<table><tr><td>inner ", key, "</td></tr></table>")
+    html = _html(
+        "<table><tr><td>first ", key, "</table><table><tr><td>outer ", key, " ", inner, "</td><td>",
+        F.col("p_brand"), "</td></tr></table>", *[numbered(i) for i in range(3, 13)],
+    )
+    return table(spark, folder, "part").select(*_page(F.col("p_partkey"), "many", html))
+
+
 def meta_pages(spark: SparkSession, folder: str) -> DataFrame:
     """A page per document whose text is its description."""
     html = _html(

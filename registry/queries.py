@@ -135,6 +135,13 @@ def catalog(spark, folder):
     )
 
 
+@query
+def page_category(spark, folder):
+    """The category of each planned URL by its host."""
+    planned = plan_urls(plans(derived.document_prompts(spark, folder)))
+    return routing.page_categories(planned.select("prompt_id", "pos", "url"))
+
+
 # Sources -------------------------------------------------------------------
 
 
@@ -224,6 +231,16 @@ def extract_tables(spark, folder):
     )
 
 
+@query
+def extract_tables_nested(spark, folder):
+    """Thirteen tables a page, of which ten count, the third inside the second."""
+    rows = extract(derived.many_table_pages(spark, folder), ["tables"])
+    return rows.select(
+        "page_id", F.col("pos").cast("bigint").alias("pos"), F.col("table_index").cast("bigint").alias("table_index"),
+        F.explode("cells").alias("name", "value"),
+    )
+
+
 @query
 def extract_lists(spark, folder):
     return _rows(extract(derived.pages(spark, folder), ["lists"]))
