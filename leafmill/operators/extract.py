@@ -86,11 +86,18 @@ def family_sizes(pages: DataFrame) -> DataFrame:
 
 
 def extract_errors(pages: DataFrame) -> DataFrame:
-    """Links that could not be resolved, one row each, with the reason."""
-    documents = with_document(pages)
-    return documents.select(
-        "page_id",
-        "url",
-        F.explode(bad_links(F.col(DOC))).alias("href"),
-        F.lit("malformed link address").alias("reason"),
-    )
+    """What could not be read, one row each, with the reason: links, and whole pages (without an href)."""
+    return document_errors(with_document(pages))
+
+
+def document_errors(documents: DataFrame) -> DataFrame:
+    """`extract_errors` of shredded pages."""
+    doc, absent = F.col(DOC), F.lit(None).cast("string")
+
+    def entry(href: Column, reason: Column) -> Column:
+        return F.struct(href.alias("href"), reason.alias("reason"))
+
+    links = F.transform(bad_links(doc), lambda href: entry(href, F.lit("malformed link address")))
+    page = F.filter(F.array(entry(absent, doc["error"])), lambda e: e["reason"].isNotNull())
+    errors = documents.select("page_id", "url", F.explode(F.concat(links, page)).alias("e"))
+    return errors.select("page_id", "url", "e.href", "e.reason")

@@ -31,6 +31,8 @@ HIDDEN_TEXT = frozenset("script style template rt rp".split())
 HEAD_ONLY = frozenset("script style meta link title base".split())
 
 # Fixed values of the HTML 4 recovery rules: start tags that end an open element.
+# These and the end ranks below are the element tables of libxml2's HTML parser
+# (MIT licence, Copyright (C) 1998-2012 Daniel Veillard), whose recovery is followed.
 _BLOCKS = "address blockquote center dir div dl form h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul"
 _ENDS = {
     "a": "a fieldset table td th",
@@ -128,6 +130,7 @@ def _attributes(source: str) -> dict[str, str]:
 # The same short attributes stand on many elements.
 _short_attributes = lru_cache(maxsize=4096)(_attributes)
 _SHORT = 64
+_LONGEST_REASON = 300
 
 
 def _resolve(base: str, href: str) -> str | None:
@@ -149,10 +152,18 @@ class _Columns:
         self.texts: list[str] = []
         self.node_offsets = [0]
         self.text_offsets = [0]
+        self.errors: list[str | None] = []
 
     def add_page(self, html: str | None, base: str | None) -> None:
-        if html:
-            self._shred(html, base or "")
+        """A page that cannot be shredded has no elements but the reason: it must not end the others' job."""
+        error, nodes, texts = None, len(self.nodes), len(self.texts)
+        try:
+            if html:
+                self._shred(html, base or "")
+        except Exception as e:  # noqa: BLE001
+            error = f"{type(e).__name__}: {e}"[:_LONGEST_REASON]
+            del self.nodes[nodes:], self.texts[texts:]
+        self.errors.append(error)
         self.node_offsets.append(len(self.nodes))
         self.text_offsets.append(len(self.texts))
 
@@ -299,8 +310,9 @@ class _Columns:
                 pa.ListArray.from_arrays(
                     pa.array(self.text_offsets, pa.int32()), pa.array(self.texts, pa.string())
                 ),
+                pa.array(self.errors, pa.string()),
             ],
-            names=["nodes", "texts"],
+            names=["nodes", "texts", "error"],
         )
 
 

@@ -36,6 +36,7 @@ DOCUMENT = T.StructType(
     [
         T.StructField("nodes", T.ArrayType(NODE)),
         T.StructField("texts", T.ArrayType(T.StringType())),
+        T.StructField("error", T.StringType()),  # why a page has no elements
     ]
 )
 

@@ -1,9 +1,12 @@
 """The shredder: element structure and text, one small page per rule."""
 
 import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from leafmill.operators import shred as shred_module
+from leafmill.operators.extract import document_errors
 from leafmill.operators.shred import _Columns, shred
-from leafmill.schema import NODE
+from leafmill.schema import DOCUMENT, NODE
 
 
 def parse(html, base="https://h.example/d/"):
@@ -129,3 +132,27 @@ def test_many_open_elements_take_linear_time():
 def test_empty_pages(pages):
     shredded = pages("", None, "<p>x").select("page_id", shred("html", "url").alias("d")).collect()
     assert [len(r["d"]["nodes"]) for r in shredded] == [0, 0, 1]
+
+
+def test_a_page_that_fails_leaves_the_others(spark, monkeypatch):
+    """Its elements go, its reason stays, and it is told among the errors."""
+    columns, short = shred_module._Columns(False), shred_module._short_attributes
+
+    def failing(text):
+        if "boom" in text:
+            raise RecursionError("too deep")
+        return short(text)
+
+    monkeypatch.setattr(shred_module, "_short_attributes", failing)
+    for html in ("<p>one", "<p>two<a href='boom'>x</a>", "<a href='//[x'>bad</a>", None):
+        columns.add_page(html, "https://h/")
+    made = columns.to_arrow().to_pylist()
+    assert [d["error"] for d in made] == [None, "RecursionError: too deep", None, None]
+    assert made[1]["nodes"] == made[1]["texts"] == made[3]["nodes"] == []
+    assert made[0]["texts"] == ["one"] and made[2]["texts"] == ["bad"]
+    rows = [(i, "https://h/", d) for i, d in enumerate(made)]
+    kind = StructType([StructField("page_id", LongType()), StructField("url", StringType()), StructField("_doc", DOCUMENT)])
+    errors = document_errors(spark.createDataFrame(rows, kind)).orderBy("page_id").collect()
+    assert [tuple(r) for r in errors] == [
+        (1, "https://h/", None, "RecursionError: too deep"), (2, "https://h/", "//[x", "malformed link address"),
+    ]
