@@ -12,9 +12,12 @@ first compared with its likeliest centre, then with the centres of other classes
 Links are confirmed on the whole sets of both texts.
 
 *What stars leave.*  Two members may be similar while neither is to the centre.
-Where members of a bucket are not yet in its centre's class, they are compared
-with all members of other classes, if there are at most ``FEW`` of them, so pairs
-stay linear in rows.  The sets of more crowded buckets are put into buckets again
+Of the sets in buckets with members outside the centre's class, the rare shingles (of at
+most ``RARE`` sets) are counted: a pair overlaps in the rare ones it shares, found
+by a join of bounded groups, and in no more than the smaller *core* of other shingles.  Only where that is enough for a
+link is it compared.  Pairs without a common rare shingle need large
+cores: such outsiders are compared with all members of other classes, if
+there are at most ``FEW`` of them, so pairs stay linear in rows.  The sets of more crowded buckets are put into buckets again
 with the longer bands of the next level, which sets of little similarity
 leave; the last level compares whatever remains.
 
@@ -49,7 +52,11 @@ from leafmill.session import store
 # (rows of a band, bands), for all sets, then for those of crowded buckets.
 LEVELS = ((4, 40), (8, 160), (12, 480))
 # Members outside the centre's class that a bucket compares with all others.
-FEW = 24
+FEW = 4096
+# Shingles of so many sets are rare.
+RARE = 12
+# Parts of the hash space that sets are compared by.
+CELLS = 128
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,12 +171,87 @@ def _outside(classed: DataFrame, percent: int) -> DataFrame:
     return edges.select(*_pair("entity", "centre")).distinct()
 
 
-def _crossing(classed: DataFrame, crowds: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members outside the centre's class with the members of other classes."""
-    outer = classed.filter("own <> main").join(crowds, "bucket", "left_semi").select(
-        "bucket", F.col("entity").alias("other"), F.col("n").alias("o"), F.col("own").alias("class")
+def _mixed(classed: DataFrame) -> DataFrame:
+    """The rows of buckets with members outside the centre's class."""
+    mixed = classed.filter("own <> main").select("bucket").distinct()
+    return store(classed.join(mixed, "bucket", "left_semi"), "minhash-mixed")
+
+
+def _rare_shingles(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Rows (gram, sets, entity): the shingles that at most ``RARE`` of the sets of these rows have."""
+
+    def shingles(batch):
+        grams, counts = shingle_sets(batch.column(1), n)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        return pa.RecordBatch.from_arrays([pa.array(grams), batch.column(0).take(pa.array(owner))], names=["gram", "entity"])
+
+    sets = texts.join(rows.select("entity").distinct(), "entity", "left_semi")
+    held = map_batches(sets, shingles, "gram long, entity binary")
+    few = held.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") <= RARE)
+    return store(held.join(few, "gram"), "minhash-rare")
+
+
+def _cores(rows: DataFrame, rare: DataFrame) -> DataFrame:
+    """Per set: entity, n, own (its class), core (the shingles that are not rare)."""
+    sets = rows.select("entity", "n", "own").distinct()
+    counts = rare.groupBy("entity").agg(F.count(F.lit(1)).alias("rare"))
+    core = F.col("n") - F.coalesce("rare", F.lit(0))
+    return store(sets.join(counts, "entity", "left").select("entity", "n", "own", core.alias("core")), "minhash-cores")
+
+
+def _enough(percent: int, overlap: str, n: str, m: str):
+    return F.expr(f"{100 + percent} * ({overlap}) >= {percent} * ({n} + {m})")
+
+
+def _by_rare(rare: DataFrame, cores: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share rare shingles, enough of them beside the smaller core for a link."""
+    rows = rare.filter("sets > 1").join(cores, "entity").drop("sets")
+    others = rows.select("gram", *[F.col(c).alias(f"{c}_2") for c in ("entity", "n", "own", "core")])
+    met = rows.join(others, "gram").filter("entity < entity_2 and own <> own_2").filter(_long_enough(percent, "n", "n_2"))
+    shared = met.groupBy("entity", "entity_2").agg(
+        F.count(F.lit(1)).alias("shared"), *[F.first(c).alias(c) for c in ("n", "n_2", "core", "core_2")]
     )
-    met = classed.join(outer, "bucket").filter("own <> class").filter(_long_enough(percent, "n", "o"))
+    likely = shared.filter(_enough(percent, "least(core, core_2) + shared", "n", "n_2"))
+    return likely.select(F.col("entity").alias("a"), F.col("entity_2").alias("b"))
+
+
+def _by_core(classed: DataFrame, cores: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of sets whose core alone could do with the smallest set of their bucket, with core and cells.
+
+    ``cells``: how many shingles of the set fall into each part of the hash space.
+    """
+
+    def cells(batch):
+        grams, counts = shingle_sets(batch.column(1), n)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        cell = owner * CELLS + ((grams.view(np.uint64) >> np.uint64(32)) * np.uint64(CELLS) >> np.uint64(32)).astype(np.int64)
+        table = np.bincount(cell, minlength=len(counts) * CELLS).reshape(-1, CELLS)
+        return pa.RecordBatch.from_arrays([batch.column(0), _lists(table)], names=["entity", "cells"])
+
+    rows = classed.join(cores.select("entity", "core"), "entity").filter(F.expr(f"100 * core >= {percent} * n"))
+    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
+    rows = store(rows.join(least, "bucket").filter(_enough(percent, "core", "n", "least")).drop("least"), "minhash-cores")
+    sets = texts.join(rows.select("entity").distinct(), "entity", "left_semi")
+    return rows.join(map_batches(sets, cells, "entity binary, cells array<long>"), "entity")
+
+
+def _crossing(rows: DataFrame, crowds: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members outside the centre's class with the members of other classes, by their cores alone.
+
+    Sets differ by no less than their cells do, which leaves out most pairs that
+    no link could join.
+    """
+    outer = rows.filter("own <> main").join(crowds, "bucket", "left_semi").select(
+        "bucket", F.col("entity").alias("other"), F.col("n").alias("o"), F.col("core").alias("most"),
+        F.col("own").alias("class"), F.col("cells").alias("other_cells"),
+    )
+    apart = F.aggregate(
+        F.zip_with("cells", "other_cells", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x
+    )
+    alike = (100 + percent) * (F.col("n") + F.col("o") - apart) >= 2 * percent * (F.col("n") + F.col("o"))
+    once = F.expr("own = main or entity < other")
+    met = rows.join(outer, "bucket").filter("own <> class").filter(once & _long_enough(percent, "n", "o"))
+    met = met.filter(_enough(percent, "least(core, most)", "n", "o") & alike)
     return met.select(*_pair("entity", "other")).distinct()
 
 
@@ -209,20 +291,36 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
 
 
 class _Links:
-    """Pairs compared so far."""
+    """Pairs compared so far, and the classes that their links make."""
 
     def __init__(self, texts: DataFrame, n: int, percent: int):
-        self.texts, self.n, self.percent, self.tables = texts, n, percent, []
+        self.texts, self.n, self.percent = texts, n, percent
+        self.tables: list[DataFrame] = []
+        self.labels: DataFrame | None = None
 
     def compare(self, pairs: DataFrame) -> None:
         if self.tables:
             known = reduce(DataFrame.union, self.tables).select("a", "b")
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = store(pairs, "minhash-pairs")
-        self.tables.append(store(_confirmed(pairs, self.texts, self.n, self.percent), "minhash-links"))
-
-    def labels(self) -> DataFrame:
-        return connected_components(reduce(DataFrame.union, self.tables).filter("linked").select("a", "b"))
+        compared = store(_confirmed(pairs, self.texts, self.n, self.percent), "minhash-links")
+        self.tables.append(compared)
+        new = compared.filter("linked").select("a", "b")
+        if self.labels is None:
+            self.labels = connected_components(new)
+        elif not new.isEmpty():
+            self._merge(new)
+
+    def _merge(self, new: DataFrame) -> None:
+        """Let new links make classes one."""
+        for end in ("a", "b"):
+            own = self.labels.select(F.col("id").alias(end), F.col("label").alias("class"))
+            new = new.join(own, end, "left").withColumn(end, F.coalesce("class", end)).drop("class")
+        merged = connected_components(new)
+        to = merged.select(F.col("id").alias("label"), F.col("label").alias("to"))
+        known = self.labels.join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        fresh = merged.join(self.labels, "id", "left_anti")
+        self.labels = store(known.union(fresh), "minhash-labels")
 
 
 def _again(texts: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
@@ -254,20 +352,25 @@ def minhash_components(
             texts = store(_texts(starred.select("entity").distinct(), marked, docs, key, text), "minhash-texts")
             links = _Links(texts, n, percent)
         links.compare(_likeliest(starred, percent))
-        links.compare(_outside(_classed(starred, links.labels()), percent))
-        classed = store(_classed(starred, links.labels()), "minhash-classes")
-        crowds = classed.filter("own <> main").groupBy("bucket").agg(F.count(F.lit(1)).alias("outside"))
+        links.compare(_outside(_classed(starred, links.labels), percent))
+        rows = _mixed(_classed(starred, links.labels))
+        rare = _rare_shingles(rows, texts, n)
+        cores = _cores(rows, rare)
+        links.compare(_by_rare(rare, cores, percent))
+        # What shares no rare shingle can only overlap in the cores.
+        rows = store(_by_core(_classed(starred, links.labels), cores, texts, n, percent), "minhash-crossing")
+        crowds = rows.filter("own <> main").groupBy("bucket").agg(F.count(F.lit(1)).alias("outside"))
         last = level + 1 == len(LEVELS)
-        links.compare(_crossing(classed, crowds if last else crowds.filter(F.col("outside") <= FEW), percent))
+        links.compare(_crossing(rows, crowds if last else crowds.filter(F.col("outside") <= FEW), percent))
         if last:
             break
-        crowded = classed.join(crowds.filter(F.col("outside") > FEW), "bucket", "left_semi").select("entity").distinct()
+        crowded = rows.join(crowds.filter(F.col("outside") > FEW), "bucket", "left_semi").select("entity").distinct()
         crowded = store(crowded, "minhash-crowded")
         if crowded.isEmpty():
             break
         entities = _again(texts.join(crowded, "entity", "left_semi"), n, *LEVELS[level + 1])
     named = sets.select("key", "entity", "n").join(
-        links.labels().withColumnRenamed("id", "entity"), "entity", "left"
+        links.labels.withColumnRenamed("id", "entity"), "entity", "left"
     ).withColumn("label", F.coalesce("label", "entity"))
     smallest = named.groupBy("label").agg(F.min("key").alias("component_id"))
     linked = named.join(smallest, "label").select("key", "n", "component_id")
