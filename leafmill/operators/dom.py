@@ -74,8 +74,8 @@ def strings(doc: Column, node: Column) -> Column:
 
 
 def raw_text(doc: Column, node: Column) -> Column:
-    """The text of a subtree as written; NULL for a NULL element."""
-    return F.array_join(strings(doc, node), "")
+    """The text of a subtree as written; NULL for a NULL element.  Most elements hold one string."""
+    return F.when(node["tn"] == 1, F.get(doc["texts"], node["t0"])).otherwise(F.array_join(strings(doc, node), ""))
 
 
 def text(doc: Column, node: Column) -> Column:

@@ -32,14 +32,15 @@ def default_source(url: Column, source_name: Column | None = None) -> Column:
 
 
 def with_document(
-    pages: DataFrame, keep_all: bool = False, partitions: int | None = None
+    pages: DataFrame, keep_all: bool = False, partitions: int | None = None, links: bool = True
 ) -> DataFrame:
     """Add the shredded document of each page; without markup it has no elements.
 
     ``page_ord`` defaults to ``page_id`` and ``source`` to the host.  Columns
     other than the keys are dropped before pages cross into the worker.  Pages
     are shredded where they are read; ``partitions`` deals them out anew first,
-    for files that Spark cannot split into enough tasks.
+    for files that Spark cannot split into enough tasks.  Without ``links`` no
+    address is resolved.
     """
     prepare(pages.sparkSession)
     if "page_ord" not in pages.columns:
@@ -49,7 +50,7 @@ def with_document(
     pages = pages.select(*_KEYS, "html")
     if partitions is not None:
         pages = pages.repartition(partitions)
-    return pages.select(*_KEYS, shred("html", "url", keep_all).alias(DOC))
+    return pages.select(*_KEYS, shred("html", "url", keep_all, links).alias(DOC))
 
 
 def extract(
@@ -62,7 +63,7 @@ def extract(
     otherwise (see `with_document`).
     """
     names = list(EXTRACTORS if families is None else families)
-    documents = with_document(pages, partitions=partitions)
+    documents = with_document(pages, partitions=partitions, links="links" in names)
     application = pages.sparkSession.sparkContext.applicationId
     items = [_rows_of(name, application) for name in names]
     rows = F.flatten(F.array(*items)) if len(items) > 1 else items[0]

@@ -169,7 +169,8 @@ def _cells(doc: Column, row: Column, headers: Column) -> Column:
 
     def entries(cell: Column, i: Column) -> Column:
         name = F.coalesce(F.get(headers, i), F.concat(F.lit("col_"), i.cast("string")))
-        href = first(subtree(doc, cell), is_tag("a"))["href"]
+        # Most cells hold no element, so there is nothing to look through.
+        href = F.when(cell["size"] > 0, first(subtree(doc, cell), is_tag("a"))["href"])
         link = F.struct(F.concat(name, F.lit("_link")).alias("key"), href.alias("value"))
         content = F.struct(name.alias("key"), dom.text(doc, cell).alias("value"))
         return F.concat(F.array(content), F.filter(F.array(link), lambda e: e["value"] != ""))

@@ -13,6 +13,7 @@ from html import unescape
 from html.entities import html5
 from urllib.parse import urljoin
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,9 +98,8 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(\S++)))?""")
-_PRE, _SIZE, _T0, _TN, _CLASSES, _NEXT_ROW = (
-    NODE.names.index(n) for n in ("pre", "size", "t0", "tn", "classes", "next_row")
-)
+# Fields that few elements have.
+_RARE = ("classes", "href", "link", "name", "content", "next_row")
 _NO_ATTRIBUTES: dict[str, str] = {}
 _NO_HOLDER = [None, (), None, None]
 _KEPT_ATTRIBUTES = ("class", "href", "name", "content")
@@ -144,11 +144,20 @@ def _resolve(base: str, href: str) -> str | None:
 
 
 class _Columns:
-    """Column buffers of one batch; a page appends its elements and texts."""
+    """Column buffers of one batch; a page appends its elements and texts.
+
+    What few elements have is kept by element; addresses are resolved only where
+    ``links`` are asked for.
+    """
 
-    def __init__(self, keep_all: bool):
-        self.keep_all = keep_all
-        self.nodes: list[list] = []  # one list of NODE's fields per element
+    def __init__(self, keep_all: bool, links: bool = True):
+        self.keep_all, self.links = keep_all, links
+        self.tags: list[str] = []
+        self.parents: list[int] = []
+        self.sizes: list[int] = []
+        self.first_texts: list[int] = []
+        self.text_counts: list[int] = []
+        self.rare: dict[str, dict[int, object]] = {name: {} for name in _RARE}
         self.texts: list[str] = []
         self.node_offsets = [0]
         self.text_offsets = [0]
@@ -156,21 +165,27 @@ class _Columns:
 
     def add_page(self, html: str | None, base: str | None) -> None:
         """A page that cannot be shredded has no elements but the reason: it must not end the others' job."""
-        error, nodes, texts = None, len(self.nodes), len(self.texts)
+        error, nodes, texts = None, len(self.tags), len(self.texts)
         try:
             if html:
                 self._shred(html, base or "")
         except Exception as e:  # noqa: BLE001
             error = f"{type(e).__name__}: {e}"[:_LONGEST_REASON]
-            del self.nodes[nodes:], self.texts[texts:]
+            for column in (self.tags, self.parents, self.sizes, self.first_texts, self.text_counts):
+                del column[nodes:]
+            del self.texts[texts:]
+            self.rare = {name: {i: v for i, v in of.items() if i < nodes} for name, of in self.rare.items()}
         self.errors.append(error)
-        self.node_offsets.append(len(self.nodes))
+        self.node_offsets.append(len(self.tags))
         self.text_offsets.append(len(self.texts))
 
     def _shred(self, html: str, base: str) -> None:
-        nodes, texts, keep_all = self.nodes, self.texts, self.keep_all
-        first_node, first_text = len(nodes), len(texts)
-        # Open elements: [tag, the tags that end it, its node if kept, its last row's node].
+        tags, parents, sizes, texts, keep_all = self.tags, self.parents, self.sizes, self.texts, self.keep_all
+        first_texts, text_counts = self.first_texts, self.text_counts
+        class_lists, hrefs, links = self.rare["classes"], self.rare["href"], self.rare["link"]
+        names, contents, next_rows = self.rare["name"], self.rare["content"], self.rare["next_row"]
+        first_node, first_text = len(tags), len(texts)
+        # Open elements: [tag, the tags that end it, its place if kept, its last row's place].
         stack: list[list] = []
         head_seen = body_seen = False
         hidden = 0  # open elements whose text does not count
@@ -179,8 +194,8 @@ class _Columns:
             nonlocal hidden
             tag, _, node, _ = stack.pop()
             if node is not None:
-                node[_SIZE] = len(nodes) - first_node - node[_PRE] - 1
-                node[_TN] = len(texts) - first_text - node[_T0]
+                sizes[node] = len(tags) - node - 1
+                text_counts[node] = len(texts) - first_text - first_texts[node]
             if tag in HIDDEN_TEXT:
                 hidden -= 1
 
@@ -190,20 +205,26 @@ class _Columns:
             classes = attributes.get("class") if attributes else None
             if classes or tag in WANTED or keep_all:
                 holder = stack[-1] if stack else _NO_HOLDER
-                node = [
-                    len(nodes) - first_node,
-                    -1 if holder[2] is None else holder[2][_PRE],
-                    0, len(texts) - first_text, 0, tag, None, None, None, None, None, None,
-                ]
+                node = len(tags)
+                tags.append(tag)
+                parents.append(-1 if holder[2] is None else holder[2] - first_node)
+                sizes.append(0)
+                first_texts.append(len(texts) - first_text)
+                text_counts.append(0)
                 if attributes:
-                    href = attributes.get("href")
-                    link = _resolve(base, href) if tag == "a" and href is not None else None
-                    name, content = attributes.get("name"), attributes.get("content")
-                    node[_CLASSES:] = classes.split() if classes else None, href, link, name, content, None
-                nodes.append(node)
+                    if classes:
+                        class_lists[node] = classes.split()
+                    if (href := attributes.get("href")) is not None:
+                        hrefs[node] = href
+                        if tag == "a" and self.links:
+                            links[node] = _resolve(base, href)
+                    if "name" in attributes:
+                        names[node] = attributes["name"]
+                    if "content" in attributes:
+                        contents[node] = attributes["content"]
                 if tag == "tr" and stack:
                     if holder[3] is not None:
-                        holder[3][_NEXT_ROW] = node[_PRE]
+                        next_rows[holder[3]] = node - first_node
                     holder[3] = node
             if tag not in VOID:
                 stack.append([tag, ENDED_BY.get(tag, ()), node, None])
@@ -299,9 +320,19 @@ class _Columns:
             close()
 
     def to_arrow(self) -> pa.Array:
-        columns = zip(*self.nodes) if self.nodes else [[] for _ in NODE]
+        n, offsets = len(self.tags), np.array(self.node_offsets)
+        columns: dict[str, object] = {
+            "pre": np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets)),
+            "parent": self.parents, "size": self.sizes, "t0": self.first_texts, "tn": self.text_counts,
+            "tag": self.tags,
+        }
+        for name, of in self.rare.items():
+            column: list = [None] * n
+            for i, value in of.items():
+                column[i] = value
+            columns[name] = column
         nodes = pa.StructArray.from_arrays(
-            [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, NODE)],
+            [pa.array(columns[f.name], to_arrow_type(f.dataType)) for f in NODE],
             fields=[pa.field(f.name, to_arrow_type(f.dataType)) for f in NODE],
         )
         return pa.StructArray.from_arrays(
@@ -316,10 +347,10 @@ class _Columns:
         )
 
 
-def _shredder(keep_all: bool):
+def _shredder(keep_all: bool, links: bool):
     @F.arrow_udf(DOCUMENT)
     def shred_batch(html: pa.Array, url: pa.Array) -> pa.Array:
-        columns = _Columns(keep_all)
+        columns = _Columns(keep_all, links)
         for markup, base in zip(html, url):
             columns.add_page(markup.as_py(), base.as_py())
         return columns.to_arrow()
@@ -327,9 +358,10 @@ def _shredder(keep_all: bool):
     return shred_batch
 
 
-def shred(html: Column | str, url: Column | str, keep_all: bool = False) -> Column:
+def shred(html: Column | str, url: Column | str, keep_all: bool = False, links: bool = True) -> Column:
     """The document column of an HTML column; `url` is the base of its links.
 
-    Elements no extractor can ask for are left out unless ``keep_all``.
+    Elements no extractor can ask for are left out unless ``keep_all``; links are
+    resolved only if asked for.
     """
-    return _shredder(keep_all)(html, url)
+    return _shredder(keep_all, links)(html, url)

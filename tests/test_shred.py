@@ -6,14 +6,14 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from leafmill.operators import shred as shred_module
 from leafmill.operators.extract import document_errors
 from leafmill.operators.shred import _Columns, shred
-from leafmill.schema import DOCUMENT, NODE
+from leafmill.schema import DOCUMENT
 
 
 def parse(html, base="https://h.example/d/"):
     """[(tag, parent tag, text)] of a page, all elements kept."""
     columns = _Columns(keep_all=True)
     columns.add_page(html, base)
-    nodes = [dict(zip(NODE.names, n)) for n in columns.nodes]
+    (nodes,) = (d["nodes"] for d in columns.to_arrow().to_pylist())
     out = []
     for n in nodes:
         holder = nodes[n["parent"]]["tag"] if n["parent"] >= 0 else None
@@ -116,7 +116,7 @@ def test_attributes(spark, pages):
 def test_subtrees_are_slices():
     columns = _Columns(keep_all=False)
     columns.add_page("<div class=a><p>1<div class=b><p>2</div></div><p>3", "")
-    nodes = [dict(zip(NODE.names, n)) for n in columns.nodes]
+    (nodes,) = (d["nodes"] for d in columns.to_arrow().to_pylist())
     assert [(n["tag"], n["parent"], n["size"], n["t0"], n["tn"]) for n in nodes] == [
         ("div", -1, 3, 0, 2), ("p", 0, 0, 0, 1), ("div", 0, 1, 1, 1), ("p", 2, 0, 1, 1),
         ("p", -1, 0, 2, 1),
@@ -126,7 +126,7 @@ def test_subtrees_are_slices():
 def test_many_open_elements_take_linear_time():
     columns = _Columns(keep_all=True)
     columns.add_page("<b>" * 20_000 + "x" + "</i>" * 50, "")
-    assert columns.nodes[2][4] == 1
+    assert columns.text_counts[2] == 1
 
 
 def test_empty_pages(pages):
