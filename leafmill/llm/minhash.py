@@ -372,7 +372,8 @@ def minhash_components(
     named = sets.select("key", "entity", "n").join(
         links.labels.withColumnRenamed("id", "entity"), "entity", "left"
     ).withColumn("label", F.coalesce("label", "entity"))
-    smallest = named.groupBy("label").agg(F.min("key").alias("component_id"))
+    # Stored, so that the join's large side may be split where one class holds many rows.
+    smallest = store(named.groupBy("label").agg(F.min("key").alias("component_id")), "minhash-smallest")
     linked = named.join(smallest, "label").select("key", "n", "component_id")
     alone = marked.filter("n = 0").select("key", "n", F.col("key").alias("component_id"))
     return linked.union(alone).select(
