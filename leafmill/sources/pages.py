@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ NOT_FOUND = 404
 _HTTP_ERRORS_FROM = 400
 MOST_HOT = 100_000
 HOT_ROWS = 10_000
+# Keys that may be sent to every task as a list, some 10 MB of addresses.
+MOST_LISTED = 100_000
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -45,6 +49,22 @@ def resolve_fetches(attempts: DataFrame, max_attempts: int | None = MAX_ATTEMPTS
     )
 
 
+def _only(rows: DataFrame, columns: Sequence[str], keys: DataFrame, n_keys: int) -> DataFrame:
+    """The rows with one of so many keys (NULL equals NULL), cut where they are read.
+
+    Up to ``MOST_LISTED`` keys are broadcast; more make a Bloom filter, which
+    lets a few other rows through.
+    """
+    if n_keys > MOST_LISTED:
+        blocks = n_blocks(n_keys)
+        return possible(rows, columns, bloom_filter(keys, columns, blocks), blocks)
+    listed = F.broadcast(keys.select(*[F.col(c).alias(f"_key_{c}") for c in columns]).distinct())
+    same = F.lit(True)
+    for name in columns:
+        same = same & rows[name].eqNullSafe(listed[f"_key_{name}"])
+    return rows.join(listed, same, "left_semi")
+
+
 def _winners(urls: DataFrame, n_urls: int, pages: DataFrame, version: str) -> DataFrame:
     """`(url, page_id, version, _copies)`: of each planned URL the latest stored page, told without its markup.
 
@@ -52,10 +72,10 @@ def _winners(urls: DataFrame, n_urls: int, pages: DataFrame, version: str) -> Da
     ``_copies`` counts page rows that agree in all three.
     """
     named = list(dict.fromkeys(["url", version, "page_id"]))
-    blocks = n_blocks(n_urls)
-    narrow = possible(pages.select(*named), ["url"], bloom_filter(urls, ["url"], blocks), blocks)
+    narrow = _only(pages.select(*named).filter(F.col("url").isNotNull()), ["url"], urls, n_urls)
     known = narrow.groupBy(*named).agg(F.count(F.lit(1)).alias("_copies"))
-    known = known.join(urls.distinct(), "url", "left_semi")
+    if n_urls > MOST_LISTED:
+        known = known.join(urls.distinct(), "url", "left_semi")
     latest = F.max(F.struct(*named[1:], "_copies")).alias("latest")
     return known.groupBy("url").agg(latest).select("url", "latest.*")
 
@@ -64,9 +84,9 @@ class PlannedPages:
     """The pages that any plan asks for: of each URL the latest, by the ``version`` column.
 
     Which page wins is found on the URL, the version and the id alone, behind a
-    Bloom filter of the planned URLs.  A second filter, of the winners, then
+    list or Bloom filter of the planned URLs.  A second one, of the winners, then
     keeps the markup of other pages, also of older versions, from leaving the task
-    that reads it, but for the few that pass by chance.
+    that reads it, but for the few that pass a Bloom filter by chance.
     """
 
     def __init__(self, plan_urls: DataFrame, pages: DataFrame, version: str = "page_id"):
@@ -75,12 +95,12 @@ class PlannedPages:
         self.pages = pages
         self.named = list(dict.fromkeys(["url", version, "page_id"]))
         self.winners = store(_winners(urls, self.n_planned, pages, version), "planned-pages")
-        self.copied = not self.winners.filter("_copies > 1").isEmpty()
+        found = self.winners.agg(F.count(F.lit(1)), F.max("_copies")).first()
+        self.n_winners, self.copied = found[0], (found[1] or 0) > 1
 
     def likely(self) -> DataFrame:
         """All winners with their markup, and the few other pages that pass the filter."""
-        blocks = n_blocks(self.winners.count())
-        return possible(self.pages, self.named, bloom_filter(self.winners, self.named, blocks), blocks)
+        return _only(self.pages, self.named, self.winners, self.n_winners)
 
     def exact(self) -> DataFrame:
         """The winners, one page each: of page rows that agree in URL, version and id the least markup."""

@@ -13,6 +13,7 @@ from leafmill.plans import fixed
 from leafmill.plans.replies import empty_plans, plan_summary, plan_urls, plans
 from leafmill.plans.routing import catalog, page_categories, route, topic
 from leafmill.run import run, run_report
+from leafmill.sources import pages as page_sources
 from leafmill.sources.csv import MAX_COLUMNS, read_csv
 from leafmill.sources.pages import PlannedPages, _hot_urls, extract_planned, planned_pages, resolve_fetches
 
@@ -282,8 +283,10 @@ def _each(items):
     return [items.apply(i) for i in range(items.length())]
 
 
-def test_markup_of_planned_pages_stays_where_it_is_read(spark, pages):
+@pytest.mark.parametrize("listed", [0, 100_000])
+def test_markup_of_planned_pages_stays_where_it_is_read(spark, pages, monkeypatch, listed):
     """Without any automatic broadcast: only the pages asked for leave their task, and none to be extracted."""
+    monkeypatch.setattr(page_sources, "MOST_LISTED", listed)
     stored = pages(*[(f"https://a/{i % 1000}", f"<h1>title {i}</h1>") for i in range(3000)])
     planned = spark.range(20).selectExpr("id prompt_id", "1L pos", "concat('https://a/', id * 7) url", "'N' source_name")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -303,8 +306,10 @@ def test_markup_of_planned_pages_stays_where_it_is_read(spark, pages):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_equal_page_rows_count_once(spark, pages):
+@pytest.mark.parametrize("listed", [0, 100_000])
+def test_equal_page_rows_count_once(spark, pages, monkeypatch, listed):
     """Rows that agree in URL and id are one page; markup that differs gives the least of it; versions may be NULL."""
+    monkeypatch.setattr(page_sources, "MOST_LISTED", listed)
     stored = pages(("https://a/1", "<h1>one</h1>"), ("https://b/1", "<h1>two</h1>"))
     more = stored.filter("page_id = 0").withColumn("html", F.lit("<h1>zzz</h1>"))
     planned = spark.createDataFrame(
