@@ -97,10 +97,10 @@ def _as_saved(rows: DataFrame, columns: Sequence[str] | None, scope: Sequence[st
     replaced = F.coalesce(F.map_contains_key("cells", F.lit("table_index")), F.lit(False))
     shapes = row_shapes(rows, F.bool_or(~is_table).alias("others"), F.bool_or(replaced).alias("texts"))
     shapes = store(shapes, "row-shapes")
-    if shapes.isEmpty():
+    n, mixed = shapes.agg(F.count(F.lit(1)), F.bool_or("others") & ~F.bool_or("texts")).first()
+    if n == 0:
         return None
     wide = widen(rows, named_columns(shapes) if columns is None else columns, scope)
-    mixed = shapes.agg(F.bool_or("others") & ~F.bool_or("texts")).first()[0]
     if "table_index" in wide.columns and mixed:
         wide = wide.withColumn("table_index", F.col("table_index").cast("double").cast("string"))
     return wide
