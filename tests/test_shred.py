@@ -1,8 +1,12 @@
 """The shredder: element structure and text, one small page per rule."""
 
+import unicodedata
+
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from leafmill.functions.text import clean_text, python_clean_text
 from leafmill.operators import shred as shred_module
 from leafmill.operators.extract import document_errors
 from leafmill.operators.shred import _Columns, shred
@@ -156,3 +160,68 @@ def test_a_page_that_fails_leaves_the_others(spark, monkeypatch):
     assert [tuple(r) for r in errors] == [
         (1, "https://h/", None, "RecursionError: too deep"), (2, "https://h/", "//[x", "malformed link address"),
     ]
+
+
+TABLES = (
+    "<ul class=nav><li>menu</ul><table><tr><th>a<th>a<th>b</tr><tr><td>1 <td> 2  3<td><b>4</b><a href='/x'>5</a>"
+    "<ul><li>item</ul></table><table><tr><tr class=athing><td class=c>6<tr><td>7<table><tr><td>8​</table></table>"
+)
+
+
+def test_tables_are_read_where_pages_are_shredded():
+    """Rows are made without elements; of a repeated name the last value stays, in the place of the first."""
+    columns = _Columns(False, links=False, tables=True, nodes=False)
+    for html in (TABLES, None, "<p>none", "<table>" * 30 + "<tr><td>x"):
+        columns.add_page(html, "")
+    made = columns.to_arrow().to_pylist()
+    assert [d["nodes"] for d in made] == [d["texts"] for d in made] == [[], [], [], []]
+    assert [(r["index"], r["cells"]) for r in made[0]["tables"]] == [
+        (0, [("a", "a"), ("b", "b")]),
+        (0, [("a", "2 3"), ("b", "45item"), ("b_link", "/x")]),
+        (1, [("col_0", "6")]), (1, [("col_0", "78"), ("col_1", "8")]), (1, [("col_0", "8")]), (2, [("col_0", "8")]),
+    ]
+    assert made[1]["tables"] == made[2]["tables"] == []
+    assert [r["index"] for r in made[3]["tables"]] == list(range(10))
+
+
+def test_cells_are_no_elements_where_tables_are_read():
+    """Other elements keep their places relative to each other, their texts and their next row."""
+    columns = _Columns(False, tables=True)
+    columns.add_page(TABLES, "https://h/")
+    (made,) = columns.to_arrow().to_pylist()
+    nodes = made["nodes"]
+    names = [n["tag"] for n in nodes]
+    assert names == ["ul", "li", "tr", "tr", "a", "ul", "li", "tr", "tr", "td", "tr", "tr"]
+    assert [n["pre"] for n in nodes] == list(range(12))
+    assert [n["parent"] for n in nodes] == [-1, 0, -1, -1, -1, -1, 5, -1, -1, 8, -1, -1]
+    assert [n["size"] for n in nodes] == [1, 0, 0, 3, 0, 1, 0, 0, 1, 0, 1, 0]
+    assert [n["next_row"] for n in nodes] == [None, None, 3, None, None, None, None, 8, 10, None, None, None]
+    assert "".join(made["texts"][nodes[6]["t0"] : nodes[6]["t0"] + nodes[6]["tn"]]) == "item"
+
+
+def test_simple_pages_are_cut_as_others_are(monkeypatch):
+    """Pages whose tags all end at the next `>` take a shorter way to the same elements."""
+    pages = [
+        TABLES, "<p>a<!-- b --><i c='d'>e</i></p>f<br/>", "x<P CLASS=a>y</p ><?z?></>", "<!doctype html> <p title=\"\">1",
+        "<p a='1>2'>3", "<a href=\"<b>\">4</a>", "a < b<p>5", "<!-- <p> -->6", "<title>7</title>8", "<p",
+    ]
+    simple = [shred_module._simple_tokens(html) is not None for html in pages]
+    assert simple == [True] * 4 + [False] * 6
+
+    def shredded():
+        columns = _Columns(False, tables=True)
+        for html in pages:
+            columns.add_page(html, "https://h/")
+        return columns.to_arrow().to_pylist()
+
+    short = shredded()
+    monkeypatch.setattr(shred_module, "_simple_tokens", lambda html: None)
+    assert short == shredded()
+
+
+def test_python_cleans_texts_as_the_expression_does(spark):
+    codes = [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x110000, 7)]
+    texts = ["", " ", "a  b", "  x\x1c\x00", "y" * 2001, *(f" {chr(c)}a{chr(c)}{chr(c)} b " for c in codes)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", clean_text(F.col("text")).alias("c"))
+    later = [r["text"] for r in rows.collect() if python_clean_text(r["text"]) != r["c"]]
+    assert [t for t in later if unicodedata.category(t[1]) != "Cf"] == []
