@@ -18,6 +18,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 Batch = pa.RecordBatch
 
+_kept: list[tuple] = []
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What this worker keeps from task to task: the last thing asked for, and no other.
+
+    Workers outlive stages, so what each operator remembers would add up.
+    """
+    if not _kept or _kept[0][0] != key:
+        _kept.clear()
+        _kept.append((key, make()))
+    return _kept[0][1]
+
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts in a row, and the number of each text's words (null: 0)."""

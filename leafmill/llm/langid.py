@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import WORD, sampled, split_words
+from leafmill.llm.common import WORD, kept, sampled, split_words
 from leafmill.session import store
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -46,9 +46,6 @@ FIT_TASKS = 24
 REMEMBERED = 300_000
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 class Pieces:
     """The vocabulary's pieces that stand for text, numbered from 0, in a hash table.
 
@@ -88,9 +85,7 @@ class Pieces:
     @classmethod
     def of(cls, path: str) -> Pieces:
         """The table of this worker."""
-        if path not in _pieces:
-            _pieces[path] = cls(path)
-        return _pieces[path]
+        return kept(("pieces", path), lambda: cls(path))
 
     def grow(self, key: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return (key + codes.astype(np.uint64) + np.uint64(1)) * self.STEP
@@ -320,8 +315,8 @@ def identify(
     The share is the posterior under equal priors.  Columns of the input are
     kept; those named like the new ones are replaced.
     """
-    kept = [c for c in docs.columns if c not in out]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    others = [c for c in docs.columns if c not in out]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
 
     def run(batches):
         scorer = None
@@ -330,7 +325,7 @@ def identify(
             texts = batch.column(batch.schema.get_field_index(text))
             named = _identify_texts(texts, scorer)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + named, names=[*kept, *out]
+                [batch.column(c) for c in others] + named, names=[*others, *out]
             )
 
     return docs.mapInArrow(run, f"{types}, {out[0]} string, {out[1]} double")

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import kept
+
 VOCABULARY = "byte_bpe_50k.json"
 # White space of Unicode other than blank and line feed.
 _OTHER_SPACE = "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -25,7 +27,6 @@ REMEMBERED = 900_000
 JOINED = 4096
 # Bytes of text that are encoded together.
 GATHERED = 8 << 20
-_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -54,9 +55,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+        return kept(("encoder", path), lambda: cls(path))
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)

@@ -1,7 +1,9 @@
 """Sharding, mixing, token files, packing, quality scores and vector search."""
 
+import gc
 import random
 import struct
+import weakref
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from leafmill.llm import ans, fm, mixing, packing, rabitq, shards, tokens
+from leafmill.llm import ans, fm, langid, mixing, packing, rabitq, shards, tokens
 from leafmill.llm.queries import vocabulary
 from leafmill.session import new_folder
 from tests.llm import brute
@@ -209,6 +211,16 @@ def test_cut_texts_have_the_ids_of_whole_texts():
     assert ids == [e[:-1].astype("<u2").tobytes() for e in encoded(texts, 0)]
 
 
+def test_worker_keeps_one_operators_memory():
+    encoder = tokens.Encoder.of(vocabulary(tokens.VOCABULARY))
+    assert tokens.Encoder.of(vocabulary(tokens.VOCABULARY)) is encoder
+    gone = weakref.ref(encoder)
+    del encoder
+    langid.Pieces.of(vocabulary(langid.VOCABULARY))
+    gc.collect()
+    assert gone() is None
+
+
 def check_pieces(pieces, documents):
     """Pieces (key, start, crc of ids, ...) make up the documents (key, ids), and windows have no gaps."""
     windows = {}
