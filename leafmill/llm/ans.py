@@ -68,23 +68,27 @@ class Coder:
         state = np.full(LANES, LOW)
         frequency, below = self.frequency[ids], self.below[ids]
         limit = frequency << np.uint64(63 - BITS)
+        # x // f * 2^BITS + x % f is x + x // f * (2^BITS - f)
+        rest = np.uint64(1 << BITS) - frequency
         words: list[np.ndarray] = []
         states, places, written = [], [], 0
         for step in range(-(-len(ids) // LANES) - 1, -1, -1):
             now = slice(step * LANES, (step + 1) * LANES)
             f = frequency[now]
             x = state[: len(f)]
-            over = x >= limit[now]
-            if over.any():
-                words.append((x[over] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-                written += len(words[-1])
-                x = np.where(over, x >> np.uint64(32), x)
+            over = np.flatnonzero(x >= limit[now])
+            if len(over):
+                words.append(x[over])
+                written += len(over)
+                x[over] >>= np.uint64(32)
             whole = x // f
-            state[: len(f)] = (whole << np.uint64(BITS)) + (x - whole * f) + below[now]
+            whole *= rest[now]
+            x += whole
+            x += below[now]
             if step % STEPS == 0:
                 states.append(state.copy())
                 places.append(written)
-        stream = np.concatenate(words[::-1]) if words else np.empty(0, "<u4")
+        stream = (np.concatenate(words[::-1]) & np.uint64(0xFFFFFFFF)).astype("<u4") if words else np.empty(0, "<u4")
         place = len(stream) - np.array(places[::-1], dtype="<u8")
         head = HEADER.pack(MAGIC, VERSION, LANES, len(ids), len(place), len(stream))
         kept = b"".join(s.astype("<u8").tobytes() for s in states[::-1])
@@ -132,8 +136,7 @@ def _counts(encoded: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "k"])
 

@@ -211,6 +211,31 @@ def test_cut_texts_have_the_ids_of_whole_texts():
     assert ids == [e[:-1].astype("<u2").tobytes() for e in encoded(texts, 0)]
 
 
+def test_cuts_at_punctuation_have_the_ids_of_whole_texts():
+    rng = random.Random(3)
+    parts = [
+        "word", " ", " ", "\n", "\n\n", "é", "Ç", "ſ", "×", "÷", "Ω", "ж", "日", "e\u0301", "ß", "\u01c5", "½", "7", ",", ".", "_",
+        "'s", "'", "'ll", "$$$", "-", "<", "|", ">", "<|endoftext|>", "\0", "\U0001f600",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(4000)] + ["", None, "é,é×.ÿ÷!"]
+    ids = tokens.Encoder.of(vocabulary(tokens.VOCABULARY))(pa.array(texts))
+    assert ids == [e[:-1].astype("<u2").tobytes() for e in encoded(texts, 0)]
+    part = pa.array(["no, no. ", *texts])[1:]
+    assert tokens.Encoder.of(vocabulary(tokens.VOCABULARY))(part) == ids
+
+
+def test_words_before_punctuation_are_encoded_once():
+    encoder = tokens.Encoder(vocabulary(tokens.VOCABULARY))
+    encoder(pa.array(["a word, a word. a word! a word's (word) été, été"]))
+    assert set(encoder.place) == {"a", " a", " word", ",", ".", "!", "'s", " (word", ")", " été"}
+
+
+def test_frequencies_count_all_ids(spark):
+    rows = [(i, np.full(i % 7, i, "<u2").tobytes()) for i in range(2000)]
+    counts = ans._counts(spark.createDataFrame(rows, "key long, ids binary").repartition(3), np.dtype("<u2"), 1 << 16)
+    assert (counts[:2000] == np.arange(2000) % 7).all() and counts[2000:].sum() == 0
+
+
 def test_worker_keeps_one_operators_memory():
     encoder = tokens.Encoder.of(vocabulary(tokens.VOCABULARY))
     assert tokens.Encoder.of(vocabulary(tokens.VOCABULARY)) is encoder
