@@ -8,10 +8,12 @@ Spark.  Whether a symbol is left or right is a bit of its name, so a decision
 depends on the two symbols only: inside a window, all symbols but those at its
 edges are the same wherever the window stands.  This gives three steps.
 
-1. Each window takes the first symbol, on the highest level that has one, whose
-   form does not depend on what surrounds the window.  The names of these and
-   of all long symbols are counted.  A window that occurs twice has a symbol
-   that occurs twice; a long symbol that occurs twice proves its windows.
+1. Of the symbols of level ``DEEP`` whose form does not depend on what surrounds
+   the window, each window takes the ``RUN`` neighbours with the smallest hash
+   (of its words, where it has fewer symbols), so that windows beside each other
+   mostly take the same.  The names of these and of all long symbols are
+   counted.  A window that occurs twice has a run that occurs twice; a long
+   symbol that occurs twice proves its windows.
 2. The windows that are neither excluded nor proven are counted by two 64-bit
    hashes of their words; those of a repeated long symbol are counted once, in
    one of its rows, so that a window elsewhere can meet them.
@@ -42,17 +44,22 @@ RESULTS = ["kept_text", "n_words", "n_removed"]
 ROUNDS = 22
 # Rounds that begin with runs: each costs every window a symbol at both ends.
 RUN_ROUNDS = (0, 5, 10, 15)
+# A window takes a run of so many symbols of this level.
+RUN, DEEP = 6, 3
 # A long symbol has at least so many windows' lengths.
 LONG = 2
 OWNER_SHIFT = 42
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+LOWER = np.uint64((1 << 32) - 1)
 
 
 class Parse:
     """The symbols of a batch of texts.
 
-    ``code`` and ``name`` hold, for each window, the place and the name of the
-    symbol it takes; ``long_*`` the places, names and ends of long symbols.  A
-    place is (first word in its text, level, long or not) in one number.
+    ``places`` and ``names`` hold the runs of symbols that windows take, each
+    once, and ``which`` the number of each window's; ``long_*`` the places,
+    names and ends of long symbols.  A place is (first word in its text, level,
+    long or not) in one number, in ``places`` marked with its row.
     """
 
     def __init__(self, texts: pa.Array, window: int):
@@ -65,58 +72,80 @@ class Parse:
         self.whose = np.repeat(np.arange(len(self.counts)), spread)
         self.start = np.arange(spread.sum()) - np.repeat(starts_of(spread), spread) + self.first[self.whose]
         self.window = window
+        self.run = min(RUN, window)
         self._parse()
 
+    @property
+    def code(self) -> np.ndarray:
+        """The place in its text of what each window takes."""
+        return (self.places & ((1 << OWNER_SHIFT) - 1))[self.which]
+
     def _place(self, begin: np.ndarray, level: int, long: int) -> np.ndarray:
         return (((begin - self.first[self.owner[begin]]) * 64 + level) * 2 + long).astype(np.int64)
 
     def _parse(self) -> None:
-        symbols, begin = self.hashes, np.arange(len(self.hashes))
-        ends = np.append(begin[1:], len(begin)) if len(begin) else begin
-        self.code = self._place(self.start, 0, 0)
-        self.name = symbols[self.start]
-        alive = np.arange(len(self.start))
-        low, high = self.start.copy(), self.start + self.window - 1
+        symbols, begin, own = self.hashes, np.arange(len(self.hashes)), self.owner
+        # What is the same wherever the window stands: symbols from ``low``, below ``stop``.
+        low, stop = self.start, self.start + self.window
         longs: list[tuple] = []
         level = 0
         for turn in range(ROUNDS):
             for runs in (True, False) if turn in RUN_ROUNDS else (False,):
+                if level == DEEP:
+                    self._take(symbols, begin, low, stop)
                 level += 1
-                if len(symbols) < 2:
-                    break
-                beside = self.owner[begin[1:]] == self.owner[begin[:-1]]
+                if not len(symbols):
+                    continue
+                beside = own[1:] == own[:-1]
                 if runs:
                     joined = beside & (symbols[1:] == symbols[:-1])
-                    at = np.cumsum(np.append(True, ~joined)) - 1
-                    low, high = at[low] + 1, at[high] - 1
                 else:
                     right = (mix(symbols + np.uint64(level)) >> np.uint64(40)) & np.uint64(1) == 1
                     joined = beside & ~right[:-1] & right[1:]
-                    at = np.append(np.cumsum(np.append(True, ~joined)) - 1, len(symbols) - joined.sum())
-                    low, high = at[low + right[low]], at[np.maximum(high - ~right[high], 0)]
                 heads = np.append(True, ~joined)
-                length = np.diff(np.append(np.flatnonzero(heads), len(symbols)))
-                old, symbols = symbols, symbols[heads]
-                merged = length > 1
+                if level <= DEEP:
+                    at = np.append(np.cumsum(heads) - 1, heads.sum())
+                    if runs:
+                        low, stop = np.minimum(at[low] + 1, at[-1]), at[np.maximum(stop - 1, 0)]
+                    else:
+                        # A first right symbol or a last left one may belong to a pair with one outside.
+                        low = at[low + np.append(right, False)[low]]
+                        stop = at[stop - np.append(~right, False)[stop - 1]]
+                kept = np.flatnonzero(heads)
+                length = np.diff(np.append(kept, len(symbols)))
+                merged = np.flatnonzero(length > 1)
+                old, symbols = symbols, symbols[kept]
                 if runs:
-                    symbols = np.where(merged, mix(symbols ^ mix(length.astype(np.uint64))), symbols)
+                    symbols[merged] = mix(symbols[merged] ^ mix(length[merged].astype(np.uint64)))
                 else:
-                    second = old[np.flatnonzero(heads)[merged] + 1]
-                    symbols[merged] = mix(symbols[merged] * np.uint64(0x9E3779B97F4A7C15) + second)
-                begin = begin[heads]
-                ends = np.append(begin[1:], len(self.hashes))
+                    symbols[merged] = mix(symbols[merged] * FACTOR + old[kept[merged] + 1])
+                begin, own = begin[kept], own[kept]
                 # The last symbol of a text ends with it: texts follow one another.
-                ok = low <= high
-                alive, low, high = alive[ok], low[ok], high[ok]
-                self.code[alive] = self._place(begin[low], level, 0)
-                self.name[alive] = mix(symbols[low] + np.uint64(level))
-                big = np.flatnonzero(merged & (ends - begin >= LONG * self.window))
-                longs.append(
-                    (self.owner[begin[big]], self._place(begin[big], level, 1), symbols[big], begin[big], ends[big])
-                )
+                ends = np.append(begin[1:], len(self.hashes))
+                big = merged[(ends - begin)[merged] >= LONG * self.window]
+                longs.append((own[big], self._place(begin[big], level, 1), symbols[big], begin[big], ends[big]))
         columns = [np.concatenate(c) for c in zip(*longs)] if longs else [np.empty(0, np.int64)] * 5
         self.long_owner, self.long_code, self.long_name, self.long_begin, self.long_end = columns
 
+    def _take(self, symbols: np.ndarray, begin: np.ndarray, low: np.ndarray, stop: np.ndarray) -> None:
+        """Each window takes a run of the symbols of its inside, of its words where those are too few."""
+        code, name = np.empty(len(low), np.int64), np.empty(len(low), np.uint64)
+        deep = stop - low >= self.run
+        flat = ~deep
+        if deep.any():
+            at, name[deep] = _least_runs(symbols, low[deep], stop[deep], self.run)
+            code[deep] = self._place(begin[at], DEEP, 0)
+        if flat.any():
+            at, name[flat] = _least_runs(self.hashes, self.start[flat], self.start[flat] + self.window, self.run)
+            code[flat] = self._place(at, 0, 0)
+        # Neighbours mostly take the same.
+        code |= self.whose << OWNER_SHIFT
+        new = np.append(True, code[1:] != code[:-1]) if len(code) else np.empty(0, bool)
+        self.places, one, same = np.unique(code[new], return_index=True, return_inverse=True)
+        self.which = same[np.cumsum(new) - 1]
+        # Equal runs of words and of symbols that are words have different names.
+        self.names = mix(name[new][one] + (self.places >> 1 & 63).astype(np.uint64))
+
     def keys(self) -> list[np.ndarray]:
         """Two hashes of each window's words."""
         size = len(self.hashes) + 1
@@ -135,7 +164,7 @@ class Parse:
         ``unique``: for each text, the places of symbols that occur once.
         """
         lone = np.sort(_owned(unique))
-        seen_once = _in(lone, (self.whose << OWNER_SHIFT) | self.code)
+        seen_once = _in(lone, self.places)[self.which]
         proven = self._inside(~_in(lone, (self.long_owner << OWNER_SHIFT) | self.long_code))
         return proven, ~proven & ~seen_once
 
@@ -155,6 +184,29 @@ class Parse:
         return np.cumsum(covered)[self.start] > 0
 
 
+def _least_runs(symbols: np.ndarray, low: np.ndarray, stop: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the run of symbols with the smallest hash begins between two places, and its hash; of equals the first."""
+    width = stop - low - run + 1
+    covered = np.bincount(low, minlength=len(symbols) + 1) - np.bincount(low + width, minlength=len(symbols) + 1)
+    used = np.flatnonzero(np.cumsum(covered) > 0)
+    hashes = symbols[used]
+    for more in range(1, run):
+        hashes = hashes * FACTOR + symbols[used + more]
+    hashes = mix(hashes)
+    # Upper half: the hash, lower half: the place, so that one minimum finds both.
+    least = hashes & ~LOWER | np.arange(len(used), dtype=np.uint64)
+    low = np.searchsorted(used, low) if len(used) < len(symbols) - run + 1 else low
+    found, size = np.empty(len(low), np.uint64), 1
+    while True:
+        now = np.flatnonzero((width >= size) & (width < 2 * size))
+        found[now] = np.minimum(least[low[now]], least[low[now] + width[now] - size])
+        if 2 * size > width.max():
+            break
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    at = (found & LOWER).astype(np.int64)
+    return used[at], hashes[at]
+
+
 def _owned(lists: pa.Array) -> np.ndarray:
     """Values of lists, each marked with its row."""
     lists = pc.fill_null(lists, pa.scalar([], lists.type))
@@ -190,12 +242,11 @@ def remove_repeats(
     def symbols(batch):
         parse = Parse(batch.column(1), window)
         rid = np.asarray(batch.column(0))
-        _, one = np.unique((parse.whose << OWNER_SHIFT) | parse.code, return_index=True)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate((parse.name[one], parse.long_name)).view(np.int64)),
-                pa.array(rid[np.concatenate((parse.whose[one], parse.long_owner))]),
-                pa.array(np.concatenate((parse.code[one], parse.long_code))),
+                pa.array(np.concatenate((parse.names, parse.long_name)).view(np.int64)),
+                pa.array(rid[np.concatenate((parse.places >> OWNER_SHIFT, parse.long_owner))]),
+                pa.array(np.concatenate((parse.places & ((1 << OWNER_SHIFT) - 1), parse.long_code))),
             ],
             names=["name", "rid", "place"],
         )

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,30 @@ def test_repeats_of_few_words_and_runs(spark, seed):
         assert (found[key]["kept_text"], found[key]["n_words"]) == (" ".join(left), len(all_words)), texts[key]
 
 
+def test_windows_beside_each_other_take_the_same():
+    """What a window takes is counted in a shuffle; a window per third or fourth of them is too many."""
+    rng = random.Random(5)
+    texts = pa.array([" ".join(f"w{rng.randrange(50_000)}" for _ in range(500)) for _ in range(40)])
+    parse = recompression.Parse(texts, 35)
+    assert len(parse.code) == 40 * 466
+    taken = np.unique((parse.whose << recompression.OWNER_SHIFT) | parse.code)
+    assert len(taken) < 0.16 * len(parse.code)
+
+
+def test_equal_windows_take_equal_symbols():
+    """Wherever they stand: first or last in a text or a batch, in runs, among few symbols."""
+    rng = random.Random(6)
+    for size, window in ((3, 1), (4, 5), (12, 9), (60, 35)):
+        passage = [rng.choice("abc") for _ in range(size)] + ["a"] * (size // 3) + [rng.choice("ab") for _ in range(window)]
+        around = [[], ["a"] * 40, [rng.choice("abcdef") for _ in range(30)], passage]
+        texts = [" ".join(x + passage + y) for x in around for y in around]
+        found = {}
+        for batch in (texts, *([t] for t in texts)):
+            parse = recompression.Parse(pa.array(batch), window)
+            for key, name in zip(parse.keys()[0], parse.names[parse.which]):
+                assert found.setdefault(key, name) == name
+
+
 def test_repeats_of_odd_documents(odd, rows, empty):
     found = recompression.remove_repeats(odd)
     assert found.columns == [*odd.columns, *recompression.RESULTS]
