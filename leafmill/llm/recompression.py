@@ -51,6 +51,10 @@ LONG = 2
 OWNER_SHIFT = 42
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.uint64((1 << 32) - 1)
+# An odd number for each level.
+_SIDES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+# The first so many bytes of eight.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Parse:
@@ -66,7 +70,7 @@ class Parse:
         self.words, self.counts = split_words(texts)
         self.first = starts_of(self.counts)
         self.owner = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.hashes = hash_words(self.words)
+        self.hashes = _word_names(self.words)
         spread = np.maximum(self.counts - window + 1, 0)
         #: where each window begins, as an index of words, and whose it is
         self.whose = np.repeat(np.arange(len(self.counts)), spread)
@@ -100,7 +104,7 @@ class Parse:
                 if runs:
                     joined = beside & (symbols[1:] == symbols[:-1])
                 else:
-                    right = (mix(symbols + np.uint64(level)) >> np.uint64(40)) & np.uint64(1) == 1
+                    right = (symbols ^ symbols << np.uint64(32)) * _SIDES[level] >> np.uint64(63) == 1
                     joined = beside & ~right[:-1] & right[1:]
                 heads = np.append(True, ~joined)
                 if level <= DEEP:
@@ -178,10 +182,28 @@ class Parse:
 
     def _inside(self, chosen: np.ndarray) -> np.ndarray:
         """Windows inside one of the chosen long symbols."""
-        covered = np.zeros(len(self.hashes) + 1, np.int64)
-        np.add.at(covered, self.long_begin[chosen], 1)
-        np.add.at(covered, self.long_end[chosen] - self.window + 1, -1)
-        return np.cumsum(covered)[self.start] > 0
+        size = len(self.hashes) + 1
+        last = np.bincount(self.long_end[chosen] - self.window + 1, minlength=size)
+        return np.cumsum(np.bincount(self.long_begin[chosen], minlength=size) - last)[self.start] > 0
+
+
+def _word_names(words: pa.Array) -> np.ndarray:
+    """A hash of each word; those of at most 16 bytes are read as two numbers, all at once."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    binary = words.cast(pa.large_binary())
+    ends = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(words) + 1]
+    begin, length = ends[:-1] - ends[0], np.diff(ends)
+    data = np.zeros(ends[-1] - ends[0] + 16, np.uint8)
+    data[:-16] = np.frombuffer(binary.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    # The eight bytes from each byte on.
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    head = eight[begin] & _BYTES[np.minimum(length, 8)]
+    tail = eight[begin + 8] & _BYTES[np.clip(length - 8, 0, 8)]
+    names = mix(mix(head + FACTOR * length.astype(np.uint64)) ^ tail * _SIDES[0])
+    other = np.flatnonzero(length > 16)
+    names[other] = hash_words(words.take(pa.array(other)))
+    return names
 
 
 def _least_runs(symbols: np.ndarray, low: np.ndarray, stop: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +259,10 @@ def remove_repeats(
     else too.  What is left is joined by single spaces.
     """
     kept = [c for c in docs.columns if c not in RESULTS]
-    rows = docs.select(*kept).withColumn("__rid", F.xxhash64(key, text)).withColumn("__text", F.col(text))
+    rows = docs.select(*kept, F.xxhash64(key, text).alias("__rid"))
+    source = text
+    if text not in kept:
+        source, rows = "__text", docs.select(*kept, F.xxhash64(key, text).alias("__rid"), F.col(text).alias("__text"))
 
     def symbols(batch):
         parse = Parse(batch.column(1), window)
@@ -251,7 +276,7 @@ def remove_repeats(
             names=["name", "rid", "place"],
         )
 
-    named = map_batches(rows.select("__rid", "__text"), symbols, "name long, rid long, place long")
+    named = map_batches(rows.select("__rid", source), symbols, "name long, rid long, place long")
     # A repeated long symbol is sent to the one row that counts its windows for all.
     told = (
         _counted(named, "name").filter("k = 1 or place % 2 = 1").groupBy("rid")
@@ -264,7 +289,7 @@ def remove_repeats(
     joined = rows.join(told, "__rid", "left")
 
     def windows(batch):
-        parse = Parse(batch.column("__text"), window)
+        parse = Parse(batch.column(source), window)
         _, asked = parse.open(batch.column("__lone"))
         asked |= parse.leading(batch.column("__leads"))
         rid = np.asarray(batch.column("__rid"))
@@ -281,14 +306,13 @@ def remove_repeats(
     columns = rows.select(*kept)
 
     def remove(batch):
-        parse = Parse(batch.column("__text"), window)
+        parse = Parse(batch.column(source), window)
         proven, asked = parse.open(batch.column("__lone"))
         single = np.sort(_owned(batch.column("__single")))
         begin = parse.start - parse.first[parse.whose]
         repeated = proven | (asked & ~_in(single, (parse.whose << OWNER_SHIFT) | begin))
-        cover = np.zeros(len(parse.hashes) + 1, np.int64)
-        np.add.at(cover, parse.start[repeated], 1)
-        np.add.at(cover, parse.start[repeated] + window, -1)
+        begins, size = parse.start[repeated], len(parse.hashes) + 1
+        cover = np.bincount(begins, minlength=size) - np.bincount(begins + window, minlength=size)
         left = np.cumsum(cover)[:-1] == 0
         n_left = np.bincount(parse.owner[left], minlength=batch.num_rows)
         offsets = pa.array(np.concatenate(([0], np.cumsum(n_left))), pa.int32())

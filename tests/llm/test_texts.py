@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from leafmill.llm import langid, ngram_join, recompression, spotsigs
+from leafmill.llm import common, langid, ngram_join, recompression, spotsigs
 from leafmill.llm.components import connected_components
 from leafmill.llm.queries import vocabulary
 from tests.llm import brute
@@ -78,6 +78,17 @@ def test_equal_windows_take_equal_symbols():
                 assert found.setdefault(key, name) == name
 
 
+def test_short_words_are_hashed_all_at_once(monkeypatch):
+    """Only words of more than 16 bytes are hashed one by one."""
+    words = [chr(97 + n % 26) * (n % 23 + 1) + str(n) for n in range(4000)] + ["a", "a\x00", "\x00", "\x00a", "é" * 8, "é" * 9]
+    digest, long = common.xxhash.xxh3_64_intdigest, []
+    monkeypatch.setattr(common.xxhash, "xxh3_64_intdigest", lambda w, seed=0: long.append(w) or digest(w, seed))
+    parse = recompression.Parse(pa.array([" ".join(words), " ".join(reversed(words))]), 35)
+    assert sorted(long) == sorted(w.encode() for w in words if len(w.encode()) > 16)
+    assert len(np.unique(parse.hashes)) == len(words)
+    assert (parse.hashes[: len(words)] == parse.hashes[len(words) :][::-1]).all()
+
+
 def test_repeats_of_odd_documents(odd, rows, empty):
     found = recompression.remove_repeats(odd)
     assert found.columns == [*odd.columns, *recompression.RESULTS]
