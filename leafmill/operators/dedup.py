@@ -30,6 +30,12 @@ def _keep_first(rows: DataFrame, keys: Sequence, order: Sequence) -> DataFrame:
     return ranked.filter(F.col(_RANK) == 1).drop(_RANK)
 
 
+def _told(value: Column) -> Column:
+    """A value with its length, so that several in a row say where each ends; absent differs from ''."""
+    text = value.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def dedup_content(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """The first row of equal (text, type, source), absent values counting as ''.
 
@@ -44,8 +50,8 @@ def dedup_full(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
     Unlike `dedup_content` this keeps different table rows of one source.
     """
-    cells = F.array_sort(F.map_entries("cells"))
-    fields = F.to_json(F.struct(*[c for c in FIELDS if c in rows.columns], cells.alias("cells")))
+    cells = F.to_json(F.sort_array(F.map_entries("cells")))
+    fields = F.concat(*[_told(F.col(c)) for c in FIELDS if c in rows.columns], _told(cells))
     keyed = rows.withColumn(_KEY, F.md5(fields.cast("binary")))
     return _keep_first(keyed, [*scope, _KEY], order_of(rows.columns)).drop(_KEY)
 

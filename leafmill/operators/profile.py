@@ -23,17 +23,18 @@ FAMILY_FIELDS = {
     "news": ["source", "type", "text", "score", "age", "href"],
     "tables": ["source", "type", "table_index"],
 }
+_HEADERS = "_leafmill_headers"
 _PLAIN_FIELDS = ["source", "type", "text", "href"]
 
 
-def row_fields() -> Column:
-    """The names of the fields a row has, in the order they were set."""
+def row_fields(headers: Column) -> Column:
+    """The names of the fields a row has, in the order they were set; ``headers``: those of its cells."""
     names = None
     for family, fields in FAMILY_FIELDS.items():
         hit = F.col("family_rank") == FAMILIES[family]
         value = _names(fields)
         if family == "tables":
-            value = F.array_distinct(F.concat(value, F.map_keys("cells")))
+            value = F.array_distinct(F.concat(value, headers))
         names = F.when(hit, value) if names is None else names.when(hit, value)
     return names.otherwise(_names(_PLAIN_FIELDS))
 
@@ -43,17 +44,20 @@ def _names(fields: Sequence[str]) -> Column:
 
 
 def row_shapes(rows: DataFrame, *more: Column) -> DataFrame:
-    """The distinct field lists of the rows: how often, where first met, and ``more`` aggregates.
+    """The field lists of the rows, by their headers: how often, where first met, and ``more`` aggregates.
 
     One pass with partial aggregation; what leaves it is as large as the number
-    of different table headings, not of rows.  The place is one number so that
-    the aggregation stays a hash aggregation.
+    of different table headings, not of rows, and only there the names are put
+    together.  The place is one number so that the aggregation stays a hash
+    aggregation.
     """
     page = F.col("page_ord").cast("decimal(20,0)")
     place = page * F.lit(10**10).cast("decimal(11,0)") + F.col("pos")
-    return rows.groupBy("family_rank", row_fields().alias("fields")).agg(
+    headers = F.when(F.col("family_rank") == FAMILIES["tables"], F.map_keys("cells"))
+    shapes = rows.groupBy("family_rank", headers.alias(_HEADERS)).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(place).alias("first_place"), *more
     )
+    return shapes.withColumn(_HEADERS, row_fields(F.col(_HEADERS))).withColumnRenamed(_HEADERS, "fields")
 
 
 def column_order(rows: DataFrame) -> DataFrame:

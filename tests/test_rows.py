@@ -13,6 +13,7 @@ from leafmill.operators.profile import (
     cli_more, cli_sample, column_order, page_counts, summary_by_source, summary_by_type,
     summary_sample, summary_totals,
 )
+from leafmill.schema import FIELDS
 from leafmill.session import drop_stored, exact_names, shared_folder, store
 from leafmill.sources.csv import (
     column_names, drop_type, file_profile, output_path, read_csv, save_csv, save_snapshot, snapshot_path, widen,
@@ -313,3 +314,35 @@ def test_stored_copies_can_be_dropped(spark):
     copy = store(spark.range(3), "copy")
     (file, *_) = copy.inputFiles()
     assert drop_stored(spark) >= 1 and not os.path.exists(file.removeprefix("file:"))
+
+
+def test_rows_equal_in_full_tell_where_fields_end(spark, pages):
+    """Absent, empty and neighbouring values are told apart, the order of cells is not."""
+    fields = ["source", "type", "text", "href", "author"]
+    values = [("a", "b", "c", "d", "e"), ("a", "b", "c", "de", ""), ("a", "b", "cd", "", "e"), ("a", "b", "c", "1:d", "e"),
+              ("a", "b", "c", None, "e"), ("a", "b", "c", "", "e"), ("a", "b", "c", "-", "e"), (None, "b", "c", "d", "e"), ("a", "b", "c", "d", "e")]
+    cells = [{"k": "1", "l": "2"}, {"l": "2", "k": "1"}, {"k": "1", "l": None}, {"k": '1"},{"key":"l","value":"2'}, {}, None]
+    rows = [(i, 0, *v, c) for i, (v, c) in enumerate((v, c) for v in values for c in cells)]
+    kind = "page_ord bigint, pos int, " + ", ".join(f"{f} string" for f in fields) + ", cells map<string,string>"
+    absent = [F.lit(None).cast("string").alias(f) for f in FIELDS if f not in fields]
+    kept = dedup_full(spark.createDataFrame(rows, kind).select("*", *absent))
+    first = {(v, str(sorted(c.items()) if c is not None else None)): i for i, v, c in reversed([(r[0], r[2:-1], r[-1]) for r in rows])}
+    assert sorted(r["page_ord"] for r in kept.collect()) == sorted(first.values())
+
+
+def test_pages_are_shredded_once(spark, pages):
+    """Also where only tables are asked for, whose rows no lambda makes."""
+    html = "<table><tr><th>text<th>Z<tr><td>t<td>z<tr></table><p>" + "long " * 9 + "<table><tr><td>1</table>"
+    given = pages(html, "<p>none", "").repartition(2)
+    alone, among = extract(given, ["tables"]), extract(given, ["paragraphs", "tables"])
+    for rows in (alone, among):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+    assert alone.columns == among.columns
+    shown = [[r["table_index"], r["type"], r["text"], r["cells"]] for r in alone.orderBy("pos").collect()]
+    assert shown == [
+        [0, "table_row", "text", {"text": "text", "Z": "Z"}], [0, "table_row", "t", {"text": "t", "Z": "z"}],
+        [1, "table_row", None, {"col_0": "1"}],
+    ]
+    tables = among.filter("family_rank = 8").orderBy("pos").collect()
+    assert [[r["table_index"], r["type"], r["text"], r["cells"]] for r in tables] == shown

@@ -1,6 +1,8 @@
 """The shredder: element structure and text, one small page per rule."""
 
+import random
 import unicodedata
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +227,52 @@ def test_python_cleans_texts_as_the_expression_does(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", clean_text(F.col("text")).alias("c"))
     later = [r["text"] for r in rows.collect() if python_clean_text(r["text"]) != r["c"]]
     assert [t for t in later if unicodedata.category(t[1]) != "Cf"] == []
+
+
+SHAPED = "<p{}>{}<table><tr><th>{}<tr><td>{}<a href=\"{}\">{}</a></table>{}<div class='{}'>x</div><!-- {} --> "
+VALUES = ["a", "b  c", "&lt;d&amp;", "/e/1", "/f.g/", "../h", "é​", "i j"]
+
+
+def test_pages_of_one_shape_share_their_layout(monkeypatch):
+    """From the third page on the same elements, texts and rows are made without shredding."""
+    rng = random.Random(3)
+    pages = [SHAPED.format(" id=q", *(rng.choice(VALUES) for _ in range(8))) for _ in range(30)]
+    pages += [SHAPED.format(*(rng.choice(["", " ", *VALUES]) for _ in range(9))) for _ in range(200)]
+
+    def shredded(**how):
+        columns = _Columns(False, **how)
+        for html in pages:
+            columns.add_page(html, "https://h/d")
+        return columns.to_arrow().to_pylist()
+
+    ways = [{}, {"tables": True}, {"tables": True, "nodes": False, "links": False}]
+    monkeypatch.setattr(shred_module, "_LONGEST_LAYOUT", 0)
+    alone = [shredded(**how) for how in ways]
+    monkeypatch.undo()
+    assert [shredded(**how) for how in ways] == alone
+    calls, shred_page = [], _Columns._shred
+    monkeypatch.setattr(_Columns, "_shred", lambda *args: calls.append(1) or shred_page(*args))
+    assert [shredded(**how)[:30] for how in ways] == [made[:30] for made in alone]
+    assert len(calls) < 600
+    pages[:] = pages[:30]
+    calls.clear()
+    assert [shredded(**how) for how in ways] == [made[:30] for made in alone] and not calls
+
+
+def test_layouts_are_bounded(monkeypatch):
+    monkeypatch.setattr(shred_module, "_MOST_LAYOUT_TOKENS", 50)
+    monkeypatch.setattr(shred_module, "_MOST_MET", 5)
+    columns = _Columns(True)
+    for n in [*range(1, 30)] * 2 + [3] * 3:
+        for _ in range(2):
+            columns.add_page("<p>" * n, "")
+        assert sum(len(known) for known in shred_module._layouts.values()) <= 51 and len(shred_module._met) <= 5
+    assert [len(d["nodes"]) for d in columns.to_arrow().to_pylist()[-6:]] == [5] * 6
+
+
+def test_usual_addresses_are_resolved_as_others_are():
+    bases = ["https://h/d", "http://a_b.c:80?x", "https://h", "HTTPS://H/", "https://h:x/", "ftp://a/", " https://h/", "", "https://u@h/", "https://ü/"]
+    paths = ["/c/1", "/c/1/", "/", "//x/y", "/a//b", "/a.b/c", "/.a", "/a/..", "/a/./b", "/a;p", "/a?q", "/a b", "/%41~_-", "/é", "c/1", "/a/.b.", "/a\n"]
+    for base in bases:
+        for path in paths:
+            assert shred_module._resolve(base, path) == urljoin(base, path), (base, path)
